@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelorus.llm import language_id, mixing, packing, secrets
+from pelorus.llm import language_id, mixing, packing, secrets, toxicity
 from pelorus.llm.common import crc_bucket, read
 
 
@@ -27,6 +27,13 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.train(docs.where(~held_out), labels.where(~held_out))
+    return toxicity.score(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
+
+
 def op9_language_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False))
@@ -66,7 +73,7 @@ def _secret_sql() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_best_fit, op4_mix_sources, op9_language_rank_order, op10_secret_ledger)
+    f.__name__: f for f in (op1_pack_best_fit, op4_mix_sources, op7_toxicity_pu, op9_language_rank_order, op10_secret_ledger)
 }
 
 ORACLE_SQL: dict[str, str] = {"op10_secret_ledger": _secret_sql()}

@@ -106,3 +106,62 @@ def arrow_batch(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, type=f.type) for f in schema], schema=schema
     )
+
+
+class WordHashes(dict):
+    """Word -> 64-bit hash, remembered."""
+
+    LIMIT = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.LIMIT:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Scramble 64-bit numbers (the finaliser of SplitMix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+class KeyFilter:
+    """Fixed-size bit table of keys: says "perhaps" or "surely not" for a 64-bit key.
+
+    Its size follows the number of keys up to ``MOST_BITS`` (32 MB), so that it
+    may be sent to every worker. A full table passes everything, which costs
+    work further on but loses nothing.
+    """
+
+    MOST_BITS = 1 << 28
+
+    def __init__(self, bits: np.ndarray, size: int):
+        self.bits, self.size = bits, size
+
+    @classmethod
+    def build(cls, keys: DataFrame) -> KeyFilter:
+        """``keys``: a stored table with one long column, ``key``."""
+        n = keys.count()
+        size = 1 << 20
+        while size < 16 * n and size < cls.MOST_BITS:
+            size *= 2
+        slots = keys.select(F.expr(f"key & {size - 1}L").alias("slot"))
+        words = slots.groupBy(F.expr("cast(slot >> 6 AS int)").alias("w")).agg(F.expr("bit_or(1L << cast(slot & 63 AS int))").alias("b"))
+        bits = np.zeros(size // 64, dtype=np.uint64)
+        for part in words.toArrow().to_batches() if n else []:
+            bits[part.column(0).to_numpy()] = part.column(1).to_numpy().view(np.uint64)
+        return cls(bits, size)
+
+    def __contains__(self, keys: np.ndarray) -> bool:
+        return bool(self.has(keys).any())
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys.view(np.uint64) & np.uint64(self.size - 1)
+        return (self.bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelorus.llm import language_id, mixing, packing, secrets, toxicity
+from pelorus.llm import language_id, mixing, ngram_join, packing, secrets, toxicity
 from pelorus.llm.common import crc_bucket, read
 
 
@@ -27,6 +27,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held_out = F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False))
@@ -73,7 +77,20 @@ def _secret_sql() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_best_fit, op4_mix_sources, op7_toxicity_pu, op9_language_rank_order, op10_secret_ledger)
+    f.__name__: f for f in (op1_pack_best_fit, op4_mix_sources, op5_ngram_jaccard, op7_toxicity_pu, op9_language_rank_order, op10_secret_ledger)
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_secret_ledger": _secret_sql()}
+_WORDS_LOWER = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+
+_JACCARD_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS_LOWER} AS w FROM documents),
+  s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+          ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS s FROM w),
+  e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS i FROM e a JOIN e b USING (x)
+          WHERE a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL),
+  l AS (SELECT a, b FROM p WHERE 100 * i >= 90 * (na + nb - i)),
+  c AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT l.b, c.r FROM c JOIN l ON l.a = c.doc_id)
+  SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id
+  FROM s JOIN (SELECT doc_id, min(r) AS component_id FROM c GROUP BY doc_id) m USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op5_ngram_jaccard": _JACCARD_SQL, "op10_secret_ledger": _secret_sql()}

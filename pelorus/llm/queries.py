@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelorus.llm import language_id, mixing, ngram_join, packing, secrets, toxicity
+from pelorus.llm import language_id, mixing, ngram_join, packing, secrets, substring, toxicity
 from pelorus.llm.common import crc_bucket, read
 
 
@@ -23,6 +23,11 @@ def op1_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary_file(), window=2048, end_id=1)
 
 
+def op2_substring_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup(read(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -77,7 +82,7 @@ def _secret_sql() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_best_fit, op4_mix_sources, op5_ngram_jaccard, op7_toxicity_pu, op9_language_rank_order, op10_secret_ledger)
+    f.__name__: f for f in (op1_pack_best_fit, op2_substring_suffix_tree, op4_mix_sources, op5_ngram_jaccard, op7_toxicity_pu, op9_language_rank_order, op10_secret_ledger)
 }
 
 _WORDS_LOWER = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
@@ -93,4 +98,13 @@ _JACCARD_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS_LOWER} AS w FROM
   SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id
   FROM s JOIN (SELECT doc_id, min(r) AS component_id FROM c GROUP BY doc_id) m USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op5_ngram_jaccard": _JACCARD_SQL, "op10_secret_ledger": _secret_sql()}
+_SUBSTRING_SQL = r"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  p AS (SELECT rid, unnest(range(1, len(w) - 33)) AS i, unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' ')))) AS h FROM w WHERE len(w) >= 35),
+  r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS n FROM p) WHERE n > 1),
+  x AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS j FROM r),
+  k AS (SELECT rid, doc_id, len(w) AS n, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM w),
+  s AS (SELECT rid, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n_kept FROM k ANTI JOIN x USING (rid, j) GROUP BY rid)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+  FROM w LEFT JOIN s USING (rid)"""
+
+ORACLE_SQL: dict[str, str] = {"op2_substring_suffix_tree": _SUBSTRING_SQL, "op5_ngram_jaccard": _JACCARD_SQL, "op10_secret_ledger": _secret_sql()}

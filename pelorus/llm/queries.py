@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelorus.llm import language_id, mixing, ngram_join, packing, secrets, substring, toxicity
+from pelorus.llm import brown, language_id, mixing, ngram_join, packing, secrets, substring, toxicity
 from pelorus.llm.common import crc_bucket, read
 
 
@@ -28,6 +28,13 @@ def op2_substring_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_bucket("doc_id", 7) == 2, F.lit(False))
+    model, counts = brown.train(docs.where(~held_out))
+    return brown.score(docs.withColumn("held_out", held_out), model, counts, keep=("doc_id", "held_out"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -82,7 +89,7 @@ def _secret_sql() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_best_fit, op2_substring_suffix_tree, op4_mix_sources, op5_ngram_jaccard, op7_toxicity_pu, op9_language_rank_order, op10_secret_ledger)
+    f.__name__: f for f in (op1_pack_best_fit, op2_substring_suffix_tree, op3_brown_classes, op4_mix_sources, op5_ngram_jaccard, op7_toxicity_pu, op9_language_rank_order, op10_secret_ledger)
 }
 
 _WORDS_LOWER = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelorus.llm import brown, language_id, mixing, ngram_join, packing, secrets, substring, toxicity
+from pelorus.llm import ann, brown, embedding_dedup, language_id, mixing, ngram_join, packing, secrets, substring, toxicity
 from pelorus.llm.common import crc_bucket, read
 
 
@@ -43,6 +43,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op6_ann_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), lambda v: v % 20 == 0, k=20)
+
+
 def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held_out = F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False))
@@ -50,6 +54,10 @@ def op7_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.withColumn("held_out", held_out), model, keep=("doc_id", "held_out"))
 
 
+def op8_embedding_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op9_language_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False))
@@ -89,7 +97,7 @@ def _secret_sql() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_best_fit, op2_substring_suffix_tree, op3_brown_classes, op4_mix_sources, op5_ngram_jaccard, op7_toxicity_pu, op9_language_rank_order, op10_secret_ledger)
+    f.__name__: f for f in (op1_pack_best_fit, op2_substring_suffix_tree, op3_brown_classes, op4_mix_sources, op5_ngram_jaccard, op6_ann_nn_descent, op7_toxicity_pu, op8_embedding_hnsw, op9_language_rank_order, op10_secret_ledger)
 }
 
 _WORDS_LOWER = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
@@ -114,4 +122,22 @@ _SUBSTRING_SQL = r"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, rege
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
   FROM w LEFT JOIN s USING (rid)"""
 
-ORACLE_SQL: dict[str, str] = {"op2_substring_suffix_tree": _SUBSTRING_SQL, "op5_ngram_jaccard": _JACCARD_SQL, "op10_secret_ledger": _secret_sql()}
+_VECTORS = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+  g AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0)"""
+
+_NEAREST_SQL = f"""WITH {_VECTORS},
+  s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) AS score
+        FROM g a JOIN g b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+_COSINE_SQL = f"""WITH RECURSIVE {_VECTORS},
+  n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS len FROM g),
+  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+        WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.len * b.len) >= 0.98),
+  c AS (SELECT vec_id, vec_id AS r FROM embeddings UNION SELECT l.b, c.r FROM c JOIN l ON l.a = c.vec_id),
+  m AS (SELECT vec_id, min(r) AS component_id FROM c GROUP BY vec_id),
+  k AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+  SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN k USING (vec_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op2_substring_suffix_tree": _SUBSTRING_SQL, "op5_ngram_jaccard": _JACCARD_SQL, "op6_ann_nn_descent": _NEAREST_SQL, "op8_embedding_hnsw": _COSINE_SQL, "op10_secret_ledger": _secret_sql()}

@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once inside an Arrow batch.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 3_000_000
 
 _own_folder: str | None = None
 
@@ -45,7 +46,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/pelorus-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def drop(*stages: DataFrame) -> None:
+    """Delete the files of stages that nothing will read any more, and let the cleaner run."""
+    for df in stages:
+        spark, folder = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stage_path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    if stages:
+        release(stages[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:
@@ -71,10 +83,6 @@ def as_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
-    return batch.column(column).to_pylist()
-
-
 def blocks(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Cut rows 0..n into runs whose sizes sum to ``limit`` at most (one row at least)."""
     start, n = 0, len(sizes)
@@ -86,6 +94,14 @@ def blocks(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``limit`` bytes of text in ``column``, one row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for start, stop in blocks(sizes, limit):
+            yield batch.slice(start, stop - start)
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenation of ``arange(s, s + n)`` for each start and length."""
     total = int(lengths.sum())
@@ -111,7 +127,7 @@ def arrow_batch(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered."""
 
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -133,35 +149,37 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class KeyFilter:
-    """Fixed-size bit table of keys: says "perhaps" or "surely not" for a 64-bit key.
+    """Bloom filter of 64-bit keys: says "perhaps" or "surely not".
 
-    Its size follows the number of keys up to ``MOST_BITS`` (32 MB), so that it
-    may be sent to every worker. A full table passes everything, which costs
-    work further on but loses nothing.
+    32 bits a key and four slots each pass two other keys in ten thousand. The
+    size follows the number of keys up to ``MOST_BITS`` (32 MB), so that it may
+    be sent to every worker. A fuller table passes more, which costs work
+    further on but loses nothing.
     """
 
-    MOST_BITS = 1 << 28
+    MOST_BITS, SLOTS, SHIFT = 1 << 28, 4, 12
 
     def __init__(self, bits: np.ndarray, size: int):
         self.bits, self.size = bits, size
 
     @classmethod
     def build(cls, keys: DataFrame) -> KeyFilter:
-        """``keys``: a stored table with one long column, ``key``."""
+        """``keys``: a stored table with one long column, ``key``, of well-mixed numbers."""
         n = keys.count()
         size = 1 << 20
-        while size < 16 * n and size < cls.MOST_BITS:
+        while size < 32 * n and size < cls.MOST_BITS:
             size *= 2
-        slots = keys.select(F.expr(f"key & {size - 1}L").alias("slot"))
+        each = ", ".join(f"shiftrightunsigned(key, {i * cls.SHIFT}) & {size - 1}L" for i in range(cls.SLOTS))
+        slots = keys.select(F.explode(F.expr(f"array({each})")).alias("slot"))
         words = slots.groupBy(F.expr("cast(slot >> 6 AS int)").alias("w")).agg(F.expr("bit_or(1L << cast(slot & 63 AS int))").alias("b"))
         bits = np.zeros(size // 64, dtype=np.uint64)
         for part in words.toArrow().to_batches() if n else []:
             bits[part.column(0).to_numpy()] = part.column(1).to_numpy().view(np.uint64)
         return cls(bits, size)
 
-    def __contains__(self, keys: np.ndarray) -> bool:
-        return bool(self.has(keys).any())
-
     def has(self, keys: np.ndarray) -> np.ndarray:
-        slot = keys.view(np.uint64) & np.uint64(self.size - 1)
-        return (self.bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+        keys, out = keys.view(np.uint64), np.ones(len(keys), dtype=bool)
+        for i in range(self.SLOTS):
+            slot = (keys >> np.uint64(i * self.SHIFT)) & np.uint64(self.size - 1)
+            out &= (self.bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+        return out

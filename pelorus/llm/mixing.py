@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import ranges, stage
+from pelorus.llm.common import portions, ranges, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block.
@@ -130,7 +130,7 @@ def lay_out(sized: DataFrame, seed: int) -> DataFrame:
     before = Window.partitionBy("src").orderBy("bucket")
     sums = keyed.groupBy("src", "bucket").agg(F.sum("size").alias("total"))
     sums = sums.select("src", "bucket", (F.sum("total").over(before) - F.col("total")).alias("base"))
-    return placed.join(sums, ["src", "bucket"]).select("uid", "src", "size", (F.col("base") + F.col("inside")).alias("off"))
+    return placed.hint("merge").join(sums, ["src", "bucket"]).select("uid", "src", "size", (F.col("base") + F.col("inside")).alias("off"))
 
 
 def drawn_blocks(spark, plan: list[tuple[int, int, int]], seed: int, shards: int) -> DataFrame:
@@ -178,7 +178,7 @@ def block_uses(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards
     pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("off") / block).cast("long"), last)))
     start, stop = F.greatest("off", F.col("block") * block), F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * block)
     pieces = pieces.select("uid", "src", "block", (start - F.col("off")).alias("first"), (stop - start).alias("words"))
-    return sized, sources, pieces.join(uses, ["src", "block"]).select("uid", "first", "words", "n")
+    return sized, sources, pieces.hint("merge").join(uses, ["src", "block"]).select("uid", "first", "words", "n")
 
 
 def sized_rows(docs: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards: int =
     """
     sized, _, pieces = block_uses(sized_rows(docs), seed, block, shards, **shares)
     taken = pieces.groupBy("uid").agg(F.sum(F.col("words") * F.col("n")).alias("taken"))
-    out = sized.join(taken, "uid", "left")
+    out = sized.hint("merge").join(taken, "uid", "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -217,7 +217,7 @@ def mixed_texts(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shard
         import re
 
         word = re.compile(WORD)
-        for batch in batches:
+        for batch in portions(batches, names.index("text")):
             texts, runs = batch.column(names.index("text")).to_pylist(), batch.column(len(names)).to_pylist()
             rows, out = [], []
             for i, (text, parts) in enumerate(zip(texts, runs, strict=True)):

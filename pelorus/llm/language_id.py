@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import blocks
+from pelorus.llm.common import blocks, portions
 
 PROFILE_SIZE = 300
 #: Letters handled at once.
@@ -154,7 +154,7 @@ def train(docs: DataFrame, per_language: int = 3000, size: int = PROFILE_SIZE) -
     taken = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.ceil(share * 1_000_000))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 0):
             langs, back = np.unique(np.array(batch.column(1).to_pylist(), dtype=object).astype(str), return_inverse=True)
             for row, code, n in count_ngrams(batch.column(0).to_pylist()):
                 which = back[row]
@@ -223,11 +223,35 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Profiles(profiles, size)
-        for batch in batches:
-            at = batch.schema.names.index("__text")
+        for batch in portions(batches, len(cols)):
+            at = len(cols)
             langs, score, far = judge.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(cols))), pa.array(langs, type=pa.string()), pa.array(score, type=pa.float64()), pa.array(far, type=pa.float64())], names=[*cols, "lang_pred", "score", "distance"])
 
     base = docs.select(*cols, F.col("text").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
     return base.mapInArrow(predict, fields + ", lang_pred string, score double, distance double")
+
+
+def keep_known(docs: DataFrame, profiles: dict[str, list[int]], farthest: float = 0.9, size: int = PROFILE_SIZE) -> DataFrame:
+    """Rows of ``docs`` whose text is in a known language, with all their columns.
+
+    Texts without a letter go, and so do texts farther than ``farthest`` from
+    every profile, which share next to no n-gram with any. If no language was
+    learned, no text can be told to be foreign and only those without letters go.
+    """
+    names = docs.columns
+    text = names.index("text")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge, table = Profiles(profiles, size), letters()
+        for batch in portions(batches, text):
+            texts = batch.column(text).to_pylist()
+            if judge.langs:
+                _, _, far = judge.predict(texts)
+                keep = far <= farthest
+            else:
+                keep = np.array([bool(t) and bool((table[_points(t)] != 0).any()) for t in texts], dtype=bool)
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
+
+    return docs.mapInArrow(sift, docs.schema)

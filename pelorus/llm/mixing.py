@@ -182,8 +182,8 @@ def block_uses(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards
 
 
 def sized_rows(docs: DataFrame) -> DataFrame:
-    """Stage (uid, doc_id, source, size) of every row; uid numbers the rows of the table as it is read."""
-    return stage(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "source", n_words(F.col("text")).alias("size")), "sized")
+    """Stage (uid, doc_id, t, source, size) of every row; uid tells rows apart, t is a hash of the text."""
+    return stage(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("t"), "source", n_words(F.col("text")).alias("size")), "sized")
 
 
 def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards: int = SHARDS, **shares) -> DataFrame:
@@ -205,13 +205,20 @@ def mixed_texts(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shard
 
     A pass that takes all words gives the text as it is; any other gives the
     taken stretches of the text, joined by a line break. The columns are those
-    of ``docs``, n_chars (if there) being the new text's length. ``docs`` must
-    be a stored table, as rows are found again by their place in it.
+    of ``docs``, n_chars (if there) being the new text's length. Rows that
+    repeat id, text and source are served one after the other.
     """
-    _, _, pieces = block_uses(sized_rows(docs), seed, block, shards, **shares)
-    runs = pieces.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("first", "words", "n"))).alias("__runs"))
-    joined = docs.withColumn("__uid", F.monotonically_increasing_id()).join(runs.withColumnRenamed("uid", "__uid"), "__uid").drop("__uid")
+    sized, _, pieces = block_uses(sized_rows(docs), seed, block, shards, **shares)
+    runs = pieces.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("first", "words", "n"))).alias("runs"))
+    key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("__k"), "src"]
+    runs = sized.hint("merge").join(runs, "uid").select(*key, F.col("t").alias("__t"), "uid", "runs")
+    runs = runs.groupBy("__k", "__t", F.col("src").alias("__src")).agg(F.array_sort(F.collect_list(F.struct("uid", "runs"))).alias("__all"))
     names = docs.columns
+    sources = F.broadcast(sized.select(F.col("source").alias("__source"), F.col("src").alias("__src")).distinct())
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], key[0], F.xxhash64("text").alias("__t")).join(sources, F.col("source").eqNullSafe(F.col("__source")))
+    turn = F.row_number().over(Window.partitionBy("__k", "__t", "__src").orderBy("__k"))
+    joined = rows.withColumn("__turn", turn).hint("merge").join(runs, ["__k", "__t", "__src"])
+    joined = joined.where(F.col("__turn") <= F.size("__all")).withColumn("__runs", F.element_at("__all", F.col("__turn"))["runs"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re

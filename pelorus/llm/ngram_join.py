@@ -28,10 +28,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import KeyFilter, WordHashes, array_column, mixed, stage
+from pelorus.llm.common import KeyFilter, WordHashes, array_column, drop, mixed, portions, stage
 from pelorus.llm.graph import components
 
 #: Rounds of pivots before the rest is compared in blocks.
@@ -41,7 +41,7 @@ BLOCK_SETS = 1024
 #: Rows of a bin of blocks, on average.
 BIN_ROWS = 20_000
 
-SIGNATURES = "doc_id long, n_shingles long, cls binary, keys array<long>, hashes binary, bits binary"
+SIGNATURES = "doc_id long, t long, n_shingles long, cls binary, keys array<long>, hashes binary, bits binary"
 
 
 class Bands:
@@ -135,7 +135,7 @@ def signatures(docs: DataFrame, width: int, bands: Bands, known: KeyFilter | Non
 
     def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in portions(batches, 1):
             seen, out = Counter(), [np.empty(0, dtype=np.int64)]
             for _, s in sets(batch, hashes):
                 name = s.tobytes()
@@ -148,7 +148,7 @@ def signatures(docs: DataFrame, width: int, bands: Bands, known: KeyFilter | Non
         import xxhash
 
         hashes, filter_ = WordHashes(), shared.value
-        for batch in batches:
+        for batch in portions(batches, 1):
             n, cls, arrays, bits, keys, lengths, seen = [], [], [], [], [], [], set()
             for _, s in sets(batch, hashes):
                 n.append(len(s))
@@ -169,11 +169,11 @@ def signatures(docs: DataFrame, width: int, bands: Bands, known: KeyFilter | Non
                 lengths.append(len(own))
             flat = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, type=pa.int64()), pa.array(cls, type=pa.binary()), array_column(flat, np.array(lengths, dtype=np.int64)), pa.array(arrays, type=pa.binary()), pa.array(bits, type=pa.binary())],
-                names=["doc_id", "n_shingles", "cls", "keys", "hashes", "bits"],
+                [batch.column(0), batch.column(2), pa.array(n, type=pa.int64()), pa.array(cls, type=pa.binary()), array_column(flat, np.array(lengths, dtype=np.int64)), pa.array(arrays, type=pa.binary()), pa.array(bits, type=pa.binary())],
+                names=["doc_id", "t", "n_shingles", "cls", "keys", "hashes", "bits"],
             )
 
-    base = docs.select("doc_id", "text")
+    base = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
     return base.mapInArrow(keys_only, "key long") if known is None else base.mapInArrow(full, SIGNATURES)
 
 
@@ -244,7 +244,7 @@ def block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Give each set its component's root, itself if it has no link yet."""
+    """Give each set its component's root, itself if it has no link."""
     if roots is None:
         return members.withColumn("root", F.col("cls"))
     return members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -256,20 +256,13 @@ def open_tiles(tiles: DataFrame) -> DataFrame:
     return tiles.join(mixed_, "key", "left_semi")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document.
-
-    Two documents link when the Jaccard similarity of their sets of distinct
-    ``width``-word shingles is ``num / den`` or more (words are runs of anything
-    but ASCII white space, A-Z lower-cased); component_id is the smallest
-    doc_id reachable over links, the document's own included. Null, empty and
-    blank texts have an empty set and link with nothing. Repeated rows are
-    copies of each other. An empty table gives no rows; columns other than
-    doc_id and text are not read.
-    """
+def grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(doc_id, t, n_shingles, root) of every document; root names its component, null if it links with nothing."""
     bands = Bands(num, den)
     shared = signatures(docs, width, bands, None).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    known = KeyFilter.build(stage(shared, "tile-keys"))
+    shared = stage(shared, "tile-keys")
+    known = KeyFilter.build(shared)
+    drop(shared)
     rows = stage(signatures(docs, width, bands, known), "signatures")
     classes = stage(
         rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.max(F.when(F.size("keys") > 0, F.col("keys"))).alias("keys")), "classes"
@@ -277,9 +270,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     sets = rows.where("hashes is not null").select("cls", "hashes", "bits")
     tiles = open_tiles(classes.select("cls", "n", F.explode("keys").alias("key")).withColumn("root", F.col("cls"))).drop("root")
     tiles = stage(tiles, "tiles")
-    live = tiles.select("cls").distinct()
+    live = stage(tiles.select("cls").distinct(), "live")
     sets = stage(sets.join(live, "cls", "left_semi").groupBy("cls").agg(F.first("hashes").alias("hashes"), F.first("bits").alias("bits")), "sets")
 
+    drop(live)
     edges, roots = None, None
     for turn in range(PIVOT_ROUNDS + 1):
         left = stage(open_tiles(rooted(tiles, roots)), "open-tiles")
@@ -295,10 +289,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         new = verified(pairs, sets, num, den)
         edges = stage(new if edges is None else edges.unionByName(new), "links")
         roots = components(edges)
-    if roots is None:
-        named = classes.select("cls", F.col("doc_id").alias("component_id"))
-    else:
-        whole = stage(rooted(classes.select("cls", "doc_id"), roots), "rooted")
-        named = whole.join(whole.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("cls", "component_id")
-    out = rows.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = rooted(classes.select("cls"), roots)
+    return rows.select("doc_id", "t", "n_shingles", "cls").hint("merge").join(named, "cls", "left").select("doc_id", "t", "n_shingles", "root")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document.
+
+    Two documents link when the Jaccard similarity of their sets of distinct
+    ``width``-word shingles is ``num / den`` or more (words are runs of anything
+    but ASCII white space, A-Z lower-cased); component_id is the smallest
+    doc_id reachable over links, the document's own included. Null, empty and
+    blank texts have an empty set and link with nothing. Repeated rows are
+    copies of each other. An empty table gives no rows; columns other than
+    doc_id and text are not read.
+    """
+    rows = stage(grouped(docs, width, num, den), "grouped")
+    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.hint("merge").join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, the one with the smallest doc_id.
+
+    Documents that link with nothing stay, empty ones among them; of rows that
+    repeat id and text one stays, unless the text is blank.
+    """
+    rows = stage(grouped(docs, width, num, den), "grouped")
+    k = F.coalesce("doc_id", F.lit(-(2**63)))
+    one = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(k.alias("k"), "t")).alias("one"), F.min("n_shingles").alias("n"))
+    one = one.select("one.k", "one.t", F.lit(True).alias("single"))
+    free = rows.where("root is null").select(k.alias("k"), "t", F.lit(False).alias("single")).distinct()
+    keep = stage(one.unionByName(free), "kept")
+    twice = rows.where("root is not null").select(k.alias("k"), "t").groupBy("k", "t").agg(F.count("*").alias("n")).where("n > 1")
+    out = docs.withColumn("__k", k).withColumn("__t", F.xxhash64("text")).hint("merge").join(keep.select(F.col("k").alias("__k"), F.col("t").alias("__t"), F.col("single").alias("__single")), ["__k", "__t"])
+    if not twice.isEmpty():
+        turn = F.row_number().over(Window.partitionBy("__k", "__t").orderBy("__k"))
+        out = out.withColumn("__turn", turn).where("not __single or __turn = 1")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -105,8 +105,8 @@ def new_ledger(spark: SparkSession) -> Ledger:
     return Ledger(spark, f"{shared_folder(spark).rstrip('/')}/pelorus-ledger-{uuid.uuid4().hex}")
 
 
-def scan(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, content: str = "text") -> DataFrame:
-    """Add ``spans`` to every row of ``versions``, scanning only what the ledger lacks.
+def scan(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, content: str = "text", into: str = "spans") -> DataFrame:
+    """Add the spans, as column ``into``, to every row of ``versions``, scanning only what the ledger lacks.
 
     Blobs are told apart by hash, and one text for each is gathered with
     partial aggregation, so that copies are dropped before anything moves.
@@ -120,9 +120,9 @@ def scan(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, c
     blobs = addressed.select(F.col("__blob").alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
     unseen = blobs.join(done, "blob", "left_anti")
     ledger.add(unseen.select("blob", F.lit(version).alias("rules_version"), find_spans(F.col("text"), rules).alias("spans")))
-    found = ledger.table().where((F.col("rules_version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("__blob"), "spans")
-    out = addressed.join(found, "__blob", "left").drop("__blob")
-    return out.withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    found = ledger.table().where((F.col("rules_version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    out = addressed.join(found, "__blob", "left")
+    return out.withColumn(into, F.coalesce("__spans", F.array().cast(SPANS))).select(*versions.columns, into)
 
 
 def spans_text(spans: Column) -> Column:
@@ -142,3 +142,15 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
         return F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
 
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(text)
+
+
+def without_secrets(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with every found span masked in ``text``; n_chars, if there, is the new length.
+
+    All rows stay, null texts as they are.
+    """
+    found = scan(docs, ledger, rules, into="__found")
+    out = found.withColumn("text", redacted(F.col("text"), F.col("__found"))).drop("__found")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import BLOCK_BYTES, blocks, stage
+from pelorus.llm.common import portions, stage
 
 #: Words with counts in every worker; of these, words that are clustered; classes of them; sweeps.
 HEAD, CORE, CLASSES, SWEEPS = 65_536, 1500, 80, 3
@@ -40,10 +40,8 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[list[bytes]]]]:
-    texts = batch.column(column).to_pylist()
-    for start, stop in blocks(np.array([len(t or "") for t in texts], dtype=np.int64), BLOCK_BYTES):
-        yield start, [_words(t) for t in texts[start:stop]]
+def _texts(batch: pa.RecordBatch, column: int) -> list[list[bytes]]:
+    return [_words(t) for t in batch.column(column).to_pylist()]
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -55,14 +53,13 @@ def count_words(docs: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.binary()), pa.array(list(seen.values()), type=pa.int64())], names=["w", "c"])
 
-        for batch in batches:
-            for _, texts in _texts(batch, 0):
-                for words in texts:
-                    seen.update(words)
-                seen[END] += len(texts)
-                if len(seen) > FLUSH:
-                    yield out()
-                    seen.clear()
+        for batch in portions(batches, 0):
+            for words in _texts(batch, 0):
+                seen.update(words)
+            seen[END] += batch.num_rows
+            if len(seen) > FLUSH:
+                yield out()
+                seen.clear()
         yield out()
 
     return docs.select("text").mapInArrow(count, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
@@ -162,15 +159,14 @@ def train(docs: DataFrame, head: int = HEAD, core: int = CORE, classes: int = CL
         numbers, symbols = shared.value
         lookup = np.append(symbols, rare)
         get = numbers.get
-        for batch in batches:
-            for _, texts in _texts(batch, 0):
-                flat = [0]
-                for ws in texts:
-                    flat += [get(w, -1) for w in ws]
-                    flat.append(0)
-                s = lookup[np.array(flat)]
-                code, times = np.unique(s[:-1] * n + s[1:], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(times)], names=["code", "n"])
+        for batch in portions(batches, 0):
+            flat = [0]
+            for ws in _texts(batch, 0):
+                flat += [get(w, -1) for w in ws]
+                flat.append(0)
+            s = lookup[np.array(flat)]
+            code, times = np.unique(s[:-1] * n + s[1:], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(times)], names=["code", "n"])
 
     seen = docs.select("text").mapInArrow(pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     table = seen.toArrow()  # n squared rows at most
@@ -214,21 +210,20 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: tuple[str, ...
         klass = np.append(own.klass, own.rare)
         emission, plus = np.append(own.emission, 0.0), np.append(np.log10(own.count + 1.0), 0.0)
         known = np.append(own.count > 0, False)
-        for batch in batches:
+        for batch in portions(batches, len(cols)):
             at = len(cols)
             tokens, head_known, base, score_, tail, times, sizes = ([] for _ in range(7))
-            for _, texts in _texts(batch, at):
-                for ws in texts:
-                    ids = np.array([get(w, -1) for w in ws] + [0])
-                    c = klass[np.concatenate([[0], ids])]
-                    tokens.append(len(ids))
-                    head_known.append(int(known[ids].sum()))
-                    base.append(float(plus[ids].sum()))
-                    score_.append(float(own.transition[c[:-1], c[1:]].sum() + emission[ids].sum()))
-                    rare = Counter([ws[i] for i in np.flatnonzero(ids < 0)])
-                    tail.extend(rare)
-                    times.extend(rare.values())
-                    sizes.append(len(rare))
+            for ws in _texts(batch, at):
+                ids = np.array([get(w, -1) for w in ws] + [0])
+                c = klass[np.concatenate([[0], ids])]
+                tokens.append(len(ids))
+                head_known.append(int(known[ids].sum()))
+                base.append(float(plus[ids].sum()))
+                score_.append(float(own.transition[c[:-1], c[1:]].sum() + emission[ids].sum()))
+                rare = Counter([ws[i] for i in np.flatnonzero(ids < 0)])
+                tail.extend(rare)
+                times.extend(rare.values())
+                sizes.append(len(rare))
             offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
             np.cumsum(sizes, out=offsets[1:])
             entries = pa.StructArray.from_arrays([pa.array(tail, type=pa.binary()), pa.array(times, type=pa.int32())], names=["w", "n"])

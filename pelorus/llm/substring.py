@@ -32,28 +32,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import BLOCK_BYTES, KeyFilter, WordHashes, blocks, mixed, stage
+from pelorus.llm.common import KeyFilter, WordHashes, drop, mixed, portions, stage
 
 #: Words in an anchor and in the first symbol of a path.
 PREFIX = 16
-#: Leaves of a group, on average, and of a prefix that is not lengthened, at most.
-GROUP_LEAVES, PREFIX_LEAVES = 400_000, 20_000
-#: Prefixes are counted in so many slots.
-SLOTS = 1 << 16
+#: Prefixes of the first length, by the first symbol's leading bits, and leaves of a group at most.
+PREFIX_BITS, GROUP_LEAVES = 9, 200_000
 
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
-SETTLED, LEAF, STANDS_FOR_MANY = 0, 1, 2
+_A, _B = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+SETTLED, ASKS, STANDS_FOR_MANY = 0, 1, 2
+#: A leaf's row: its document's id and text hash, its start, its path, and whether it asks.
+LEAF = np.dtype([("k", "<i8"), ("t", "<i8"), ("start", "<i4"), ("first", "<u4"), ("second", "<u8"), ("kind", "u1")])
 
 
-def runs(h: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
-    """Polynomial hash of the ``k`` numbers from each place on."""
+def runs(h: np.ndarray, k: int, base: int) -> np.ndarray:
+    """Polynomial hash of the ``k`` numbers from each place on, put together from runs of powers of two."""
     n = max(0, len(h) - k + 1)
-    out = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        out = out * base + h[j : j + n]
+    out, done, part, size = np.zeros(n, dtype=np.uint64), 0, h, 1
+    while size <= k:
+        if k & size:
+            out = out * np.uint64(pow(base, size, 1 << 64)) + part[done : done + n]
+            done += size
+        if 2 * size <= k:
+            part = part[: len(part) - size] * np.uint64(pow(base, size, 1 << 64)) + part[size:]
+        size *= 2
     return out
 
 
+def sliding(x: np.ndarray, k: int, best: np.ufunc) -> np.ndarray:
+    """``best`` (np.minimum or np.maximum) of the ``k`` numbers from each place on."""
+    size = 1
+    while 2 * size <= k:
+        x = best(x[: len(x) - size], x[size:])
+        size *= 2
+    return best(x[: len(x) - (k - size)], x[k - size :]) if k > size else x
+
+
 class Windows:
     """The windows of a run of texts laid end to end, with their anchors."""
 
@@ -66,29 +80,29 @@ class Windows:
         ends = np.cumsum(self.lengths)
         self.first = ends - self.lengths
         prefix = min(PREFIX, window)
-        self.prefix = mixed(runs(self.h, prefix, _A))
+        self.span = window - prefix + 1
         n = max(0, len(self.h) - window + 1)
+        self.prefix = mixed(runs(self.h, prefix, _A)) if n else np.empty(0, dtype=np.uint64)
+        self.inside = np.arange(n) + window <= ends[self.row[:n]]
         #: starts of windows that lie in one text
-        self.at = np.flatnonzero(np.arange(n) + window <= ends[self.row[:n]])
-        span = window - prefix + 1
-        if len(self.at):
-            views = np.lib.stride_tricks.sliding_window_view(self.prefix, span)
-            self.anchor = np.arange(n)
-            for start in range(0, n, 1 << 18):
-                self.anchor[start : start + (1 << 18)] += views[start : start + (1 << 18)].argmin(axis=1)[: n - start]
-            self.anchor = self.anchor[self.at]
-        else:
-            self.anchor = np.empty(0, dtype=np.int64)
+        self.at = np.flatnonzero(self.inside)
+        self.least = sliding(self.prefix, self.span, np.minimum) if n else self.prefix
 
     def anchors(self) -> np.ndarray:
-        """Hashes of the distinct anchor places."""
-        return self.prefix[np.unique(self.anchor)].view(np.int64)
+        """Hashes at the places that are least in some window."""
+        if not len(self.at):
+            return np.empty(0, dtype=np.int64)
+        edge = np.zeros(self.span - 1, dtype=np.uint64)
+        around = np.concatenate([edge, np.where(self.inside, self.least, np.uint64(0)), edge])
+        return self.prefix[sliding(around, self.span, np.maximum) == self.prefix].view(np.int64)
 
     def paths(self, known: KeyFilter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and the two path symbols of the windows whose anchor may be repeated."""
-        at = self.at[known.has(self.prefix[self.anchor].view(np.int64))] if len(self.at) else self.at
-        whole = runs(mixed(self.h ^ _B), self.window, _B)
-        return at, self.prefix[at].view(np.int64), mixed(whole[at]).view(np.int64)
+        if not len(self.at):
+            return self.at, np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.uint64)
+        at = self.at[known.has(self.least[self.at].view(np.int64))]
+        whole = runs(mixed(self.h ^ np.uint64(_B)), self.window, _B)
+        return at, (self.prefix[at] >> np.uint64(32)).astype(np.uint32), mixed(whole[at])
 
 
 def depths(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,15 +115,38 @@ def depths(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarra
     a, b = first[order], second[order]
     same = (a[1:] == a[:-1]).astype(np.int8)
     same += (same == 1) & (b[1:] == b[:-1])
-    edge = np.zeros(1, dtype=np.int8)
+    edge = np.zeros(min(1, len(order)), dtype=np.int8)
     return order, np.maximum(np.concatenate([edge, same]), np.concatenate([same, edge]))
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about ``BLOCK_BYTES``, as UTF-8, with the row of the first."""
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(column).to_pylist()]
-    for start, stop in blocks(np.array([len(t) for t in texts], dtype=np.int64), BLOCK_BYTES):
-        yield start, texts[start:stop]
+def packed(leaves: np.ndarray) -> bytes:
+    """Leaves as bytes, field by field, which compresses better than row by row."""
+    return b"".join(np.ascontiguousarray(leaves[f]).tobytes() for f in LEAF.names)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // LEAF.itemsize
+    out, at = np.empty(n, dtype=LEAF), 0
+    for f in LEAF.names:
+        size = LEAF[f].itemsize * n
+        out[f] = np.frombuffer(data[at : at + size], dtype=LEAF[f])
+        at += size
+    return out
+
+
+def new_run(*columns: np.ndarray) -> np.ndarray:
+    """Places where a run of starts begins: another document, or a gap in the starts (the last column)."""
+    if not len(columns[0]):
+        return np.empty(0, dtype=np.int64)
+    change = columns[-1][1:] > columns[-1][:-1] + 1
+    for c in columns[:-1]:
+        change |= c[1:] != c[:-1]
+    return np.flatnonzero(np.concatenate([[True], change]))
+
+
+def _bytes(batch: pa.RecordBatch) -> list[bytes]:
+    """The texts (first column) as UTF-8; null is empty."""
+    return [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -120,81 +157,110 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_anchors(docs: DataFrame, window: int) -> KeyFilter:
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            for _, texts in _texts(batch, 0):
-                keys, n = np.unique(Windows(texts, window, hashes).anchors(), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys, keys[n > 1]]))], names=["key"])
+        for batch in portions(batches, 0):
+            keys, n = np.unique(Windows(_bytes(batch), window, hashes).anchors(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys, keys[n > 1]]))], names=["key"])
 
     counted = docs.select("text").mapInArrow(anchors, "key long").groupBy("key").agg(F.count("*").alias("n"))
-    return KeyFilter.build(stage(counted.where("n > 1").select("key"), "anchors"))
+    keys = stage(counted.where("n > 1").select("key"), "anchors")
+    out = KeyFilter.build(keys)
+    drop(keys)
+    return out
 
 
 def leaves(docs: DataFrame, window: int, known: KeyFilter) -> DataFrame:
-    """Leaves (kind, k, t, start, stop, first, second) of all suffixes that may be repeated.
+    """All suffixes that may be repeated, after each task's own tree: (prefix, n, data).
 
-    SETTLED rows are runs of window starts known to be repeated; LEAF rows ask;
-    STANDS_FOR_MANY rows only answer.
+    A row holds a block's leaves below one prefix. Runs of starts of windows
+    which the block settles itself come with prefix -1, in the same form:
+    start, and in ``second`` the run's length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def local_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, filter_ = WordHashes(), shared.value
-        for batch in batches:
+        for batch in portions(batches, 0):
             k, t = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for top, texts in _texts(batch, 0):
-                w = Windows(texts, window, hashes)
-                at, first, second = w.paths(filter_)
-                order, depth = depths(first, second)
-                single = order[depth < 2]
-                many = order[depth == 2]
-                one = many[np.concatenate([[True], (first[many][1:] != first[many][:-1]) | (second[many][1:] != second[many][:-1])])] if len(many) else many
-                settled = np.sort(at[many])
-                row = w.row[settled]
-                cut = np.flatnonzero(np.concatenate([[True], (settled[1:] != settled[:-1] + 1) | (row[1:] != row[:-1])])) if len(settled) else np.empty(0, dtype=np.int64)
-                last = np.append(cut[1:], len(settled)) - 1 if len(cut) else cut
-                rows = np.concatenate([w.row[settled[cut]], w.row[at[single]], w.row[at[one]]])
-                begin = np.concatenate([settled[cut], at[single], at[one]]) - w.first[rows]
-                end = np.concatenate([settled[last] if len(cut) else settled, at[single], at[one]]) - w.first[rows]
-                none = np.zeros(len(cut), dtype=np.int64)
-                kind = np.repeat(np.array([SETTLED, LEAF, STANDS_FOR_MANY], dtype=np.int8), [len(cut), len(single), len(one)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kind), pa.array(k[top + rows]), pa.array(t[top + rows]), pa.array(begin.astype(np.int32)), pa.array((end + 1).astype(np.int32)), pa.array(np.concatenate([none, first[single], first[one]])), pa.array(np.concatenate([none, second[single], second[one]]))],
-                    names=["kind", "k", "t", "start", "stop", "first", "second"],
-                )
-
-    return _keyed(docs).select("text", "k", "t").mapInArrow(local_trees, "kind byte, k long, t long, start int, stop int, first long, second long")
+            w = Windows(_bytes(batch), window, hashes)
+            at, first, second = w.paths(filter_)
+            order, depth = depths(first, second)
+            alone, many = order[depth < 2], order[depth == 2]
+            one = many[np.concatenate([[True], (first[many][1:] != first[many][:-1]) | (second[many][1:] != second[many][:-1])])] if len(many) else many
+            sent = np.concatenate([alone, one])
+            rows = np.empty(len(sent), dtype=LEAF)
+            doc = w.row[at[sent]]
+            rows["k"], rows["t"], rows["start"] = k[doc], t[doc], at[sent] - w.first[doc]
+            rows["first"], rows["second"], rows["kind"] = first[sent], second[sent], np.repeat([ASKS, STANDS_FOR_MANY], [len(alone), len(one)])
+            prefix = rows["first"] >> np.uint32(32 - PREFIX_BITS)
+            rows = rows[np.lexsort((rows["start"], rows["t"], rows["k"], prefix))]
+            prefix = rows["first"] >> np.uint32(32 - PREFIX_BITS)
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]])) if len(rows) else np.empty(0, dtype=np.int64), len(rows))
+            settled = np.sort(at[many])
+            doc = w.row[settled]
+            cut = new_run(doc, settled)
+            own = np.zeros(len(cut), dtype=LEAF)
+            own["k"], own["t"], own["start"] = k[doc[cut]], t[doc[cut]], settled[cut] - w.first[doc[cut]]
+            own["second"] = np.diff(np.append(cut, len(settled)))
+            parts = [rows[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)] + [own]
+            names = [*(prefix[cuts[:-1]].tolist() if len(rows) else []), -1]
+            yield pa.RecordBatch.from_arrays([pa.array(names, type=pa.int32()), pa.array([len(x) for x in parts], type=pa.int64()), pa.array([packed(x) for x in parts], type=pa.binary())], names=["prefix", "n", "data"])
+
+    return _keyed(docs).select("text", "k", "t").mapInArrow(local_trees, "prefix int, n long, data binary")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """(k, t, start, stop): runs of starts of repeated windows, out of stored leaves."""
-    asked = found.where(F.col("kind") != SETTLED)
-    slot = F.col("first").bitwiseAND(SLOTS - 1)
-    heavy = asked.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
-    total = heavy.agg(F.sum("n")).first()[0] or 0
-    long_ = heavy.where(F.col("n") > PREFIX_LEAVES).select("slot")  # SLOTS rows at most
-    groups = max(1, -(-total // GROUP_LEAVES))
-    dealt = asked.withColumn("slot", slot).join(F.broadcast(long_.withColumn("lengthen", F.lit(True))), "slot", "left")
-    prefix = F.when(F.col("lengthen"), F.xxhash64("first", "second")).otherwise(F.xxhash64("first"))
-    dealt = dealt.select("kind", "k", "t", "start", "first", "second", prefix.alias("prefix")).repartition(groups, "prefix")
+    """(k, t, start, n): runs of starts of repeated windows, out of stored leaves.
+
+    A prefix with more than ``GROUP_LEAVES`` leaves is lengthened: its leaves
+    are told apart by what follows in their paths, in as many parts as it takes.
+    """
+    sizes = {r["prefix"]: r["n"] for r in found.where("prefix >= 0").groupBy("prefix").agg(F.sum("n").alias("n")).collect()}
+    parts = {p: -(-n // GROUP_LEAVES) for p, n in sizes.items()}
+    first_group = dict(zip(parts, (np.cumsum([0, *parts.values()])[:-1]).tolist(), strict=True))
+
+    def lengthen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups, data = [], []
+            for prefix, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if parts[prefix] == 1:
+                    groups.append(first_group[prefix])
+                    data.append(d)
+                else:
+                    rows = unpacked(d)
+                    part = rows["second"] % np.uint64(parts[prefix])
+                    for i in np.unique(part).tolist():
+                        groups.append(first_group[prefix] + i)
+                        data.append(packed(rows[part == i]))
+            yield pa.RecordBatch.from_arrays([pa.array(groups, type=pa.int64()), pa.array(data, type=pa.binary())], names=["grp", "data"])
 
     def tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        kind, k, t, start, first, second = (table.column(c).to_numpy() for c in ("kind", "k", "t", "start", "first", "second"))
-        order, depth = depths(first, second)
-        hit = order[(depth == 2) & (kind[order] == LEAF)]
-        hit = hit[np.lexsort((start[hit], t[hit], k[hit]))]
-        k, t, start = k[hit], t[hit], start[hit]
-        if not len(hit):
-            return
-        cut = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (t[1:] != t[:-1]) | (start[1:] > start[:-1] + 1)]))
-        stop = start[np.append(cut[1:], len(start)) - 1] + 1
-        yield pa.RecordBatch.from_arrays([pa.array(k[cut]), pa.array(t[cut]), pa.array(start[cut]), pa.array(stop)], names=["k", "t", "start", "stop"])
-
-    answered = dealt.drop("prefix").mapInArrow(tree, "k long, t long, start int, stop int")
-    return answered.unionByName(found.where(F.col("kind") == SETTLED).select("k", "t", "start", "stop"))
+        by_group: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for g, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by_group.setdefault(g, []).append(d)
+        for g in list(by_group):
+            rows = np.concatenate([unpacked(d) for d in by_group.pop(g)])
+            order, depth = depths(rows["first"], rows["second"])
+            hit = rows[order[(depth == 2) & (rows["kind"][order] == ASKS)]]
+            hit = hit[np.lexsort((hit["start"], hit["t"], hit["k"]))]
+            yield as_runs(hit, np.ones(len(hit), dtype=np.int64))
+
+    def as_runs(rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        cut = new_run(rows["k"], rows["t"], rows["start"])
+        total = np.add.reduceat(n, cut) if len(cut) else n
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[f][cut])) for f in ("k", "t", "start")), pa.array(total.astype(np.int32))], names=["k", "t", "start", "n"])
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d in batch.column(0).to_pylist():
+                rows = unpacked(d)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[f])) for f in ("k", "t", "start")), pa.array(rows["second"].astype(np.int32))], names=["k", "t", "start", "n"])
+
+    schema = "k long, t long, start int, n int"
+    asked = found.where("prefix >= 0").select("prefix", "data").mapInArrow(lengthen, "grp long, data binary")
+    groups = max(1, sum(parts.values()))
+    answered = asked.repartition(min(groups, max(12, -(-sum(sizes.values()) // GROUP_LEAVES))), "grp").mapInArrow(tree, schema)
+    return answered.unionByName(found.where("prefix < 0").select("data").mapInArrow(settled, schema))
 
 
 def dedup(docs: DataFrame, window: int = 35) -> DataFrame:
@@ -209,19 +275,21 @@ def dedup(docs: DataFrame, window: int = 35) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     found = stage(leaves(docs, window, repeated_anchors(docs, window)), "leaves")
-    spans = repeated(found).groupBy("k", "t").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = _keyed(docs).hint("merge").join(spans, ["k", "t"], "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
+    spans = stage(repeated(found).groupBy("k", "t").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
+    drop(found)
+    joined = _keyed(docs).hint("merge").join(spans, ["k", "t"], "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.n").alias("ns"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             total, gone, kept = [], [], []
-            for text, starts, stops in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+            for text, starts, ns in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
                 total.append(len(words))
                 if starts.is_valid:
                     turn = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(turn, starts.values.to_numpy(), 1)
-                    np.add.at(turn, stops.values.to_numpy() - 1 + window, -1)
+                    begin = starts.values.to_numpy()
+                    np.add.at(turn, begin, 1)
+                    np.add.at(turn, begin + ns.values.to_numpy() - 1 + window, -1)
                     stay = np.flatnonzero(np.cumsum(turn[:-1]) == 0)
                     words = [words[i] for i in stay]
                 gone.append(total[-1] - len(words))

@@ -45,7 +45,7 @@ def combined(features: DataFrame, grid: GridSpec, dilation: int = 2, no_go_dilat
     fine = grid.scaled(supersample)
     lines = geojson.lines(features).withColumn("kind", tags.type_for_mask(*geojson.tag_columns()))
     lines = pixel_lines(lines, fine).withColumn("line_id", F.struct("feature_id", "part", "ring"))
-    lane_lines = lines.where(F.col("kind") == tags.LANE).withColumn("points", raster.extend_polyline(F.col("points"), extend))
+    lane_lines = lines.where(F.col("kind") == tags.LANE).withColumn("points", raster.extend_polyline(F.col("points"), extend * supersample))
     other = lines.where(F.col("kind") != tags.LANE)
     closed = is_closed(F.col("points"), 2 * supersample)
     lanes = raster.dilate_lanes(raster.rasterize(lane_lines, fine), dilation, fine)

@@ -19,10 +19,10 @@ def read_features(spark: SparkSession, path: str, glob: str | None = None) -> Da
     text that ``lines`` parses by geometry type. feature_id follows the order
     in the files.
     """
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    text = reader.text(path).select("value", F.input_file_name().alias("file"))
+    text = reader.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
     whole = F.from_json("value", f"struct<features:array<{_FEATURE}>>")["features"]
     bare = F.from_json("value", f"array<{_FEATURE}>")
     is_array = F.ltrim("value").startswith("[")

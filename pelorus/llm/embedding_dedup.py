@@ -75,13 +75,13 @@ def near(index: Layers, queries: np.ndarray, threshold: float) -> tuple[np.ndarr
         r, c = np.nonzero(scores[sample] >= low)
         hit[r, ids[sample][r, c]] = True
         full = scores[:, -1] >= low
-        if (hit & truth).sum() < LEAST_RECALL * truth.sum():
-            again = np.arange(len(queries))
-        elif full.any():
+        if full.any():  # their beams end within the threshold
             again = np.flatnonzero(full)
+        elif (hit & truth).sum() < LEAST_RECALL * truth.sum():
+            again = np.arange(len(queries))
         else:
             break
-        beam = min(2 * beam, n)
+        beam = min(4 * beam, n)
         more_i, more_s = _wide(index, queries[again], beam)
         wide_i, wide_s = np.full((len(queries), beam), -1), np.full((len(queries), beam), -np.inf, dtype=np.float32)
         wide_i[:, : ids.shape[1]], wide_s[:, : ids.shape[1]] = ids, scores
@@ -92,8 +92,8 @@ def near(index: Layers, queries: np.ndarray, threshold: float) -> tuple[np.ndarr
 
 
 def _wide(index: Layers, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Search, by all vectors once the beam holds a quarter of them."""
-    if 4 * beam < len(index.vectors):
+    """Search; a beam that would open most of the graph gives way to a look at all vectors."""
+    if DEGREE * beam < len(index.vectors):
         return index.search(queries, beam)
     ids, scores = np.empty((len(queries), beam), dtype=np.int64), np.empty((len(queries), beam), dtype=np.float32)
     for lo in range(0, len(queries), 256):

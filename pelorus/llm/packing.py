@@ -15,6 +15,8 @@ the loss against packing everything at once is below a thousandth.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,54 +26,105 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import as_words
+from pelorus.llm.common import portions
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Word encodings a worker remembers; beyond it the memory starts anew.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 500_000
 
-_tokenizers: dict[str, object] = {}
+_encoders: dict[str, WordEncoder] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        from tokenizers import Tokenizer
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder for a vocabulary; it outlives a task, and so does what it remembers."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
+# Letters and numbers below U+0250, and the pieces the vocabulary's splitter makes of
+# a lower-case word: contractions, runs of letters, single numbers, runs of anything else.
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+#: Characters that Python counts as white space and the vocabulary may not.
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary.
+
+    Printable bytes stand for themselves, the others for the characters from 256 on.
+    """
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class _Encoded(dict):
-    """Word -> bytes of its ids; unseen words are encoded as they are asked for."""
+    """Word -> bytes of its ids; unseen words are encoded as they are asked for.
+
+    Words of the Latin alphabet are put together from their pieces, which many
+    words share and which the bare model encodes; others go to the tokenizer.
+    When it has grown full, it starts anew and takes over what is asked again.
+    """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model, self.old, self.pieces = tokenizer, tokenizer.model, {}, {}
+        self.characters = byte_characters()
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() and piece.isalnum() else "".join([self.characters[b] for b in piece.encode()])
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = out = np.asarray(ids, dtype="<u4").tobytes()
+        out = self.old.get(word)
+        if out is None:
+            low = word.lower()
+            if low.isascii() or max(low) < "\u0250":
+                parts = []
+                for p in _PIECES.findall(low):
+                    e = self.pieces.get(p)
+                    if e is None:
+                        e = self.pieces[p] = self._piece(p)
+                    parts.append(e)
+                out = b"".join(parts)
+            else:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+                out = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = out
         return out
 
+    def trim(self) -> None:
+        if len(self) > REMEMBERED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        if len(self.pieces) > REMEMBERED_WORDS:
+            self.pieces.clear()
+
 
 class WordEncoder:
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
     The vocabulary is one whose pieces never cross white space, so each word
-    is encoded once and remembered. Texts that hold a special token's string
-    go to the tokenizer whole.
+    is encoded once and remembered. Texts that may hold a special token's
+    string, or white space on which Python and the vocabulary may differ, go
+    to the tokenizer whole.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memory = _Encoded(self.tokenizer)
 
     def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        odd = any(c in text for c in "\x1c\x1d\x1e\x1f") if text.isascii() else _ODD_SPACE.search(text)
+        if odd or any(s in text for s in self.special):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self.memory) > REMEMBERED_WORDS:
-            self.memory.clear()
+        self.memory.trim()
         return b"".join(map(self.memory.__getitem__, text.split()))
 
 
@@ -82,12 +135,12 @@ def tokenize(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int =
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(vocabulary)
+        encode = encoder(vocabulary)
         end = np.asarray([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in portions(batches, 1):
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = encode(text or "") + end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     part = ids[4 * start : 4 * (start + window)]

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pelorus.llm.common import portions
+
 #: Hashed features.
 DIM = 1 << 18
 #: Lengths of word beginnings that are features besides the whole word.
@@ -141,12 +143,13 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     million = 1_000_000
     draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(million))
     toxic = marks.where((F.col("toxic") == 1) & (draw < round(million * min(1.0, positives / max(1, seen["toxic"]))))).select("doc_id", F.lit(1).alias("kind"))
-    pos = docs.select("doc_id", "text").join(toxic, "doc_id")
+    # about ``positives`` ids whatever the input's size, so that no text moves for them
+    pos = docs.select("doc_id", "text").join(F.broadcast(toxic), "doc_id")
     any_ = docs.select("doc_id", "text", F.lit(0).alias("kind")).where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(million)) < round(million * min(1.0, unlabelled / max(1, total))))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Featurizer()
-        for batch in batches:
+        for batch in portions(batches, 1):
             rows = [of(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, type=pa.binary())], names=["doc_id", "kind", "features"])
 
@@ -170,7 +173,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
         weights = np.zeros(DIM)
         weights[sparse] = values
         of, own = Featurizer(), Model(weights, bias)
-        for batch in batches:
+        for batch in portions(batches, len(cols)):
             s = np.array([own.score(of(t)) for t in batch.column(len(cols)).to_pylist()], dtype=float)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(cols))), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*cols, "score", "predicted"])
 

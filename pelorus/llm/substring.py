@@ -243,12 +243,10 @@ def repeated(found: DataFrame) -> DataFrame:
             order, depth = depths(rows["first"], rows["second"])
             hit = rows[order[(depth == 2) & (rows["kind"][order] == ASKS)]]
             hit = hit[np.lexsort((hit["start"], hit["t"], hit["k"]))]
-            yield as_runs(hit, np.ones(len(hit), dtype=np.int64))
-
-    def as_runs(rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        cut = new_run(rows["k"], rows["t"], rows["start"])
-        total = np.add.reduceat(n, cut) if len(cut) else n
-        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[f][cut])) for f in ("k", "t", "start")), pa.array(total.astype(np.int32))], names=["k", "t", "start", "n"])
+            cut = new_run(hit["k"], hit["t"], hit["start"])  # rows that repeat id and text have equal starts
+            last = np.append(cut[1:], len(hit)) - 1 if len(cut) else cut
+            n = hit["start"][last] - hit["start"][cut] + 1
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(hit[f][cut])) for f in ("k", "t", "start")), pa.array(n.astype(np.int32))], names=["k", "t", "start", "n"])
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

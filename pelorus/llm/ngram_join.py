@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import KeyFilter, WordHashes, array_column, drop, mixed, portions, stage
+from pelorus.llm.common import KeyFilter, WordHashes, array_column, arrow_rows, drop, mixed, portions, stage
 from pelorus.llm.graph import components
 
 #: Rounds of pivots before the rest is compared in blocks.
@@ -39,7 +39,9 @@ PIVOT_ROUNDS = 2
 #: Sets in a side of a block.
 BLOCK_SETS = 1024
 #: Rows of a bin of blocks, on average.
-BIN_ROWS = 20_000
+BIN_ROWS = 6_000
+#: Rows of an Arrow batch, as a row may hold two sets.
+BATCH_ROWS = 500
 
 SIGNATURES = "doc_id long, t long, n_shingles long, cls binary, keys array<long>, hashes binary, bits binary"
 
@@ -69,16 +71,28 @@ class Bands:
         return tuple(out)
 
 
-def shingles(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``width`` words; of the whole text if it has fewer words."""
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = hashes.of(words)
-    width = min(width, len(words))
-    out = np.full(len(h) - width + 1, width, dtype=np.uint64)
+def shingle_sets(texts: list[bytes], width: int, hashes: WordHashes) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its runs of ``width`` words; of the whole text if it has fewer."""
+    words = [t.lower().split() for t in texts]
+    lengths = [len(w) for w in words]
+    h = np.concatenate([hashes.of(w) for w in words]) if words else np.empty(0, dtype=np.uint64)
+    base = np.uint64(0x9E3779B97F4A7C15)
+    runs = np.zeros(max(0, len(h) - width + 1), dtype=np.uint64)
     for k in range(width):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - width + 1 + k])
-    return np.unique(out)
+        runs = runs * base + h[k : k + len(runs)]
+    runs = mixed(runs + np.uint64(width))
+    at = 0
+    for n in lengths:
+        if n >= width:
+            yield np.unique(runs[at : at + n - width + 1])
+        elif n:
+            whole = np.zeros(1, dtype=np.uint64)
+            for x in h[at : at + n]:
+                whole = whole * base + x
+            yield mixed(whole + np.uint64(n))
+        else:
+            yield np.empty(0, dtype=np.uint64)
+        at += n
 
 
 def tile_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
@@ -94,9 +108,9 @@ def tile_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray, bands: Bands) -> bytes:
-    """Hashed bitmap of the set, about eight bits an element; one length for all sets that may be similar."""
+    """Hashed bitmap of the set, eight to twenty bits an element; one length for all sets that may be similar."""
     size = 64
-    while size < 4 * bands.edges[bands.of(len(s))[0][0] + 1]:
+    while size < 8 * bands.edges[bands.of(len(s))[0][0] + 1]:
         size *= 2
     return _bits(s, size).tobytes()
 
@@ -129,15 +143,14 @@ def signatures(docs: DataFrame, width: int, bands: Bands, known: KeyFilter | Non
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(known) if known is not None else None
 
-    def sets(batch: pa.RecordBatch, hashes: WordHashes) -> Iterator[tuple[int, np.ndarray]]:
-        for i, text in enumerate(batch.column(1)):
-            yield i, shingles((text.as_py() or "").encode("utf-8", "surrogatepass").lower().split(), width, hashes)
+    def sets(batch: pa.RecordBatch, hashes: WordHashes) -> Iterator[np.ndarray]:
+        return shingle_sets([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], width, hashes)
 
     def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in portions(batches, 1):
             seen, out = Counter(), [np.empty(0, dtype=np.int64)]
-            for _, s in sets(batch, hashes):
+            for s in sets(batch, hashes):
                 name = s.tobytes()
                 seen[name] += 1
                 if len(s) and seen[name] <= 2:  # twice says that it has a copy
@@ -150,7 +163,7 @@ def signatures(docs: DataFrame, width: int, bands: Bands, known: KeyFilter | Non
         hashes, filter_ = WordHashes(), shared.value
         for batch in portions(batches, 1):
             n, cls, arrays, bits, keys, lengths, seen = [], [], [], [], [], [], set()
-            for _, s in sets(batch, hashes):
+            for s in sets(batch, hashes):
                 n.append(len(s))
                 name = array = mask = None
                 own = np.empty(0, dtype=np.int64)
@@ -260,16 +273,16 @@ def grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(doc_id, t, n_shingles, root) of every document; root names its component, null if it links with nothing."""
     bands = Bands(num, den)
     shared = signatures(docs, width, bands, None).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = stage(shared, "tile-keys")
-    known = KeyFilter.build(shared)
-    drop(shared)
-    rows = stage(signatures(docs, width, bands, known), "signatures")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        shared = stage(shared, "tile-keys")
+        known = KeyFilter.build(shared)
+        drop(shared)
+        rows = stage(signatures(docs, width, bands, known), "signatures")
     classes = stage(
         rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.max(F.when(F.size("keys") > 0, F.col("keys"))).alias("keys")), "classes"
     )
     sets = rows.where("hashes is not null").select("cls", "hashes", "bits")
-    tiles = open_tiles(classes.select("cls", "n", F.explode("keys").alias("key")).withColumn("root", F.col("cls"))).drop("root")
-    tiles = stage(tiles, "tiles")
+    tiles = stage(one_of_equal_tiles(classes.select("cls", "n", F.explode("keys").alias("key"))), "tiles")
     live = stage(tiles.select("cls").distinct(), "live")
     sets = stage(sets.join(live, "cls", "left_semi").groupBy("cls").agg(F.first("hashes").alias("hashes"), F.first("bits").alias("bits")), "sets")
 
@@ -286,13 +299,24 @@ def grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             pairs = to.groupBy("cls").agg(F.min(F.struct("h", "p")).alias("to")).select(F.col("cls").alias("a"), F.col("to.p").alias("b"))
         else:
             pairs = block_pairs(left.join(sets.select("cls", "bits"), "cls"), num, den)
-        new = verified(pairs, sets, num, den)
-        edges = stage(new if edges is None else edges.unionByName(new), "links")
+        with arrow_rows(docs.sparkSession, BATCH_ROWS):
+            new = stage(verified(pairs, sets, num, den), "links")
+        edges = new if edges is None else edges.unionByName(new)
         roots = components(edges)
     named = rooted(classes.select("cls"), roots)
     return rows.select("doc_id", "t", "n_shingles", "cls").hint("merge").join(named, "cls", "left").select("doc_id", "t", "n_shingles", "root")
 
 
+def one_of_equal_tiles(tiles: DataFrame) -> DataFrame:
+    """Rows of one tile out of those that hold the same sets.
+
+    Similar sets agree on most ranges, so most tiles repeat each other.
+    """
+    sums = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    per_tile = tiles.groupBy("key").agg(F.count("*").alias("size"), *sums).where("size > 1")
+    return tiles.join(per_tile.groupBy("size", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
 

@@ -121,11 +121,14 @@ def permute(slots: np.ndarray, n: int, key: str) -> np.ndarray:
 
 
 def lay_out(sized: DataFrame, seed: int) -> DataFrame:
-    """Add ``off``, the place of a document's first word among its source's words."""
+    """Add ``off``, the place of a document's first word among its source's words.
+
+    The order follows id and text alone, however the table is read; rows that
+    repeat both are alike.
+    """
     buckets = max(1, -(-sized.count() // BUCKET_DOCS))
-    order = F.xxhash64("uid", F.lit(seed))
-    keyed = sized.withColumn("bucket", F.pmod(order, F.lit(buckets)))
-    within = Window.partitionBy("src", "bucket").orderBy(F.xxhash64("uid", F.lit(seed), F.lit(1)), "uid")
+    keyed = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "t", F.lit(seed)), F.lit(buckets)))
+    within = Window.partitionBy("src", "bucket").orderBy(F.xxhash64("doc_id", "t", F.lit(seed), F.lit(1)), "doc_id", "t", "uid")
     placed = keyed.withColumn("inside", F.sum("size").over(within) - F.col("size"))
     before = Window.partitionBy("src").orderBy("bucket")
     sums = keyed.groupBy("src", "bucket").agg(F.sum("size").alias("total"))
@@ -155,7 +158,7 @@ def drawn_blocks(spark, plan: list[tuple[int, int, int]], seed: int, shards: int
 
 
 def block_uses(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = MOST_REPEATS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The mix of ``docs`` (uid, doc_id, source, size): sized rows, sources, pieces of documents in blocks.
+    """The mix of ``docs`` (uid, doc_id, t, source, size): sized rows, sources, pieces of documents in blocks.
 
     sources: src, source_size, target. Pieces: uid, first (place in the
     document of the piece's first word), words, n (times taken).

@@ -447,6 +447,65 @@ def ring_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return free.groupBy("point_id").agg(F.count("*").alias("neighbours"))
 
 
+_LISTS = f"{_TRACK}, lines AS (SELECT route_id, list(x ORDER BY seq) AS xs, list(y ORDER BY seq) AS ys, count(*) AS n FROM track GROUP BY route_id)"
+
+
+@query(f"""WITH {_LISTS}, e AS (SELECT route_id, xs[1] AS x0, ys[1] AS y0, xs[1] - xs[2] AS dx0, ys[1] - ys[2] AS dy0, xs[-1] AS x1, ys[-1] AS y1, xs[-1] - xs[-2] AS dx1, ys[-1] - ys[-2] AS dy1, n FROM lines WHERE n >= 2)
+  SELECT route_id, CAST(CASE WHEN dx0 = 0 AND dy0 = 0 THEN x0 ELSE round_even(x0 + dx0 / sqrt(CAST(dx0 * dx0 + dy0 * dy0 AS DOUBLE)) * 4, 0) END AS INTEGER) AS x_first,
+    CAST(CASE WHEN dx0 = 0 AND dy0 = 0 THEN y0 ELSE round_even(y0 + dy0 / sqrt(CAST(dx0 * dx0 + dy0 * dy0 AS DOUBLE)) * 4, 0) END AS INTEGER) AS y_first,
+    CAST(CASE WHEN dx1 = 0 AND dy1 = 0 THEN x1 ELSE round_even(x1 + dx1 / sqrt(CAST(dx1 * dx1 + dy1 * dy1 AS DOUBLE)) * 4, 0) END AS INTEGER) AS x_last,
+    CAST(CASE WHEN dx1 = 0 AND dy1 = 0 THEN y1 ELSE round_even(y1 + dy1 / sqrt(CAST(dx1 * dx1 + dy1 * dy1 AS DOUBLE)) * 4, 0) END AS INTEGER) AS y_last, n + 2 AS points,
+    n >= 3 AND abs(x0 - x1) <= 40 AND abs(y0 - y1) <= 40 AS closed FROM e""")
+def line_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pelorus.plans.masks import is_closed
+
+    lines = track_lines(spark, sf_dir).where(F.size("points") >= 2).withColumn("e", raster.extend_polyline(F.col("points"), 4))
+    first, last = F.col("e")[0], F.element_at("e", -1)
+    return lines.select(F.col("line_id").alias("route_id"), first["x"].alias("x_first"), first["y"].alias("y_first"), last["x"].alias("x_last"), last["y"].alias("y_last"), F.size("e").cast("long").alias("points"), is_closed(F.col("points"), 40).alias("closed"))
+
+
+@query(f"""WITH {_LISTS}, a AS (SELECT route_id, n, CASE WHEN n // 2 + 1 < n THEN n // 2 ELSE n // 2 - 1 END AS i, xs, ys FROM lines WHERE n >= 2)
+  SELECT route_id, xs[i + 1] AS x, ys[i + 1] AS y, xs[i + 2] AS to_x, ys[i + 2] AS to_y FROM a""")
+def track_arrows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pelorus.plans.layers import arrow
+
+    a = track_lines(spark, sf_dir).select(F.col("line_id").alias("route_id"), arrow(F.col("points")).alias("a")).where("a is not null")
+    return a.select("route_id", "a.from.x", "a.from.y", F.col("a.to.x").alias("to_x"), F.col("a.to.y").alias("to_y"))
+
+
+@query(f"""WITH {_TRACK}, w AS (SELECT route_id, seq, lag(x) OVER o AS x1, lag(y) OVER o AS y1, x AS x2, y AS y2, lead(x) OVER o AS x3, lead(y) OVER o AS y3 FROM track WINDOW o AS (PARTITION BY route_id ORDER BY seq))
+  SELECT route_id, seq, round(CASE WHEN x1 = x3 AND y1 = y3 THEN sqrt(CAST((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS DOUBLE))
+    ELSE abs((y3 - y1) * x2 - (x3 - x1) * y2 + (x3 - x1) * y1 - (y3 - y1) * x1) / sqrt(CAST((y3 - y1) * (y3 - y1) + (x3 - x1) * (x3 - x1) AS DOUBLE)) END, 6) AS off FROM w WHERE x1 IS NOT NULL AND x3 IS NOT NULL""")
+def off_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    o = Window.partitionBy("route_id").orderBy("seq")
+    w = track(spark, sf_dir).select("route_id", "seq", *[f(c).over(o).alias(f"{c}{i}") for i, f in ((1, F.lag), (3, F.lead)) for c in "xy"], F.col("x").alias("x2"), F.col("y").alias("y2"))
+    w = w.where("x1 is not null and x3 is not null")
+    return w.select("route_id", "seq", F.round(paths.off_line(*[F.col(f"{c}{i}") for i in (1, 2, 3) for c in "xy"]), 6).alias("off"))
+
+
+@query(f"""WITH b AS (SELECT n_nationkey AS ring_id, -50.0 + n_nationkey * 2 AS s, -150.0 + n_nationkey * 9 AS w FROM nation), {_POINTS.replace('p AS', 'c AS')},
+  q AS (SELECT b.ring_id, c.x, c.y, -180.0 + (c.x + 0.5) / 200.0 * 360.0 AS lon, 60.0 - (c.y + 0.5) / 100.0 * 120.0 AS lat, b.s, b.w FROM c JOIN b ON b.ring_id = c.point_id % 25)
+  SELECT ring_id, x, y FROM q WHERE lat > s AND lat < s + 30 AND lon - w > (lat - s) * 2 AND lon - w < (lat - s) * 2 + 40""")
+def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    s, w = F.lit(-50.0) + k * 2, F.lit(-150.0) + k * 9
+    corner = lambda up, right: F.struct((s + up).alias("lat"), (w + right).alias("lon"))
+    rings = table(spark, sf_dir, "nation").select(k.cast("long").alias("ring_id"), F.array(corner(0.0, 0.0), corner(30.0, 60.0), corner(30.0, 100.0), corner(0.0, 40.0), corner(0.0, 0.0)).alias("points"))
+    c = customer_cells(spark, sf_dir).select((F.col("point_id") % 25).cast("long").alias("ring_id"), "x", "y")
+    return raster.inside_polygon(c, rings, GRID)
+
+
+@query(f"""WITH g AS (SELECT {_x('event_id')} AS x, {_y('event_id')} AS y, min(event_id % 64) AS gray FROM events GROUP BY ALL),
+  r AS (SELECT CAST(floor((x + 0.5) * 60 / 200.0) AS INTEGER) AS x, CAST(floor((y + 0.5) * 30 / 100.0) AS INTEGER) AS y, avg(gray) AS gray FROM g GROUP BY ALL) SELECT x, y, round(gray, 6) AS gray, gray < 20 AS water FROM r""")
+def resampled_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    g = table(spark, sf_dir, "events").groupBy(x_of(k).alias("x"), y_of(k).alias("y")).agg(F.min(k % 64).alias("gray"))
+    r = raster.resample(g, GRID, GridSpec(-60.0, 60.0, -180.0, 180.0, 60, 30))
+    return r.select("x", "y", F.round("gray", 6).alias("gray"), (F.col("gray") < 20).alias("water"))
+
+
 # ---- paths -----------------------------------------------------------------
 
 _FLAGGED = f"""{_TRACK}, {_LANES}, flagged AS (SELECT t.route_id, t.seq, t.x, t.y, lanes.x IS NOT NULL OR t.seq = min(t.seq) OVER r OR t.seq = max(t.seq) OVER r AS in_lane

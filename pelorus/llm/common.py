@@ -91,11 +91,6 @@ def crc_bucket(key: str | Column, modulus: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % modulus
 
 
-def as_words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8: what ``bytes.split`` cuts at."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
 def blocks(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Cut rows 0..n into runs whose sizes sum to ``limit`` at most (one row at least)."""
     start, n = 0, len(sizes)

@@ -31,9 +31,13 @@ def read_features(spark: SparkSession, path: str, glob: str | None = None) -> Da
     return rows.select(number.alias("feature_id"), "f.type", "f.properties", "f.geometry", "file")
 
 
-def read_lane_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Features of the files TSS_Lanes_*.geojson of a folder."""
-    return read_features(spark, folder, "TSS_Lanes_*.geojson")
+# Fixed value: how lane files are named, a file for each compass direction.
+LANE_FILES = "TSS_Lanes_*.geojson"
+
+
+def read_lane_files(spark: SparkSession, folder: str, glob: str = LANE_FILES) -> DataFrame:
+    """Features of the lane files of a folder."""
+    return read_features(spark, folder, glob)
 
 
 def prop(name: str) -> Column:

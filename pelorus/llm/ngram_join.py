@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import KeyFilter, WordHashes, array_column, arrow_rows, drop, mixed, portions, stage
+from pelorus.llm.common import KeyFilter, WordHashes, array_column, arrow_rows, drop, mixed, portions, release, stage
 from pelorus.llm.graph import components
 
 #: Rounds of pivots before the rest is compared in blocks.
@@ -40,10 +40,12 @@ PIVOT_ROUNDS = 2
 BLOCK_SETS = 1024
 #: Rows of a bin of blocks, on average.
 BIN_ROWS = 6_000
+#: Bits of an element in the bitmaps that screen all tiles, and in those of the sets that are left.
+FEW_BITS, MANY_BITS = 1, 8
 #: Rows of an Arrow batch, as a row may hold two sets.
 BATCH_ROWS = 500
 
-SIGNATURES = "doc_id long, t long, n_shingles long, cls binary, keys array<long>, hashes binary, bits binary"
+SIGNATURES = "doc_id long, t long, n_shingles long, cls binary, keys array<long>, hashes binary"
 
 
 class Bands:
@@ -107,20 +109,38 @@ def tile_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def bitmap(s: np.ndarray, bands: Bands) -> bytes:
-    """Hashed bitmap of the set, eight to twenty bits an element; one length for all sets that may be similar."""
+def bitmap(s: np.ndarray, bands: Bands, per: int) -> bytes:
+    """Hashed bitmap of the set, ``per`` bits an element or some more; lengths are powers of two."""
     size = 64
-    while size < 8 * bands.edges[bands.of(len(s))[0][0] + 1]:
+    while size < per * bands.edges[bands.of(len(s))[0][0] + 1]:
         size *= 2
     return _bits(s, size).tobytes()
 
 
 def _bits(s: np.ndarray, size: int) -> np.ndarray:
     flags = np.zeros(size, dtype=bool)
-    flags[(s & np.uint64(size - 1)).astype(np.int64)] = True
+    flags[((s >> np.uint64(16)) & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little")
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes; two elements of a pair of sets collide once in 10^9 pairs."""
+    return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """Hashes of ``packed``, their lower 16 bits 0."""
+    raw = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), dtype=np.uint8)
+    out[:, 2:] = raw
+    return out.view(np.uint64).ravel()
+
+
+def class_key(cls: bytes) -> int:
+    """A class's name as a 64-bit key for filters."""
+    return int.from_bytes(cls[:8], "big", signed=True)
+
+
 def folded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bring two bitmaps (lengths are powers of two) to the shorter length by or-ing halves."""
     while len(a) > len(b):
@@ -162,10 +182,10 @@ def signatures(docs: DataFrame, width: int, bands: Bands, known: KeyFilter | Non
 
         hashes, filter_ = WordHashes(), shared.value
         for batch in portions(batches, 1):
-            n, cls, arrays, bits, keys, lengths, seen = [], [], [], [], [], [], set()
+            n, cls, arrays, keys, lengths, seen = [], [], [], [], [], set()
             for s in sets(batch, hashes):
                 n.append(len(s))
-                name = array = mask = None
+                name = array = None
                 own = np.empty(0, dtype=np.int64)
                 if len(s):
                     k = tile_keys(s, bands)
@@ -174,22 +194,45 @@ def signatures(docs: DataFrame, width: int, bands: Bands, known: KeyFilter | Non
                         name = xxhash.xxh3_128_digest(s.tobytes())
                         if name not in seen:
                             seen.add(name)
-                            own, array, mask = k, s.tobytes(), bitmap(s, bands)
+                            own, array = k, packed(s)
                 cls.append(name)
                 arrays.append(array)
-                bits.append(mask)
                 keys.append(own)
                 lengths.append(len(own))
             flat = np.concatenate(keys) if keys else np.empty(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n, type=pa.int64()), pa.array(cls, type=pa.binary()), array_column(flat, np.array(lengths, dtype=np.int64)), pa.array(arrays, type=pa.binary()), pa.array(bits, type=pa.binary())],
-                names=["doc_id", "t", "n_shingles", "cls", "keys", "hashes", "bits"],
+                [batch.column(0), batch.column(2), pa.array(n, type=pa.int64()), pa.array(cls, type=pa.binary()), array_column(flat, np.array(lengths, dtype=np.int64)), pa.array(arrays, type=pa.binary())],
+                names=["doc_id", "t", "n_shingles", "cls", "keys", "hashes"],
             )
 
     base = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
     return base.mapInArrow(keys_only, "key long") if known is None else base.mapInArrow(full, SIGNATURES)
 
 
+def sets_of(rows: DataFrame, classes: DataFrame, bands: Bands, whole: bool) -> DataFrame:
+    """(cls, bits) or, if ``whole``, (cls, more bits, hashes) of the classes named in ``classes`` (a stored table).
+
+    A Bloom filter of the names goes over the stored signatures first, so that
+    next to nothing else is moved.
+    """
+    keys = stage(classes.select(F.expr("cast(conv(hex(substring(cls, 1, 8)), 16, -10) as bigint)").alias("key")), "class-keys")
+    known = KeyFilter.build(keys)
+    drop(keys)
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_ = shared.value
+        for batch in batches:
+            names, data = batch.column(0).to_pylist(), batch.column(1)
+            hit = np.flatnonzero(filter_.has(np.array([class_key(c) for c in names], dtype=np.int64))) if names else []
+            own = [data[int(i)].as_py() for i in hit]
+            columns = [pa.array([names[i] for i in hit], type=pa.binary()), pa.array([bitmap(unpacked(d), bands, MANY_BITS if whole else FEW_BITS) for d in own], type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(own, type=pa.binary())] * whole, names=["cls", "bits", "hashes"][: 2 + whole])
+
+    found = rows.where("hashes is not null").select("cls", "hashes").mapInArrow(pick, "cls binary, bits binary" + ", hashes binary" * whole)
+    return found.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("bits", "hashes")[: 1 + whole]])
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: bit counts first, then the sorted arrays."""
     left = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha"), F.col("bits").alias("ba"))
@@ -199,15 +242,15 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         for batch in batches:
             keep = []
             names = batch.schema.names
-            columns = [batch.column(names.index(c)) for c in ("ha", "ba", "hb", "bb")]
+            ha, ba, hb, bb = (batch.column(names.index(c)) for c in ("ha", "ba", "hb", "bb"))
             for i in range(batch.num_rows):
-                x, p, y, q = (np.frombuffer(c[i].as_buffer(), dtype=t) for c, t in zip(columns, (np.uint64, np.uint8) * 2, strict=True))
-                p, q = folded(p, q)
-                most = min(len(x) - int(np.bitwise_count(p & ~q).sum()), len(y) - int(np.bitwise_count(q & ~p).sum()))
-                if similar(most, len(x), len(y), num, den):
-                    z = np.concatenate([x, y])
+                p, q = folded(*(np.frombuffer(c[i].as_buffer(), dtype=np.uint8) for c in (ba, bb)))
+                m, n = len(ha[i].as_buffer()) // 6, len(hb[i].as_buffer()) // 6
+                most = min(m - int(np.bitwise_count(p & ~q).sum()), n - int(np.bitwise_count(q & ~p).sum()))
+                if similar(most, m, n, num, den):
+                    z = np.concatenate([unpacked(ha[i].as_buffer()), unpacked(hb[i].as_buffer())])
                     z.sort(kind="stable")
-                    if similar(int((z[1:] == z[:-1]).sum()), len(x), len(y), num, den):
+                    if similar(int((z[1:] == z[:-1]).sum()), m, n, num, den):
                         keep.append(i)
             at = pa.array(keep, type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(names.index(c)).take(at) for c in ("a", "b")], names=["a", "b"])
@@ -216,8 +259,8 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return joined.mapInArrow(test, "a binary, b binary")
 
 
-def block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs across components within tiles: (a, b), a < b.
+def block_pairs(members: DataFrame, num: int, den: int, sets_only: bool = False) -> DataFrame:
+    """Candidate pairs across components within tiles: (a, b), a < b; with ``sets_only`` the sets in any of them: cls.
 
     ``members``: key, cls, n, root, bits. A tile is cut into blocks by a hash of
     the set and every two blocks meet once; many small blocks share a bin, so
@@ -234,6 +277,7 @@ def block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         found: set[tuple[bytes, bytes]] = set()
+        alone: set[bytes] = set()
         for _, g in pdf.groupby(["key", "lo", "hi"], sort=False):
             if len(g) < 2 or g["root"].nunique() < 2:
                 continue
@@ -243,17 +287,23 @@ def block_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
             least = min(len(b) for b in g["bits"])
             maps = np.stack([folded(np.frombuffer(b, dtype=np.uint8), np.zeros(least, dtype=np.uint8))[0] for b in g["bits"]])
             maps = np.pad(maps, ((0, 0), (0, -maps.shape[1] % 8))).view(np.uint64)
+            hit = np.zeros(len(g), dtype=bool)
             for i in range(len(g) - 1):
                 stop = int(np.searchsorted(n, n[i] * den // num, side="right"))
                 j = np.arange(i + 1, stop)
                 j = j[(root[j] != root[i]) & ((part[j] != part[i]) | (not split))]
                 if len(j):
                     most = np.minimum(n[i] - np.bitwise_count(maps[i] & ~maps[j]).sum(axis=1), n[j] - np.bitwise_count(maps[j] & ~maps[i]).sum(axis=1))
-                    for k in j[den * most >= num * (n[i] + n[j] - most)]:
-                        found.add((min(cls[i], cls[k]), max(cls[i], cls[k])))
-        return pd.DataFrame(list(found), columns=["a", "b"])
+                    fit = j[den * most >= num * (n[i] + n[j] - most)]
+                    if sets_only:
+                        hit[fit] = True
+                        hit[i] |= bool(len(fit))
+                    else:
+                        found.update((min(cls[i], cls[k]), max(cls[i], cls[k])) for k in fit)
+            alone.update(cls[hit])
+        return pd.DataFrame({"cls": list(alone)}) if sets_only else pd.DataFrame(list(found), columns=["a", "b"])
 
-    return placed.select("bin", "key", "lo", "hi", "part", "cls", "n", "root", "bits").groupBy("bin").applyInPandas(compare, "a binary, b binary").distinct()
+    return placed.select("bin", "key", "lo", "hi", "part", "cls", "n", "root", "bits").groupBy("bin").applyInPandas(compare, "cls binary" if sets_only else "a binary, b binary").distinct()
 
 
 def rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -270,7 +320,7 @@ def open_tiles(tiles: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, t, n_shingles, root) of every document; root names its component, null if it links with nothing."""
+    """Stored (doc_id, t, n_shingles, root) of every document; root names its component, null if it links with nothing."""
     bands = Bands(num, den)
     shared = signatures(docs, width, bands, None).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     with arrow_rows(docs.sparkSession, BATCH_ROWS):
@@ -279,14 +329,24 @@ def grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         drop(shared)
         rows = stage(signatures(docs, width, bands, known), "signatures")
     classes = stage(
-        rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.max(F.when(F.size("keys") > 0, F.col("keys"))).alias("keys")), "classes"
+        rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.max(F.when(F.size("keys") > 0, F.col("keys"))).alias("keys")).withColumn("cid", F.monotonically_increasing_id()), "classes"
     )
-    sets = rows.where("hashes is not null").select("cls", "hashes", "bits")
-    tiles = stage(one_of_equal_tiles(classes.select("cls", "n", F.explode("keys").alias("key"))), "tiles")
-    live = stage(tiles.select("cls").distinct(), "live")
-    sets = stage(sets.join(live, "cls", "left_semi").groupBy("cls").agg(F.first("hashes").alias("hashes"), F.first("bits").alias("bits")), "sets")
-
-    drop(live)
+    release(docs.sparkSession)
+    # numbers in place of names while all tiles move
+    numbered = one_of_equal_tiles(classes.select("cid", F.explode("keys").alias("key")), "cid")
+    tiles = stage(numbered.join(classes.select("cid", "cls", "n"), "cid").select("cls", "n", "key"), "tiles")
+    drop(numbered)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        live = stage(tiles.select("cls").distinct(), "live")
+        bits = stage(sets_of(rows, live, bands, False), "bits")
+        release(docs.sparkSession)
+        alone = tiles.withColumn("root", F.col("cls")).join(bits, "cls")
+        near = stage(block_pairs(alone, num, den, sets_only=True), "near")
+        release(docs.sparkSession)
+        sets = stage(sets_of(rows, near, bands, True), "sets")
+    drop(live, bits)
+    every, tiles = tiles, one_of_equal_tiles(tiles.join(near, "cls", "left_semi"), "cls")
+    drop(every)
     edges, roots = None, None
     for turn in range(PIVOT_ROUNDS + 1):
         left = stage(open_tiles(rooted(tiles, roots)), "open-tiles")
@@ -304,17 +364,25 @@ def grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         edges = new if edges is None else edges.unionByName(new)
         roots = components(edges)
     named = rooted(classes.select("cls"), roots)
-    return rows.select("doc_id", "t", "n_shingles", "cls").hint("merge").join(named, "cls", "left").select("doc_id", "t", "n_shingles", "root")
+    out = stage(rows.select("doc_id", "t", "n_shingles", "cls").hint("merge").join(named, "cls", "left").select("doc_id", "t", "n_shingles", "root"), "grouped")
+    drop(rows, classes, tiles, near, sets)
+    return out
 
 
-def one_of_equal_tiles(tiles: DataFrame) -> DataFrame:
-    """Rows of one tile out of those that hold the same sets.
+def one_of_equal_tiles(tiles: DataFrame, name: str) -> DataFrame:
+    """Rows of one tile out of those that hold the same sets, stored.
 
-    Similar sets agree on most ranges, so most tiles repeat each other.
+    Similar sets agree on most ranges, so most tiles repeat each other. Tiles
+    are told apart by their size, their least set and a sum of hashes of the
+    column ``name``. The chosen keys are stored first, so that the sums'
+    shuffle is gone when the rows move.
     """
-    sums = [F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-    per_tile = tiles.groupBy("key").agg(F.count("*").alias("size"), *sums).where("size > 1")
-    return tiles.join(per_tile.groupBy("size", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+    per_tile = tiles.groupBy("key").agg(F.count("*").alias("size"), F.min(name).alias("least"), F.bit_xor(F.xxhash64(name)).alias("sum")).where("size > 1")
+    chosen = stage(per_tile.groupBy("size", "least", "sum").agg(F.min("key").alias("key")).select("key"), "tiles-chosen")
+    release(tiles.sparkSession)
+    out = stage(tiles.join(chosen, "key", "left_semi"), "tiles")
+    drop(chosen)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -328,7 +396,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     copies of each other. An empty table gives no rows; columns other than
     doc_id and text are not read.
     """
-    rows = stage(grouped(docs, width, num, den), "grouped")
+    rows = grouped(docs, width, num, den)
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.hint("merge").join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -339,7 +407,7 @@ def deduplicate(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     Documents that link with nothing stay, empty ones among them; of rows that
     repeat id and text one stays, unless the text is blank.
     """
-    rows = stage(grouped(docs, width, num, den), "grouped")
+    rows = grouped(docs, width, num, den)
     k = F.coalesce("doc_id", F.lit(-(2**63)))
     one = rows.where("root is not null").groupBy("root").agg(F.min(F.struct(k.alias("k"), "t")).alias("one"), F.min("n_shingles").alias("n"))
     one = one.select("one.k", "one.t", F.lit(True).alias("single"))

@@ -259,10 +259,10 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return joined.mapInArrow(test, "a binary, b binary")
 
 
-def block_pairs(members: DataFrame, num: int, den: int, sets_only: bool = False) -> DataFrame:
+def block_pairs(members: DataFrame, bits: DataFrame, num: int, den: int, sets_only: bool = False) -> DataFrame:
     """Candidate pairs across components within tiles: (a, b), a < b; with ``sets_only`` the sets in any of them: cls.
 
-    ``members``: key, cls, n, root, bits. A tile is cut into blocks by a hash of
+    ``members``: key, cls, n, root; ``bits``: cls, bits, which join last so that they move once. A tile is cut into blocks by a hash of
     the set and every two blocks meet once; many small blocks share a bin, so
     that a bin holds ``BIN_ROWS`` rows or one pair of blocks.
     """
@@ -303,7 +303,8 @@ def block_pairs(members: DataFrame, num: int, den: int, sets_only: bool = False)
             alone.update(cls[hit])
         return pd.DataFrame({"cls": list(alone)}) if sets_only else pd.DataFrame(list(found), columns=["a", "b"])
 
-    return placed.select("bin", "key", "lo", "hi", "part", "cls", "n", "root", "bits").groupBy("bin").applyInPandas(compare, "cls binary" if sets_only else "a binary, b binary").distinct()
+    placed = placed.select("bin", "key", "lo", "hi", "part", "cls", "n", "root").join(bits, "cls")
+    return placed.groupBy("bin").applyInPandas(compare, "cls binary" if sets_only else "a binary, b binary").distinct()
 
 
 def rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -340,8 +341,7 @@ def grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         live = stage(tiles.select("cls").distinct(), "live")
         bits = stage(sets_of(rows, live, bands, False), "bits")
         release(docs.sparkSession)
-        alone = tiles.withColumn("root", F.col("cls")).join(bits, "cls")
-        near = stage(block_pairs(alone, num, den, sets_only=True), "near")
+        near = stage(block_pairs(tiles.withColumn("root", F.col("cls")), bits, num, den, sets_only=True), "near")
         release(docs.sparkSession)
         sets = stage(sets_of(rows, near, bands, True), "sets")
     drop(live, bits)
@@ -358,7 +358,7 @@ def grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             to = left.join(pivots, "key").where((F.col("root") != F.col("pr")) & (F.greatest("n", "pn") * num <= F.least("n", "pn") * den))
             pairs = to.groupBy("cls").agg(F.min(F.struct("h", "p")).alias("to")).select(F.col("cls").alias("a"), F.col("to.p").alias("b"))
         else:
-            pairs = block_pairs(left.join(sets.select("cls", "bits"), "cls"), num, den)
+            pairs = block_pairs(left, sets.select("cls", "bits"), num, den)
         with arrow_rows(docs.sparkSession, BATCH_ROWS):
             new = stage(verified(pairs, sets, num, den), "links")
         edges = new if edges is None else edges.unionByName(new)

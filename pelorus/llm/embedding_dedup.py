@@ -3,10 +3,10 @@
 Equal vectors of a label are one node with a weight, gathered before anything
 else moves. A label's nodes are dealt to shards of bounded size by a hash, each
 shard gets its graph, and every node is searched for in every shard of its
-label. A beam is widened while its last entry is still within the threshold,
-and for a whole block of queries while an audit against all of the shard's
-vectors shows too low a recall. Candidates are verified by their cosine in
-double precision.
+label. A beam is widened while its last entry is still within the threshold.
+The block's other queries are audited against all of the shard's vectors, each
+query counting alike, and all of them are widened while their recall is too
+low. Candidates are verified by their cosine in double precision.
 
 Links are counted where they are found. Only a spanning forest of a task's
 links leaves it, so that a group of n near copies sends n rows, not n squared.
@@ -63,44 +63,43 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([nodes[rest], nodes[root[rest]]], axis=1)
 
 
-def near(index: Layers, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs that the graph finds within the threshold, a little below it included."""
+def near(index: Layers, queries: np.ndarray, threshold: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs that the graph finds within the threshold, a little below it included. own: the queries' own nodes, -1 where they have none here."""
     low, n = np.float32(threshold - 1e-4), len(index.vectors)
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
-    truth = queries[sample].astype(np.float32) @ index.vectors.T >= low
-    beam = min(FIRST_BEAM, n)
-    ids, scores = index.search(queries, beam)
-    while beam < n:
-        hit = np.zeros_like(truth)
-        r, c = np.nonzero(scores[sample] >= low)
-        hit[r, ids[sample][r, c]] = True
-        full = scores[:, -1] >= low
-        if full.any():  # their beams end within the threshold
-            again = np.flatnonzero(full)
-        elif (hit & truth).sum() < LEAST_RECALL * truth.sum():
-            again = np.arange(len(queries))
-        else:
+    own = np.full(len(queries), -1) if own is None else own
+    todo, beam, rows, nodes = np.arange(len(queries)), min(FIRST_BEAM, n), [], []
+    while len(todo):
+        ids, scores = index.search(queries[todo], beam)
+        # beams that end within the threshold are widened; the others are audited among themselves
+        ends = np.flatnonzero(scores[:, -1] < low)
+        sample = ends[np.unique(np.linspace(0, len(ends) - 1, min(AUDITED, len(ends))).astype(int))]
+        if recall(index, queries[todo[sample]], own[todo[sample]], ids[sample], scores[sample], low) >= LEAST_RECALL:
+            r, c = np.nonzero(scores[ends] >= low)
+            rows.append(todo[ends[r]])
+            nodes.append(ids[ends[r], c])
+            todo = np.delete(todo, ends)
+        beam *= 4
+        if DEGREE * beam >= n:  # it would open most of the graph
             break
-        beam = min(4 * beam, n)
-        more_i, more_s = _wide(index, queries[again], beam)
-        wide_i, wide_s = np.full((len(queries), beam), -1), np.full((len(queries), beam), -np.inf, dtype=np.float32)
-        wide_i[:, : ids.shape[1]], wide_s[:, : ids.shape[1]] = ids, scores
-        wide_i[again], wide_s[again] = more_i, more_s
-        ids, scores = wide_i, wide_s
+    for lo in range(0, len(todo), 256):
+        r, c = np.nonzero(queries[todo[lo : lo + 256]].astype(np.float32) @ index.vectors.T >= low)
+        rows.append(todo[lo + r])
+        nodes.append(c)
+    r, c = np.concatenate([np.empty(0, dtype=np.int64), *rows]), np.concatenate([np.empty(0, dtype=np.int64), *nodes])
+    order = np.argsort(r, kind="stable")
+    return r[order], c[order]
+
+
+def recall(index: Layers, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, scores: np.ndarray, low: float) -> float:
+    """Mean share of a query's links that were found, the query itself left out; 1 if none has a link."""
+    truth = queries.astype(np.float32) @ index.vectors.T >= low
+    here = np.flatnonzero(own >= 0)
+    truth[here, own[here]] = False
+    hit = np.zeros_like(truth)
     r, c = np.nonzero(scores >= low)
-    return r, ids[r, c]
-
-
-def _wide(index: Layers, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Search; a beam that would open most of the graph gives way to a look at all vectors."""
-    if DEGREE * beam < len(index.vectors):
-        return index.search(queries, beam)
-    ids, scores = np.empty((len(queries), beam), dtype=np.int64), np.empty((len(queries), beam), dtype=np.float32)
-    for lo in range(0, len(queries), 256):
-        s = queries[lo : lo + 256].astype(np.float32) @ index.vectors.T
-        ids[lo : lo + 256] = np.argsort(-s, axis=1, kind="stable")[:, :beam]
-        scores[lo : lo + 256] = np.take_along_axis(s, ids[lo : lo + 256], axis=1)
-    return ids, scores
+    hit[r, ids[r, c]] = True
+    some = truth.any(axis=1)
+    return float(((hit & truth)[some].sum(axis=1) / truth[some].sum(axis=1)).mean()) if some.any() else 1.0
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
@@ -139,7 +138,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
             return pd.DataFrame({"node": [], "to": [], "links": []})
         index, v, ids, weight = pickle.loads(left["index"].iloc[0])
         own, q = right["node"].to_numpy(), np.stack(right["embedding"].to_numpy())
-        r, c = near(index, unit(q), threshold)
+        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        r, c = near(index, unit(q), threshold, np.where(ids[at] == own, at, -1))
         keep = own[r] != ids[c]
         r, c = r[keep], c[keep]
         true = np.concatenate([cosines(q[r[i : i + 200_000]].astype(np.float64), v[c[i : i + 200_000]].astype(np.float64)) >= threshold for i in range(0, len(r), 200_000)]) if len(r) else np.empty(0, dtype=bool)

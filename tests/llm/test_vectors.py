@@ -58,6 +58,32 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, shard, beam):
     assert got == sorted(link_brute(rows, 0.98))
 
 
+class Blind:
+    """An index whose search finds all of the group of 300, and of any other node only itself."""
+
+    def __init__(self, vectors):
+        self.vectors = vectors
+
+    def search(self, queries, beam):
+        s = (queries @ self.vectors.T).astype(np.float32)
+        hot = s[:, 0] > 0.99
+        s[~hot] = np.where(s[~hot] > 0.9999, s[~hot], -1)
+        ids = np.argsort(-s, axis=1, kind="stable")[:, :beam]
+        return ids, np.take_along_axis(s, ids, axis=1)
+
+
+@pytest.mark.parametrize("hot", [0, 300, 900])
+def test_audit_sees_small_groups_beside_a_hot_one(hot):
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((1500, 32))
+    v[:hot] = v[0] + 0.01 * v[:hot]
+    v[1001::2] = v[1000::2] + 0.1 * rng.standard_normal((250, 32))
+    v = embedding_dedup.unit(v)
+    r, c = embedding_dedup.near(Blind(v.astype(np.float32)), v, 0.98, np.arange(1500))
+    got, want = set(zip(r.tolist(), c.tolist(), strict=True)), np.argwhere(v @ v.T >= 0.98).tolist()
+    assert len(want) > 1900 and got >= {(a, b) for a, b in want}
+
+
 def test_no_vectors(spark):
     assert embedding_dedup.near_duplicates(table(spark, [])).count() == 0 and ann.search(table(spark, []), lambda v: v % 2 == 0).count() == 0
     assert ann.search(table(spark, BAD[:6]), lambda v: v % 2 == 0).count() == 0

@@ -4,11 +4,13 @@
 
 All counts cover the whole training corpus. The most frequent words (the core)
 are put into classes by exchange clustering: each word in turn moves to the
-class that raises the likelihood of the class bigrams most. Frequent words
-beyond the core share a class with those of like frequency; all others, unseen
-ones included, are the class of rare words. Transitions are Witten-Bell
-interpolated with class shares, and rare words' emissions leave one share to
-the unseen, so that probabilities sum to one.
+class that raises the likelihood of the class bigrams most. All other words of
+the head then join the class of the largest gain by their own followers and
+leaders, which are counted over the whole corpus, and move again, all at once,
+as long as the likelihood rises. Words beyond the head, unseen ones included,
+are the class of rare words. Transitions are Witten-Bell interpolated with
+class shares, and rare words' emissions leave one share to the unseen, so that
+probabilities sum to one.
 
 Counts of the head (``HEAD`` words) fit in every worker and are looked up
 there. Counts of rare words are as many as the corpus has words; a document's
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import portions, stage
+from pelorus.llm.common import drop, portions, stage
 
 #: Words with counts in every worker; of these, words that are clustered; classes of them; sweeps.
 HEAD, CORE, CLASSES, SWEEPS = 65_536, 1500, 80, 3
-#: Distinct words that a task counts before it hands them on.
-FLUSH = 300_000
+#: Distinct words that a task counts before it hands them on; counts of pairs that it holds before it adds them up.
+FLUSH, PAIRS = 300_000, 1_000_000
+#: Tasks that move head words.
+MOVERS = 24
 END = b""
 
 
@@ -135,6 +139,140 @@ class Model:
     rare_types: int
 
 
+def _sum(code: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each code once, and the sum of its times."""
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(code)), dtype=bool), code[1:] != code[:-1]]))
+    return code[first], np.add.reduceat(times[order], first) if len(first) else times
+
+
+def _summed(batches: Iterator[pa.RecordBatch], key) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes that ``key`` makes of the rows (code, n), with their sums, about ``PAIRS`` rows at once."""
+    codes, times, held = [], [], 0
+    for batch in batches:
+        code, n = key(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        codes.append(code)
+        times.append(n)
+        held += len(code)
+        if held > PAIRS:
+            code, n = _sum(np.concatenate(codes), np.concatenate(times))
+            codes, times, held = [], [], 0
+            yield code, n
+    if held:
+        yield _sum(np.concatenate(codes), np.concatenate(times))
+
+
+def _square(pairs: DataFrame, of: np.ndarray, n: int) -> np.ndarray:
+    """Counts (n x n) of pairs of groups; ``of``: group of each word."""
+    width = len(of)
+    shared = pairs.sparkSession.sparkContext.broadcast(of)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for code, times in _summed(batches, lambda c, t: (own[c // width] * n + own[c % width], t)):
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(times)], names=["code", "n"])
+
+    table = pairs.mapInArrow(fold, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(n * n)
+    out[table.column(0).to_numpy()] = table.column(1).to_numpy()
+    return out.reshape(n, n)
+
+
+def likelihood(m: np.ndarray) -> float:
+    """Log-likelihood of the class bigrams ``m``, but for what no assignment changes."""
+    return float(_plogp(m).sum() - _plogp(m.sum(axis=0)).sum() - _plogp(m.sum(axis=1)).sum())
+
+
+def gains(m: np.ndarray, classes: int, a: np.ndarray, word: np.ndarray, k: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Gain of log-likelihood (word x class) when a word, taken out of its class ``a``, joins each of the first ``classes``.
+
+    m: class bigrams. Entries: ``word`` has ``n`` followers of class k, leaders
+    of class k - len(m), or pairs with itself (k = 2 len(m), in both others too).
+    """
+    size, width = len(a), len(m)
+    dense = np.zeros((size, 2 * width + 1))
+    dense[word, k] = n
+    own, at = dense[:, -1].copy(), np.arange(size)
+    dense[at, a] -= own
+    dense[at, width + a] -= own
+    r, le = dense[:, :width], dense[:, width:-1]
+    mine = (a[:, None] == np.arange(classes)).astype(float)
+    out = np.zeros((size, classes))
+    for own_side, other, square in ((r, le, m), (le, r, m.T)):
+        w, c = np.nonzero(own_side)
+        for lo in range(0, len(w), 20_000):
+            i, j = w[lo : lo + 20_000], c[lo : lo + 20_000]
+            times = own_side[i, j][:, None]
+            x = square[:classes, j].T - mine[i] * times
+            x -= (j == a[i])[:, None] * (other[i][:, :classes] + mine[i] * own[i][:, None])
+            first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            out[i[first]] += np.add.reduceat(_plogp(x + times) - _plogp(x), first, axis=0)
+        total = own_side.sum(axis=1) + own
+        left = square.sum(axis=1)[:classes] - mine * total[:, None]
+        out -= _plogp(left + total[:, None]) - _plogp(left)
+    r, le = r[:, :classes], le[:, :classes]
+    d = np.diag(m)[:classes] - mine * (r + le + own[:, None])
+    return out + _plogp(d + r + le + own[:, None]) - _plogp(d + r) - _plogp(d + le) + _plogp(d)
+
+
+def _moved(pairs: DataFrame, of: np.ndarray, m: np.ndarray, classes: int, lo: int, hi: int) -> np.ndarray:
+    """Classes after each of the words lo..hi-1 has moved to the class of its largest gain, all others being where they are."""
+    width, kinds = len(of), 2 * len(m) + 1
+    shared = pairs.sparkSession.sparkContext.broadcast((of, m))
+
+    def contexts(code: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, square = shared.value
+        x, y = code // width, code % width
+        w = np.concatenate([x, y, x[x == y]])
+        k = np.concatenate([own[y], len(square) + own[x], np.full(int((x == y).sum()), kinds - 1)])
+        some = (w >= lo) & (w < hi)
+        return w[some] * kinds + k[some], np.concatenate([times, times, times[x == y]])[some]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for code, times in _summed(batches, contexts):
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(times), pa.array(code // kinds)], names=["code", "n", "w"])
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, square = shared.value
+        code, times = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        for c, t in _summed(batches, lambda c, t: (c, t)):
+            code, times = _sum(np.concatenate([code, c]), np.concatenate([times, t]))
+        words, word = np.unique(code // kinds, return_inverse=True)
+        for start in range(0, len(words), 500):
+            some = slice(*np.searchsorted(word, [start, start + 500]))
+            a = own[words[start : start + 500]]
+            gain = gains(square, classes, a, word[some] - start, code[some] % kinds, times[some])
+            best, at = gain.argmax(axis=1), np.arange(len(a))
+            stays = (a < classes) & (gain[at, best] <= gain[at, np.minimum(a, classes - 1)] + 1e-9)
+            yield pa.RecordBatch.from_arrays([pa.array(words[start : start + 500]), pa.array(np.where(stays, a, best))], names=["w", "class"])
+
+    table = pairs.mapInArrow(split, "code long, n long, w long").repartition(MOVERS, "w").select("code", "n").mapInArrow(move, "w long, class long").toArrow()
+    out = of.copy()
+    out[table.column(0).to_numpy()] = table.column(1).to_numpy()
+    return out
+
+
+def assign(pairs: DataFrame, of: np.ndarray, classes: int, lo: int, hi: int, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all words, and the class bigrams, when the words lo..hi-1 have moved.
+
+    pairs: (code, n), code = word * len(of) + next word. ``of``: first classes;
+    words lo..hi-1 are in none of the first ``classes`` but the last of all.
+    Sweeps end when the likelihood no longer rises.
+    """
+    n = int(of.max()) + 1
+    m = _square(pairs, of, n)
+    for turn in range(sweeps if hi > lo else 0):
+        new = _moved(pairs, of, m, classes, lo, hi)
+        if (new == of).all():
+            break
+        square = _square(pairs, new, n)
+        if turn and likelihood(square) <= likelihood(m):
+            break
+        of, m = new, square
+    return of, m
+
+
 def train(docs: DataFrame, head: int = HEAD, core: int = CORE, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[Model, DataFrame]:
     """The model and the stored table of all word counts. ``docs``: text."""
     spark = docs.sparkSession
@@ -145,50 +283,40 @@ def train(docs: DataFrame, head: int = HEAD, core: int = CORE, classes: int = CL
     words = [END, *(bytes(r["w"]) for r in top)]
     count = np.array([ends[0]["c"] if ends else 0, *(r["c"] for r in top)], dtype=np.int64)
     number = {w: i for i, w in enumerate(words)}
-    # symbols: the core's words, END, bands of other head words by log2 of the count, rare words
-    core = min(core, len(words) - 1)
-    bands = np.zeros(len(words), dtype=np.int64)
-    bands[1:] = np.log2(np.maximum(count[1:], 1)).astype(np.int64)
-    rest = np.unique(bands[core + 1 :])
-    symbol = np.concatenate([[core], np.arange(core), core + 1 + np.searchsorted(rest, bands[core + 1 :])]).astype(np.int64)
-    rare = core + 1 + len(rest)
-    n = rare + 1
-    shared = spark.sparkContext.broadcast((number, symbol))
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, symbols = shared.value
-        lookup = np.append(symbols, rare)
-        get = numbers.get
+    rare = len(words)
+    width = rare + 1
+    shared = spark.sparkContext.broadcast(number)
+
+    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.get
         for batch in portions(batches, 0):
             flat = [0]
             for ws in _texts(batch, 0):
-                flat += [get(w, -1) for w in ws]
+                flat += [get(w, rare) for w in ws]
                 flat.append(0)
-            s = lookup[np.array(flat)]
-            code, times = np.unique(s[:-1] * n + s[1:], return_counts=True)
+            s = np.array(flat)
+            code, times = np.unique(s[:-1] * width + s[1:], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(times)], names=["code", "n"])
 
-    seen = docs.select("text").mapInArrow(pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    table = seen.toArrow()  # n squared rows at most
-    bigrams = np.zeros(n * n)
-    bigrams[table.column(0).to_numpy()] = table.column(1).to_numpy()
-    bigrams = bigrams.reshape(n, n)
-    of = exchange(bigrams, core, classes, sweeps)
-    k = int(of.max()) + 1
-    m = np.zeros((k, k))
-    half = np.zeros((k, n))
-    np.add.at(half, of, bigrams)
-    np.add.at(m.T, of, half.T)
+    pairs = stage(docs.select("text").mapInArrow(bigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "word-pairs")
+    # symbols: the core's words, END, rare words, the head's other words
+    core = min(core, len(words) - 1)
+    symbol = np.concatenate([[core], np.arange(core), np.full(len(words) - 1 - core, core + 2), [core + 1]]).astype(np.int64)
+    first = exchange(_square(pairs, symbol, core + 3), core, classes, sweeps)
+    of, m = assign(pairs, first[symbol], max(1, min(classes, core)), core + 1, len(words), sweeps)
+    drop(pairs)
+    klass, rare_class = of[:rare], int(of[rare])
+    k = rare_class + 1
+    m = m[:k, :k]
     share = (m.sum(axis=0) + 1) / (m.sum() + k)
     kinds = (m > 0).sum(axis=1, keepdims=True)
     whole = m.sum(axis=1, keepdims=True)
     smooth = np.where(whole > 0, (m + kinds * share) / np.maximum(whole + kinds, 1), share)
-    klass = of[symbol]
     size = np.bincount(klass, weights=count, minlength=k)
     with np.errstate(divide="ignore"):
         emission = np.where(count > 0, np.log10(np.maximum(count, 1) / np.maximum(size[klass], 1)), 0.0)
     in_head = int(count.sum())
-    model = Model(number, count, klass, int(of[rare]), np.log10(smooth), emission, int(sums["n"]), int(sums["v"]), int(sums["n"]) - in_head, int(sums["v"]) - int((count > 0).sum()))
+    model = Model(number, count, klass, rare_class, np.log10(smooth), emission, int(sums["n"]), int(sums["v"]), int(sums["n"]) - in_head, int(sums["v"]) - int((count > 0).sum()))
     return model, counts
 
 

@@ -37,6 +37,34 @@ def test_exchange_finds_classes():
     assert all(len(set(of[:30][kind == k])) == 1 for k in range(3)) and len(set(of[:30])) == 3 and of[30] == 3
 
 
+def test_gains_are_those_of_the_likelihood():
+    rng = np.random.default_rng(5)
+    big = rng.poisson(0.4, (30, 30)).astype(float)
+    of = np.concatenate([rng.integers(0, 4, 26), [4, 5, 6, 6]])
+    square = lambda c: np.eye(7)[c].T @ big @ np.eye(7)[c]
+    word, k, n = [], [], []
+    for w in range(30):
+        for kind, values in ((0, np.bincount(of, big[w], 7)), (7, np.bincount(of, big[:, w], 7)), (14, big[w, w : w + 1])):
+            for j in np.flatnonzero(values):
+                word.append(w), k.append(kind + j), n.append(values[j])
+    got = brown.gains(square(of), 4, of, np.array(word), np.array(k), np.array(n))
+    for w in range(30):
+        want = [brown.likelihood(square(np.where(np.arange(30) == w, b, of))) for b in range(4)]
+        assert np.allclose(got[w] - got[w, 0], np.array(want) - want[0])
+
+
+def test_head_words_beyond_the_core_join_the_class_of_their_contexts(spark):
+    rng = random.Random(6)
+    kinds = [[f"{c}{i}" for i in range(40)] for c in "xyz"]
+    weights = [40 / (i + 1) for i in range(40)]
+    texts = [" ".join(rng.choices(kinds[i % 3], weights)[0] for i in range(60)) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    model, _ = brown.train(df, core=9, classes=3, sweeps=5)
+    assert len(model.head) == 121 and len(model.transition) == 5
+    of = {w: model.klass[i] for w, i in model.head.items()}
+    assert [len({of[w.encode()] for w in kind}) for kind in kinds] == [1, 1, 1] and len(set(of.values())) == 4
+
+
 def test_edges_and_base(spark):
     docs = edge_docs(spark)
     train = docs.where("doc_id < 6")

@@ -7,7 +7,8 @@ the targets ask for (the multivariate hypergeometric law), so that sampling
 noise moves blocks between shards but never a source's share. A shard's slots
 continue the source's slot numbers, and a slot is mapped to a block by the
 source's own pseudorandom permutation of block numbers, one permutation for
-each time the source is gone through. Blocks and slots meet in an equi-join on
+each time the source is gone through. Within a shard, the slots of all sources
+are put into one pseudorandom order. Blocks and slots meet in an equi-join on
 (source, block).
 
 Positions in the laid-out words need running sums over a source, which may
@@ -137,31 +138,34 @@ def lay_out(sized: DataFrame, seed: int) -> DataFrame:
 
 
 def drawn_blocks(spark, plan: list[tuple[int, int, int]], seed: int, shards: int) -> DataFrame:
-    """Rows (src, block, n): how often the mix takes each block. plan: (src, blocks, blocks to take)."""
+    """Rows (src, block, shard, slot): the block that each slot of each shard takes. plan: (src, blocks, blocks to take)."""
     counts = draws([t for _, _, t in plan], shards, seed)
     firsts = np.cumsum(counts, axis=0) - counts
+    places = np.cumsum(counts, axis=1) - counts
     chunks = [
-        (src, n, int(lo), int(min(lo + SLOT_CHUNK, first + count)))
+        (src, n, int(lo), int(min(lo + SLOT_CHUNK, firsts[k, j] + counts[k, j])), k, int(places[k, j] + lo - firsts[k, j]), int(counts[k].sum()))
         for j, (src, n, _) in enumerate(plan)
-        for first, count in zip(firsts[:, j], counts[:, j], strict=True)
-        for lo in range(int(first), int(first + count), SLOT_CHUNK)
+        for k in range(shards)
+        for lo in range(int(firsts[k, j]), int(firsts[k, j] + counts[k, j]), SLOT_CHUNK)
     ]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for src, n, lo, hi in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for src, n, lo, hi, shard, place, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 block = permute(ranges(np.array([lo]), np.array([hi - lo])), n, f"{seed}/{src}")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, src), type=pa.int64()), pa.array(block)], names=["src", "block"])
+                slot = permute(ranges(np.array([place]), np.array([hi - lo])), total, f"{seed}/shard/{shard}")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, src), type=pa.int64()), pa.array(block), pa.array(np.full(hi - lo, shard), type=pa.int64()), pa.array(slot)], names=["src", "block", "shard", "slot"])
 
-    table = spark.createDataFrame(chunks, "src long, n long, lo long, hi long").repartition(max(1, min(len(chunks), 200)))
-    return table.mapInArrow(expand, "src long, block long").groupBy("src", "block").agg(F.count("*").alias("n"))
+    table = spark.createDataFrame(chunks, "src long, n long, lo long, hi long, shard long, place long, total long").repartition(max(1, min(len(chunks), 200)))
+    return table.mapInArrow(expand, "src long, block long, shard long, slot long")
 
 
 def block_uses(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = MOST_REPEATS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The mix of ``docs`` (uid, doc_id, t, source, size): sized rows, sources, pieces of documents in blocks.
+    """The mix of ``docs`` (uid, doc_id, t, source, size): sized rows, pieces of documents in blocks, slots of the shards.
 
-    sources: src, source_size, target. Pieces: uid, first (place in the
-    document of the piece's first word), words, n (times taken).
+    Sized rows gain src, source_size, target. Pieces: uid, src, block, off
+    (place among the source's words), first (place in the document of the
+    piece's first word), words. Slots: src, block, shard, slot.
     """
     spark = docs.sparkSession
     sizes = {r["source"]: (r["words"] or 0) for r in docs.groupBy("source").agg(F.sum("size").alias("words")).collect()}
@@ -180,8 +184,7 @@ def block_uses(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards
     last = F.floor((F.col("off") + F.col("size") - 1) / block).cast("long")
     pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("off") / block).cast("long"), last)))
     start, stop = F.greatest("off", F.col("block") * block), F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * block)
-    pieces = pieces.select("uid", "src", "block", (start - F.col("off")).alias("first"), (stop - start).alias("words"))
-    return sized, sources, pieces.hint("merge").join(uses, ["src", "block"]).select("uid", "first", "words", "n")
+    return sized, pieces.select("uid", "src", "block", "off", (start - F.col("off")).alias("first"), (stop - start).alias("words")), uses
 
 
 def sized_rows(docs: DataFrame) -> DataFrame:
@@ -197,12 +200,41 @@ def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards: int =
     empty table gives no rows. Other columns are not read. The same table
     gives the same mix. What is collected is a row per source.
     """
-    sized, _, pieces = block_uses(sized_rows(docs), seed, block, shards, **shares)
-    taken = pieces.groupBy("uid").agg(F.sum(F.col("words") * F.col("n")).alias("taken"))
+    sized, pieces, uses = block_uses(sized_rows(docs), seed, block, shards, **shares)
+    taken = pieces.hint("merge").join(uses, ["src", "block"]).groupBy("uid").agg(F.sum("words").alias("taken"))
     out = sized.hint("merge").join(taken, "uid", "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def mixed_blocks(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards: int = SHARDS, **shares) -> DataFrame:
+    """The mix in its order: shard, slot, source, text of each block taken, a shard's rows together and by slot.
+
+    A block's text is its documents' stretches, joined by a line break. Slots
+    of a shard are 0, 1, 2, ...; ``mix`` counts the same rows by document.
+    """
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("t"), "source", n_words(F.col("text")).alias("size"), "text"), "mix-texts")
+    sized, pieces, uses = block_uses(rows.drop("text"), seed, block, shards, **shares)
+    wanted = pieces.join(uses.select("src", "block").distinct(), ["src", "block"]).groupBy("uid", "src").agg(F.collect_list(F.struct("block", "off", "first", "words")).alias("parts"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        word = re.compile(WORD)
+        for batch in portions(batches, 2):
+            out = []
+            for src, parts, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                spans = [m.span() for m in word.finditer(text)]
+                out += [(src, p["block"], p["off"], text[spans[p["first"]][0] : spans[p["first"] + p["words"] - 1][1]]) for p in parts]
+            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, type=pa.int64()) for c in columns[:3]), pa.array(columns[3], type=pa.string())], names=["src", "block", "off", "text"])
+
+    cuts = wanted.hint("merge").join(rows.select("uid", "text"), "uid").select("src", "parts", "text").mapInArrow(cut, "src long, block long, off long, text string")
+    texts = cuts.groupBy("src", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    names = F.broadcast(sized.select("src", "source").distinct())
+    out = uses.hint("merge").join(texts, ["src", "block"]).join(names, "src").select("shard", "slot", "source", "text")
+    return out.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+
+
 def mixed_texts(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards: int = SHARDS, **shares) -> DataFrame:
     """The mix as documents: a row for each pass over a document that takes words of it.
 
@@ -211,7 +243,8 @@ def mixed_texts(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shard
     of ``docs``, n_chars (if there) being the new text's length. Rows that
     repeat id, text and source are served one after the other.
     """
-    sized, _, pieces = block_uses(sized_rows(docs), seed, block, shards, **shares)
+    sized, pieces, uses = block_uses(sized_rows(docs), seed, block, shards, **shares)
+    pieces = pieces.hint("merge").join(uses.groupBy("src", "block").agg(F.count("*").alias("n")), ["src", "block"])
     runs = pieces.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("first", "words", "n"))).alias("runs"))
     key = [F.coalesce("doc_id", F.lit(-(2**63))).alias("__k"), "src"]
     runs = sized.hint("merge").join(runs, "uid").select(*key, F.col("t").alias("__t"), "uid", "runs")

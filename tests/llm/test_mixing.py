@@ -68,6 +68,29 @@ def test_mixed_texts_hold_what_the_mix_takes(spark):
     assert all(r["n_chars"] == len(r["text"]) and set(r["text"].split()) <= set(source[r["doc_id"]]) for r in rows)
 
 
+@pytest.mark.parametrize("shards", [1, 5])
+def test_blocks_come_by_shard_and_slot_as_drawn(spark, shards):
+    docs = corpus(spark)
+    taken, blocks = mixing.mix(docs, block=16, shards=shards).collect(), mixing.mixed_blocks(docs, block=16, shards=shards)
+    rows = blocks.collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["shard"], []).append(r)
+    assert len(by) == shards and all([r["slot"] for r in own] == list(range(len(own))) for own in by.values())
+    sizes = {s: sum(r["size"] for r in taken if r["source"] == s) for s in ("a", "b", "c", None)}
+    n, goals = {s: -(-size // 16) for s, size in sizes.items()}, mixing.targets(sizes)
+    drawn = mixing.draws([round(goals[s] * n[s] / sizes[s]) for s in sizes], shards, 17)
+    assert [[sum(r["source"] == s for r in by[k]) for s in sizes] for k in range(shards)] == drawn.tolist()
+    for s in sizes:
+        assert sum(len(r["text"].split()) for r in rows if r["source"] == s) == sum(r["taken"] for r in taken if r["source"] == s)
+        assert all(len(r["text"].split()) <= 16 for r in rows)
+    words_ = {w for r in docs.collect() for w in r["text"].split()}
+    assert {w for r in rows for w in r["text"].split()} <= words_ and len({r["source"] for r in by[0][:20]}) > 2
+    again = mixing.mixed_blocks(docs.repartition(4), block=16, shards=shards).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
+    assert mixing.mixed_blocks(empty_docs(spark)).count() == 0 and mixing.mixed_blocks(edge_docs(spark), block=4).count() > 0
+
+
 def test_edges(spark):
     rows = mixing.mix(edge_docs(spark), block=4).collect()
     assert sorted((r["doc_id"] or -1, r["size"]) for r in rows) == [(-1, 3), (1, 0), (2, 0), (3, 0), (4, 2), (4, 2), (5, 9000), (6, 60), (7, 3), (8, 6)]

@@ -330,12 +330,58 @@ def routes_of_legs(found: DataFrame) -> DataFrame:
     return found.where("seq is not null").join(good, "route_id", "left_semi")
 
 
-def exact(requests: DataFrame, water: DataFrame, grid: GridSpec, rounds: int) -> DataFrame:
-    """Least cost in steps of one cell, eight ways, after ``rounds`` rounds: route_id, x, y, cost (nautical miles).
-
-    Every round joins the frontier with its neighbours' cells and keeps the least
-    cost of each cell; rounds beyond the diameter change nothing.
+def _converged(requests: DataFrame, water: DataFrame, grid: GridSpec) -> DataFrame:
+    """``exact`` without an end of rounds; a route's cells meet it in an equi-join over square tiles."""
+    side = 256
+    tiles = lambda n: F.sequence(F.lit(0), F.lit((n - 1) // side))
+    tiled = requests.select("route_id", "x0", "y0").distinct().withColumn("tx", F.explode(tiles(grid.width))).withColumn("ty", F.explode(tiles(grid.height)))
+    cells = water.select("x", "y").distinct().where(grid.holds(F.col("x"), F.col("y")))
+    met = tiled.join(cells.withColumns({"tx": F.floor(F.col("x") / side), "ty": F.floor(F.col("y") / side)}), ["tx", "ty"]).select("route_id", "x0", "y0", "x", "y")
+    w, h = grid.width, grid.height
+    lat = np.radians(grid.lat_max - (np.arange(h) + 0.5) / h * (grid.lat_max - grid.lat_min))
+    wide = math.radians((grid.lon_max - grid.lon_min) / w)
+
+    def nm(dx: int, dy: int) -> np.ndarray:
+        """Nautical miles of the step from each row that has a row to step to."""
+        lo, hi = max(0, -dy), h - max(0, dy)
+        one, two = lat[lo:hi], lat[lo + dy : hi + dy]
+        a = np.sin((two - one) / 2) ** 2 + np.cos(one) * np.cos(two) * math.sin(dx * wide / 2) ** 2
+        return (2 * np.arctan2(np.sqrt(a), np.sqrt(1 - a)) * EARTH_NM)[:, None]
+
+    steps = [(dx, dy, nm(dx, dy)) for dx, dy in ring(1, 8)]
+
+    def relax(pdf: pd.DataFrame) -> pd.DataFrame:
+        free = np.zeros((h, w), dtype=bool)
+        free[pdf["y"].to_numpy(dtype=int), pdf["x"].to_numpy(dtype=int)] = True
+        cost = np.full((h, w), np.inf)
+        starts = pdf[["x0", "y0"]].drop_duplicates().query(f"0 <= x0 < {w} and 0 <= y0 < {h}")
+        cost[starts["y0"].to_numpy(dtype=int), starts["x0"].to_numpy(dtype=int)] = 0.0
+        cost[~free] = np.inf
+        while True:
+            new = cost.copy()
+            for dx, dy, miles in steps:
+                y0, y1, x0, x1 = max(0, -dy), h - max(0, dy), max(0, -dx), w - max(0, dx)
+                at = new[y0 + dy : y1 + dy, x0 + dx : x1 + dx]
+                np.minimum(at, cost[y0:y1, x0:x1] + miles, out=at)
+            new[~free] = np.inf
+            if (new == cost).all():
+                break
+            cost = new
+        y, x = np.nonzero(np.isfinite(cost))
+        return pd.DataFrame({"route_id": pdf["route_id"].iloc[0], "x": x, "y": y, "cost": cost[y, x]})
+
+    return met.groupBy("route_id").applyInPandas(relax, "route_id long, x int, y int, cost double")
+
+
+def exact(requests: DataFrame, water: DataFrame, grid: GridSpec, rounds: int | None = None) -> DataFrame:
+    """Least cost in steps of one cell, eight ways: route_id, x, y, cost (nautical miles).
+
+    Every one of ``rounds`` rounds joins the frontier with its neighbours' cells
+    and keeps the least cost of each cell; rounds beyond the diameter change
+    nothing. Without ``rounds``, each route relaxes in a task until no cost changes.
     """
+    if rounds is None:
+        return _converged(requests, water, grid)
     centre = water.select("x", "y").distinct()
     start = requests.select("route_id", F.col("x0").alias("x"), F.col("y0").alias("y"), F.lit(0.0).alias("cost")).join(centre, ["x", "y"], "left_semi").select("route_id", "x", "y", "cost")
     moves = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ring(1, 8)])

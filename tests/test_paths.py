@@ -1,5 +1,7 @@
 """Lookups, paths, search and sources."""
 
+import heapq
+import math
 import random
 
 import pytest
@@ -232,6 +234,47 @@ def test_exact_is_never_dearer_than_guided(spark):
     assert set(goal) == set(guided) and all(goal[i] <= guided[i] + 1e-9 for i in goal)
 
 
+def dijkstra(water_cells, start, grid):
+    def nm(a, b):
+        la, lb = (math.radians(grid.lat_max - (y + 0.5) * (grid.lat_max - grid.lat_min) / grid.height) for _, y in (a, b))
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians((b[0] - a[0]) * (grid.lon_max - grid.lon_min) / grid.width) / 2) ** 2
+        return 2 * 3440.065 * math.asin(math.sqrt(h))
+
+    done, heap = {}, [(0.0, start)] if start in water_cells else []
+    while heap:
+        cost, (x, y) = heapq.heappop(heap)
+        if (x, y) in done:
+            continue
+        done[x, y] = cost
+        for c in ((x + dx, y + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)):
+            if c in water_cells and c not in done:
+                heapq.heappush(heap, (cost + nm((x, y), c), c))
+    return done
+
+
+def test_exact_relaxes_until_nothing_changes(spark):
+    wall = [(5, y) for y in range(19)] + [(12, y) for y in range(1, 20)]
+    cells = {(x, y) for x in range(40) for y in range(20)} - set(wall)
+    got = {(r["route_id"], r["x"], r["y"]): r["cost"] for r in search.exact(requests(spark, (0, 0, 39, 0), (5, 3, 9, 9)), water(spark, wall), GRID).collect()}
+    want = {(0, *c): cost for c, cost in dijkstra(cells, (0, 0), GRID).items()}
+    assert set(got) == set(want) and (0, 39, 0) in got and all(got[c] == pytest.approx(want[c], rel=1e-4) for c in want)
+
+
+def test_route_queries_reach_their_goals_on_all_supplier_cells(spark):
+    from pelorus.plans import queries
+    from shared import SF
+
+    rows = [r["s_suppkey"] for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()]
+    land = {(k * 17 % 40, k * 5 % 20) for k in rows}
+    cells = {(x, y) for x in range(40) for y in range(20)} - land
+    got = {(r["route_id"], r["x"], r["y"]): r["cost"] for r in queries.QUERIES["exact_route_whole"](spark, SF).collect()}
+    for k in range(25):
+        want = dijkstra(cells, (k * 7 % 40, k * 3 % 20), queries.SMALL)
+        assert {c[1:]: v for c, v in got.items() if c[0] == k} == pytest.approx(want, rel=1e-4, abs=1e-6)
+    guided = queries.QUERIES["guided_route"](spark, SF).where("seq is not null").collect()
+    assert guided and not {(r["x"], r["y"]) for r in guided} & land
+
+
 def test_limits_and_lanes(spark):
     cells = raster.flags(water(spark))
     capped = search.guided(requests(spark, (2, 2, 37, 3)), cells, GRID, search.SearchConfig(radius=1, directions=8, max_expansions=3)).first()

@@ -29,7 +29,7 @@ DIM = 1 << 18
 #: Lengths of word beginnings that are features besides the whole word.
 STEMS = (4, 5, 6)
 #: At most about so many texts are fitted on.
-POSITIVES, UNLABELLED = 5000, 10_000
+POSITIVES, UNLABELLED = 6000, 14_000
 DEFAULT_PRIOR = 0.1
 #: Words whose features a worker remembers.
 REMEMBERED_WORDS = 500_000

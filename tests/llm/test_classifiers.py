@@ -122,3 +122,10 @@ def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["predicted"] for r in toxicity.score(docs, toxicity.train(docs, none)).collect()} == {0}
     assert toxicity.score(empty_docs(spark), toxicity.train(empty_docs(spark), labels)).count() == 0
+
+
+def test_toxicity_is_fitted_on_twenty_thousand_texts():
+    import inspect
+
+    fitted = inspect.signature(toxicity.train).parameters
+    assert (fitted["positives"].default, fitted["unlabelled"].default) == (6000, 14_000)

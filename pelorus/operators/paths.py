@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pelorus.functions import geo
 from pelorus.grid import GridSpec
-from pelorus.operators.raster import line_cells
+from pelorus.operators import raster
 
 
 def legs(points: DataFrame, key: str = "route_id", seq: str = "seq") -> DataFrame:
@@ -55,12 +55,28 @@ def lane_usage(path: DataFrame) -> DataFrame:
 
 
 def blocked_lines(lines: DataFrame, blocked: DataFrame, grid: GridSpec, ties: str) -> DataFrame:
-    """line_id and ``clear`` of each line (line_id, x0, y0, x1, y1): no blocked cell on it, none off the grid."""
-    cells = lines.select("line_id", F.explode(line_cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), ties)).alias("c")).select("line_id", "c.x", "c.y")
-    bad = blocked.select("x", "y").distinct().withColumn("__bad", F.lit(True))
-    met = cells.join(bad, ["x", "y"], "left")
-    hit = F.coalesce("__bad", F.lit(False)) | ~grid.holds(F.col("x"), F.col("y"))
-    return met.groupBy("line_id").agg((~F.bool_or(hit)).alias("clear"))
+    """line_id and ``clear`` of each line (line_id, x0, y0, x1, y1): no blocked cell on it, none off the grid.
+
+    Blocked cells are bits of square tiles. Lines are cut into pieces as long
+    as a tile; a piece meets the tiles that it may touch and is opened into
+    cells there. A line is off the grid if an end is.
+    """
+    ends = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    on_grid = grid.holds(ends[0], ends[1]) & grid.holds(ends[2], ends[3])
+    bits, steps = raster.TILE_BITS, raster.line_steps(*ends)
+    pieces = raster.dealt_anew(lines.where(on_grid).select("line_id", *ends)).withColumn("lo", F.explode(F.sequence(F.lit(0), steps, F.lit(1 << bits))))
+    pieces = pieces.withColumn("hi", F.least(steps, F.col("lo") + (1 << bits) - 1))
+    (ax, ay), (bx, by) = (raster.line_cell(F.col(c), *ends, ties) for c in ("lo", "hi"))
+    touched = lambda a, b: F.explode(F.sequence(F.shiftright(F.least(a, b), bits), F.shiftright(F.greatest(a, b), bits)))
+    pieces = pieces.withColumn("tx", touched(ax, bx)).withColumn("ty", touched(ay, by))
+    met = pieces.join(raster.bit_tiles(blocked.where(grid.holds(F.col("x"), F.col("y")))), ["tx", "ty"])
+    x, y = raster.line_cell(F.col("i"), *ends, ties)
+    cells = met.withColumn("i", F.explode(F.sequence("lo", "hi"))).select("line_id", "tx", "ty", "rows", x.alias("x"), y.alias("y"))
+    low = F.lit((1 << bits) - 1)
+    bit = F.call_function("shiftright", F.get("rows", F.col("y").bitwiseAND(low)), F.col("x").bitwiseAND(low)).bitwiseAND(F.lit(1))
+    hits = cells.where((F.shiftright("x", bits) == F.col("tx")) & (F.shiftright("y", bits) == F.col("ty")) & (bit == 1))
+    hits = hits.select("line_id").distinct().withColumn("__hit", F.lit(True))
+    return lines.select("line_id", on_grid.alias("__on")).join(hits, "line_id", "left").select("line_id", (F.col("__on") & F.col("__hit").isNull()).alias("clear"))
 
 
 def off_line(x1: Column, y1: Column, x2: Column, y2: Column, x3: Column, y3: Column) -> Column:
@@ -159,8 +175,8 @@ def cut_lane_gaps(path: DataFrame, blocked: DataFrame, grid: GridSpec) -> DataFr
 def skip_ahead(path: DataFrame, blocked: DataFrame, grid: GridSpec, look: int = 25) -> DataFrame:
     """Outside lanes, go on from each point kept to the farthest of the next ``look`` in sight; seq is numbered anew.
 
-    All lines of sight are tested in one join; following the farthest ones is a
-    fold over the run's points.
+    All lines of sight are tested in one join; the farthest ones are followed
+    from point to point, each run by itself.
     """
     runs = free_runs(path)
     ahead = runs.select("route_id", "run", F.col("seq").alias("to"), F.col("x").alias("x1"), F.col("y").alias("y1"))
@@ -168,15 +184,19 @@ def skip_ahead(path: DataFrame, blocked: DataFrame, grid: GridSpec, look: int =
     lines = here.join(ahead, ["route_id", "run", "to"]).withColumn("line_id", F.struct("route_id", "run", "seq", "to"))
     clear = blocked_lines(lines, blocked, grid, "up").where("clear").select("line_id.*")
     far = clear.groupBy("route_id", "run", "seq").agg(F.max("to").alias("far"))
-    steps = runs.select("route_id", "run", "seq").join(far, ["route_id", "run", "seq"], "left")
-    steps = steps.groupBy("route_id", "run").agg(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("far", F.col("seq") + 1).alias("far")))).alias("steps"))
-    start = F.struct(F.lit(-1).alias("next"), F.array().cast("array<int>").alias("drop"))
+    steps = runs.select("route_id", "run", "seq").join(far, ["route_id", "run", "seq"], "left").select("route_id", "run", "seq", F.coalesce("far", F.col("seq") + 1).alias("far"))
 
-    def follow(state: Column, s: Column) -> Column:
-        on = s["seq"] >= state["next"]
-        return F.struct(F.when(on, s["far"]).otherwise(state["next"]).alias("next"), F.when(on, state["drop"]).otherwise(F.concat(state["drop"], F.array(s["seq"]))).alias("drop"))
-
-    gone = steps.select("route_id", F.explode(F.aggregate("steps", start, follow)["drop"]).alias("seq"))
+    def passed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        to, drop = -1, []
+        for seq, far_ in zip(pdf["seq"].tolist(), pdf["far"].tolist(), strict=True):
+            if seq >= to:
+                to = far_
+            else:
+                drop.append(seq)
+        return pd.DataFrame({"route_id": pdf["route_id"].iloc[0], "seq": drop})
+
+    gone = steps.groupBy("route_id", "run").applyInPandas(passed, path.select("route_id", "seq").schema)
     return ranked(path.join(gone, ["route_id", "seq"], "left_anti"))
 
 

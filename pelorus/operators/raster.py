@@ -19,41 +19,58 @@ WATER, LANE, FORBIDDEN = 1, 2, 4
 # ---- lines -----------------------------------------------------------------
 
 
-def line_cells(x0: Column, y0: Column, x1: Column, y1: Column, ties: str) -> Column:
-    """Cells of a straight line as array<struct<i, x, y>>, both ends included.
+def line_cell(i: Column, x0: Column, y0: Column, x1: Column, y1: Column, ties: str) -> tuple[Column, Column]:
+    """x and y of step ``i`` of a straight line.
 
     The longer axis takes a step each time; where the other axis is half way
     between two cells, ``ties`` says whether it has stepped ("up") or not
     ("down").
     """
     dx, dy = x1 - x0, y1 - y0
-    long_, short = F.greatest(F.abs(dx), F.abs(dy)), F.least(F.abs(dx), F.abs(dy))
+    long_, short = line_steps(x0, y0, x1, y1), F.least(F.abs(dx), F.abs(dy))
+    twice = 2 * short * i
+    minor = F.floor((twice + long_) / (2 * long_)) if ties == "up" else F.ceil((twice + long_) / (2 * long_)) - 1
+    minor = F.when(long_ == 0, F.lit(0)).otherwise(minor)
+    steep = F.abs(dy) > F.abs(dx)
+    x = x0 + F.signum(dx.cast("double")) * F.when(steep, minor).otherwise(i)
+    y = y0 + F.signum(dy.cast("double")) * F.when(steep, i).otherwise(minor)
+    return x.cast("int"), y.cast("int")
 
-    def cell(i: Column) -> Column:
-        twice = 2 * short * i
-        minor = F.floor((twice + long_) / (2 * long_)) if ties == "up" else F.ceil((twice + long_) / (2 * long_)) - 1
-        minor = F.when(long_ == 0, F.lit(0)).otherwise(minor)
-        steep = F.abs(dy) > F.abs(dx)
-        x = x0 + F.signum(dx.cast("double")) * F.when(steep, minor).otherwise(i)
-        y = y0 + F.signum(dy.cast("double")) * F.when(steep, i).otherwise(minor)
-        return F.struct(i.alias("i"), x.cast("int").alias("x"), y.cast("int").alias("y"))
 
-    return F.transform(F.sequence(F.lit(0), long_.cast("int")), cell)
+def line_steps(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    return F.greatest(F.abs(x1 - x0), F.abs(y1 - y0)).cast("int")
 
 
-def sampled_cells(x0: Column, y0: Column, x1: Column, y1: Column, of_delta: bool = False) -> Column:
-    """Cells at equal steps along the longer axis, halves rounded to even: array<struct<i, x, y>>.
+def line_cells(lines: DataFrame, ties: str) -> DataFrame:
+    """``lines`` (x0, y0, x1, y1) with a row for each cell: i, x, y are added, both ends included."""
+    ends = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    steps = dealt_anew(lines).withColumn("i", F.explode(F.sequence(F.lit(0), line_steps(*ends))))
+    x, y = line_cell(F.col("i"), *ends, ties)
+    return steps.withColumns({"x": x, "y": y})
+
+
+def dealt_anew(df: DataFrame, *by: str) -> DataFrame:
+    """Deal rows anew, each of which will turn into many: they are few bytes, and would end up in few tasks."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *by)
+
+
+def sampled_steps(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    return F.greatest(F.abs(x1 - x0), F.abs(y1 - y0), F.lit(1)).cast("int")
+
+
+def sampled_cell(i: Column, x0: Column, y0: Column, x1: Column, y1: Column, of_delta: bool = False) -> tuple[Column, Column]:
+    """x and y of step ``i`` of equal steps along the longer axis, halves rounded to even.
 
     ``of_delta`` rounds the distance from the start instead of the position.
     """
-    dx, dy = x1 - x0, y1 - y0
-    steps = F.greatest(F.abs(dx), F.abs(dy), F.lit(1))
+    steps = sampled_steps(x0, y0, x1, y1)
 
-    def at(start: Column, d: Column, i: Column) -> Column:
+    def at(start: Column, d: Column) -> Column:
         moved = (d * i).cast("double") / steps
         return (start + F.rint(moved) if of_delta else F.rint(start + moved)).cast("int")
 
-    return F.transform(F.sequence(F.lit(0), steps.cast("int")), lambda i: F.struct(i.alias("i"), at(x0, dx, i).alias("x"), at(y0, dy, i).alias("y")))
+    return at(x0, x1 - x0), at(y0, y1 - y0)
 
 
 def segments(points: Column) -> Column:
@@ -88,18 +105,27 @@ def rasterize(lines: DataFrame, grid: GridSpec, line_id: str = "line_id", points
     seg = lines.select(F.col(line_id).alias("line"), F.explode(segments(F.col(points))).alias("s")).select("line", "s.*")
     dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
     size = F.hypot(dx.cast("double"), dy.cast("double"))
-    cells = F.when(size == 0, F.array(F.struct(F.lit(0).alias("i"), F.col("a.x").alias("x"), F.col("a.y").alias("y"))))
-    cells = cells.otherwise(sampled_cells(F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y")))
-    written = seg.select("line", "seg", F.when(size > 0, dx / size).alias("u"), F.when(size > 0, dy / size).alias("v"), F.explode(cells).alias("c"))
-    written = written.select(F.col("c.x").alias("x"), F.col("c.y").alias("y"), "u", "v", F.struct("line", "seg", F.col("c.i").alias("i")).alias("w"))
+    ends = [F.col(c) for c in ("a.x", "a.y", "b.x", "b.y")]
+    seg = dealt_anew(seg.orderBy("line", "seg").withColumn("turn", F.monotonically_increasing_id()), "turn")
+    steps = seg.withColumn("i", F.explode(F.sequence(F.lit(0), F.when(size == 0, F.lit(0)).otherwise(sampled_steps(*ends)))))
+    x, y = sampled_cell(F.col("i"), *ends)
+    written = steps.select(x.alias("x"), y.alias("y"), F.when(size > 0, dx / size).alias("u"), F.when(size > 0, dy / size).alias("v"), _turn_and_step(F.col("turn"), F.col("i")).alias("w"))
     return last_write(written.where(grid.holds(F.col("x"), F.col("y"))))
 
 
+def _turn_and_step(turn: Column, step: Column) -> Column:
+    """One long that orders by turn, then step, so that it can be hash-aggregated.
+
+    A turn is a partition (19 bits) and a row of it (27 bits); a step has 17
+    bits, more than the side of any grid.
+    """
+    return F.shiftleft(F.shiftright(turn, 33), 44) + F.shiftleft(turn.bitwiseAND(F.lit((1 << 27) - 1)), 17) + step
+
+
 def last_write(written: DataFrame) -> DataFrame:
-    """Of several vectors for a cell the one with the largest ``w``; rows without a vector only set the cell."""
-    vector = F.max_by(F.struct("u", "v"), F.when(F.col("u").isNotNull(), F.col("w")))
-    out = written.groupBy("x", "y").agg(vector.alias("d"))
-    return out.select("x", "y", F.coalesce("d.u", F.lit(0.0)).alias("u"), F.coalesce("d.v", F.lit(0.0)).alias("v"))
+    """Of several vectors for a cell the one with the largest ``w`` (a long); rows without a vector only set the cell."""
+    w = F.when(F.col("u").isNotNull(), F.col("w"))
+    return written.groupBy("x", "y").agg(*[F.coalesce(F.max_by(c, w), F.lit(0.0)).alias(c) for c in ("u", "v")])
 
 
 def brushed_lines(lines: DataFrame, grid: GridSpec, width: int, points: str = "points", closed: bool = False) -> DataFrame:
@@ -108,9 +134,12 @@ def brushed_lines(lines: DataFrame, grid: GridSpec, width: int, points: str = "p
     if closed:
         first, last = F.try_element_at(p, F.lit(1)), F.try_element_at(p, F.lit(-1))
         p = F.when(first != last, F.concat(p, F.array(first))).otherwise(p)
-    alone = F.transform(p, lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
-    along = F.flatten(F.transform(segments(p), lambda s: F.transform(sampled_cells(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], True), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))))
-    spine = lines.select(F.explode(F.array_distinct(F.concat(alone, along))).alias("c")).select("c.*").distinct().where(grid.holds(F.col("x"), F.col("y")))
+    alone = lines.select(F.explode(p).alias("c")).select("c.x", "c.y")
+    seg = dealt_anew(lines.select(F.explode(segments(p)).alias("s")).select("s.*"))
+    ends = [F.col(c) for c in ("a.x", "a.y", "b.x", "b.y")]
+    along = seg.withColumn("i", F.explode(F.sequence(F.lit(0), sampled_steps(*ends))))
+    x, y = sampled_cell(F.col("i"), *ends, True)
+    spine = alone.unionByName(along.select(x.alias("x"), y.alias("y"))).distinct().where(grid.holds(F.col("x"), F.col("y")))
     reach = max(1, width)
     return _spread(spine, [(dx, dy) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1)], grid)
 
@@ -171,9 +200,9 @@ def dilate_lanes(cells: DataFrame, radius: int, grid: GridSpec) -> DataFrame:
     to = cells.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "u", "v", F.explode(o).alias("o"))
     to = to.select((F.col("sx") + F.col("o.dx")).alias("x"), (F.col("sy") + F.col("o.dy")).alias("y"), "sx", "sy", "u", "v", ((F.col("o.dx") != 0) | (F.col("o.dy") != 0)).cast("int").alias("away"))
     has = (F.col("u") != 0) | (F.col("v") != 0)
-    first = F.min_by(F.struct("u", "v"), F.when(has, F.struct("away", "sy", "sx")))
-    out = to.where(grid.holds(F.col("x"), F.col("y"))).groupBy("x", "y").agg(first.alias("d"))
-    return out.select("x", "y", F.coalesce("d.u", F.lit(0.0)).alias("u"), F.coalesce("d.v", F.lit(0.0)).alias("v"))
+    # away, then row, then column of the source, in one long that can be hash-aggregated
+    order = F.when(has, F.shiftleft(F.col("away").cast("long"), 60) + F.shiftleft(F.col("sy").cast("long"), 30) + F.col("sx"))
+    return to.where(grid.holds(F.col("x"), F.col("y"))).groupBy("x", "y").agg(*[F.coalesce(F.min_by(c, order), F.lit(0.0)).alias(c) for c in ("u", "v")])
 
 
 # ---- polygons --------------------------------------------------------------
@@ -188,7 +217,8 @@ def fill_rings(rings: DataFrame, grid: GridSpec, ring_id: str = "ring_id", point
     p = F.col(points)
     ring = rings.where(F.size(p) >= 3).select(F.col(ring_id).alias("ring_id"), F.concat(p, F.array(F.element_at(p, 1))).alias("p"))
     edges = ring.select("ring_id", F.explode(segments(F.col("p"))).alias("s")).select("ring_id", F.col("s.a.x").alias("x0"), F.col("s.a.y").alias("y0"), F.col("s.b.x").alias("x1"), F.col("s.b.y").alias("y1"))
-    outline = edges.select("ring_id", F.explode(line_cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), "up")).alias("c")).select("ring_id", "c.x", "c.y")
+    edges = dealt_anew(edges, "ring_id")
+    outline = line_cells(edges, "up").select("ring_id", "x", "y")
     low, high = F.greatest(F.least("y0", "y1"), F.lit(0)), F.least(F.greatest("y0", "y1") - 1, F.lit(grid.height - 1))
     crossings = edges.where((F.col("y0") != F.col("y1")) & (low <= high)).withColumn("y", F.explode(F.sequence(low, high)))
     crossings = crossings.select("ring_id", "y", (F.col("x0") + (F.col("y") - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))).alias("cx"))
@@ -264,6 +294,20 @@ def navigable(flag: Column) -> Column:
     return ((f.bitwiseAND(FORBIDDEN) == 0) | (f.bitwiseAND(LANE) != 0)) & (f.bitwiseAND(WATER | LANE) != 0)
 
 
+#: Side of the squares of ``bit_tiles``, as a power of two; a row of one is a long.
+TILE_BITS = 6
+
+
+def bit_tiles(cells: DataFrame) -> DataFrame:
+    """tx, ty, rows: for each square with a set cell its 64 rows, a bit for a cell. Coordinates must not be negative."""
+    low = (1 << TILE_BITS) - 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(F.lit(low)).cast("int"))
+    tile = [F.shiftright(c, TILE_BITS).cast("int").alias(f"t{c}") for c in ("x", "y")]
+    rows = cells.groupBy(*tile, F.col("y").bitwiseAND(F.lit(low)).cast("int").alias("r")).agg(F.bit_or(bit).alias("bits"))
+    found = rows.groupBy("tx", "ty").agg(F.map_from_entries(F.collect_list(F.struct("r", "bits"))).alias("m"))
+    return found.select("tx", "ty", F.transform(F.sequence(F.lit(0), F.lit(low)), lambda r: F.coalesce(F.try_element_at("m", r), F.lit(0).cast("long"))).alias("rows"))
+
+
 def water_share(land: DataFrame, grid: GridSpec) -> DataFrame:
     """One row, ``water_percent``: share of the grid that is not land."""
     total = float(grid.width) * grid.height

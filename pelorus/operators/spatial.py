@@ -67,6 +67,16 @@ def nearest_lane_start(points: DataFrame, lanes: DataFrame, max_metres: float =
     return nearest(met, ["point_id"], ["distance_nm", "__rank", "lane_id"]).withColumn("distance_m", F.col("distance_nm") * geo.METRES_PER_NM).drop("__rank")
 
 
+def invalid_points(points: DataFrame) -> DataFrame:
+    """Points (point_id, lat, lon, heading) that ``nearest_lane_start`` leaves out, with the first reason."""
+    reason = (
+        F.when(~F.coalesce(F.col("lat").between(-90, 90), F.lit(False)), "latitude")
+        .when(~F.coalesce(F.col("lon").between(-180, 180), F.lit(False)), "longitude")
+        .when(~F.coalesce(F.col("heading").between(0, 360), F.lit(False)), "heading")
+    )
+    return points.select("point_id", reason.alias("reason")).where("reason is not null")
+
+
 def overlapping_tiles(tiles: DataFrame, x_min: int, x_max: int, y_min: int, y_max: int) -> DataFrame:
     """Tiles (x0, x1, y0, y1, upper ends excluded) that a pixel window meets, with the part that lies in it."""
     part = {"from_x": F.greatest("x0", F.lit(x_min)), "to_x": F.least("x1", F.lit(x_max)), "from_y": F.greatest("y0", F.lit(y_min)), "to_y": F.least("y1", F.lit(y_max))}
@@ -78,32 +88,29 @@ def to_water(points: DataFrame, land: DataFrame, grid: GridSpec, reach: int = 20
 
     Cells are tried on growing squares: first the rows above and below, by
     column, then the columns, by row, the positive side first. The rings are
-    tried in bands of growing width, only for points still dry, so that most
-    points look at few cells. Points without water in reach stay.
+    tried in bands of growing width, and a point that has found water stands
+    for one row in the later bands. Points without water in reach stay.
     """
-    todo = points.select("point_id", "x", "y", F.col("x").alias("nx"), F.col("y").alias("ny"))
-    blocked = land.select(F.col("x").alias("nx"), F.col("y").alias("ny")).distinct().withColumn("__land", F.lit(True))
-    wet = todo.where(grid.holds(F.col("nx"), F.col("ny"))).join(blocked, ["nx", "ny"], "left_anti").select("point_id", "nx", "ny")
-    found, low = [wet], 1
-    rest = todo.select("point_id", "x", "y").join(wet.select("point_id"), "point_id", "left_anti")
+    blocked = land.select(F.col("x").alias("cx"), F.col("y").alias("cy")).distinct().withColumn("__land", F.lit(True))
+    dry = ~grid.holds(F.col("cx"), F.col("cy")) | F.col("__land").isNotNull()
+    state = points.select("point_id", "x", "y", F.col("x").alias("cx"), F.col("y").alias("cy")).join(blocked, ["cx", "cy"], "left")
+    state = state.select("point_id", "x", "y", *[F.when(~dry, F.col(c)).alias(n) for c, n in (("x", "nx"), ("y", "ny"))])
+    low = 1
     while low <= reach:
         high = min(reach, 4 * low - 1)
-        r = rest.withColumn("r", F.explode(F.sequence(F.lit(low), F.lit(high))))
-        rows = r.withColumn("major", F.explode(F.expr("sequence(-r, r)"))).withColumn("phase", F.lit(0))
-        cols = r.withColumn("major", F.explode(F.expr("sequence(-r + 1, r - 1)"))).withColumn("phase", F.lit(1))
-        cells = rows.unionByName(cols).withColumn("sign", F.explode(F.array(F.lit(0), F.lit(1))))
+        todo = F.col("nx").isNull()
+        tried = state.withColumn("r", F.explode(F.when(todo, F.sequence(F.lit(low), F.lit(high))).otherwise(F.array(F.lit(0)))))
+        # a ring's rows, then its columns; ring 0 is the point itself, once
+        tried = tried.withColumn("phase", F.explode(F.when(todo, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        tried = tried.withColumn("major", F.explode(F.expr("sequence(-r + phase, r - phase)")))
+        tried = tried.withColumn("sign", F.explode(F.when(todo, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
         away = F.when(F.col("sign") == 0, F.col("r")).otherwise(-F.col("r"))
-        cells = cells.select("point_id", "x", "y", "r", "phase", "major", "sign", (F.col("x") + F.when(F.col("phase") == 0, F.col("major")).otherwise(away)).alias("nx"), (F.col("y") + F.when(F.col("phase") == 0, away).otherwise(F.col("major"))).alias("ny"))
-        free = cells.where(grid.holds(F.col("nx"), F.col("ny"))).join(blocked, ["nx", "ny"], "left_anti")
-        best = free.groupBy("point_id").agg(F.min_by(F.struct("nx", "ny"), F.struct("r", "phase", "major", "sign")).alias("n")).select("point_id", "n.nx", "n.ny")
-        found.append(best)
-        rest = rest.join(best.select("point_id"), "point_id", "left_anti")
+        cx, cy = F.col("x") + F.when(F.col("phase") == 0, F.col("major")).otherwise(away), F.col("y") + F.when(F.col("phase") == 0, away).otherwise(F.col("major"))
+        tried = tried.select("*", F.coalesce("nx", cx).alias("cx"), F.coalesce("ny", cy).alias("cy")).join(blocked, ["cx", "cy"], "left")
+        turn = F.when(~dry, ((F.col("r").cast("long") * 2 + F.col("phase")) * (4 * reach + 4) + F.col("major") + F.col("r")) * 2 + F.col("sign"))
+        state = tried.groupBy("point_id", "x", "y").agg(F.min_by("cx", turn).alias("nx"), F.min_by("cy", turn).alias("ny"))
         low = high + 1
-    moved = found[0]
-    for f in found[1:]:
-        moved = moved.unionByName(f)
-    out = points.select("point_id", "x", "y").join(moved, "point_id", "left")
-    return out.select("point_id", F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y"))
+    return state.select("point_id", F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y"))
 
 
 def nearest_cell(points: DataFrame, cells: DataFrame, radius: int = 20) -> DataFrame:

@@ -40,13 +40,18 @@ def walk(x0, y0, x1, y1, up):
 @pytest.mark.parametrize("ties", ["up", "down"])
 def test_lines_equal_the_walk(spark, ties):
     ends = [(x, y) for x in range(-9, 10) for y in range(-9, 10)]
-    df = spark.createDataFrame(ends, "x int, y int").select("x", "y", raster.line_cells(F.lit(0), F.lit(0), F.col("x"), F.col("y"), ties).alias("c"))
-    for r in df.collect():
-        assert [(c["x"], c["y"]) for c in r["c"]] == walk(0, 0, r["x"], r["y"], ties == "up"), (r["x"], r["y"])
+    df = spark.createDataFrame([(0, 0, x, y) for x, y in ends], "x0 int, y0 int, x1 int, y1 int")
+    got = {}
+    for r in raster.line_cells(df, ties).orderBy("x1", "y1", "i").collect():
+        got.setdefault((r["x1"], r["y1"]), []).append((r["x"], r["y"]))
+    assert got == {(x, y): walk(0, 0, x, y, ties == "up") for x, y in ends}
 
 
 def test_golden_lines(spark):
-    line = lambda x, y, t: [(c["x"], c["y"]) for c in spark.range(1).select(raster.line_cells(F.lit(0), F.lit(0), F.lit(x), F.lit(y), t).alias("c")).first()["c"]]
+    def line(x, y, ties):
+        df = spark.createDataFrame([(0, 0, x, y)], "x0 int, y0 int, x1 int, y1 int")
+        return [(r["x"], r["y"]) for r in raster.line_cells(df, ties).orderBy("i").collect()]
+
     assert line(1, 2, "down") == [(0, 0), (0, 1), (1, 2)] and line(2, 1, "down") == [(0, 0), (1, 0), (2, 1)]
     assert line(1, 2, "up") == [(0, 0), (1, 1), (1, 2)] and line(2, 1, "up") == [(0, 0), (1, 1), (2, 1)]
 

@@ -4,8 +4,8 @@
 dependent steps, so a request is one task's work and requests run side by
 side; a task gets only the cells of its own window.
 
-``exact``: relaxation in rounds of DataFrame joins, for small grids and for
-checking; all requests advance together.
+``exact``: least costs to all cells of a grid, relaxed until nothing changes,
+for small grids and for checking.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelorus.functions.geo import EARTH_NM, KM_PER_DEGREE, KM_PER_NM, ring
+from pelorus.functions.geo import EARTH_NM, KM_PER_DEGREE, KM_PER_NM, lane_factor, ring
 from pelorus.grid import GridSpec
 from pelorus.operators.raster import FORBIDDEN, LANE, WATER
 
@@ -66,6 +66,21 @@ class Area:
     x0: int = 0
     y0: int = 0
     lanes: list[Lane] = field(default_factory=list)
+    #: degrees, the side of the buckets in which lanes are looked up
+    side: float = 1.0
+
+    def __post_init__(self) -> None:
+        self.buckets: dict[tuple[int, int], list[int]] = {}
+        for i, lane in enumerate(self.lanes):
+            self.buckets.setdefault(self._bucket(lane.lat, lane.lon), []).append(i)
+
+    def _bucket(self, lat: float, lon: float) -> tuple[int, int]:
+        return math.floor(lat / self.side), math.floor(lon / self.side)
+
+    def lanes_around(self, lat: float, lon: float) -> list[tuple[int, Lane]]:
+        """Lanes that may enter within ``side`` degrees, with their numbers."""
+        b, c = self._bucket(lat, lon)
+        return [(i, self.lanes[i]) for db in (-1, 0, 1) for dc in (-1, 0, 1) for i in self.buckets.get((b + db, c + dc), ())]
 
     def flag(self, x: int, y: int) -> int:
         x, y = x - self.x0, y - self.y0
@@ -225,7 +240,7 @@ class Guided:
         if self.area.flag(*to) & LANE:
             u, v = self.area.direction(*to)
             if u or v:
-                towards = (cosine(*self.measure.shift(a, to), u, v) + cosine(*self.measure.shift(to, self.goal), u, v)) / 2
+                towards = (cosine(*self.measure.shift(a, to), u, v) + cosine(*self.measure.shift(a, self.goal), u, v)) / 2
                 return base * along_factor(towards, bool(self.area.flag(*a) & LANE), self.config.lane_factor)
         return base
 
@@ -250,7 +265,7 @@ class Guided:
             heading = math.degrees(math.atan2(math.sin(a) + math.sin(b), math.cos(a) + math.cos(b))) % 360
         lat, lon = self.measure.latlon(*cell, centre=False)
         best: tuple[float, int] | None = None
-        for i, lane in enumerate(self.area.lanes):
+        for i, lane in self.area.lanes_around(lat, lon):
             turn = abs(heading - lane.bearing) % 360
             if math.hypot(lat - lane.lat, lon - lane.lon) <= self.config.snap_km / KM_PER_DEGREE and min(turn, 360 - turn) <= self.config.snap_tolerance:
                 km = haversine(lat, lon, lane.lat, lane.lon) * KM_PER_NM
@@ -287,41 +302,65 @@ class Guided:
                 yield x, cell[1] + dy
 
 
+#: Side of the square tiles in which cells are sent to the requests.
+TILE_SIDE = 64
+
+
+def packed_tiles(cells: DataFrame) -> DataFrame:
+    """tx, ty, at, flags, vectors: a row for each tile of ``cells`` (x, y, flags and optionally u, v); ``at`` is y * side + x in the tile."""
+    at = (F.pmod("y", F.lit(TILE_SIDE)) * TILE_SIDE + F.pmod("x", F.lit(TILE_SIDE))).cast("int")
+    each = F.collect_list(F.struct(at.alias("at"), F.col("flags").cast("int").alias("flags"))).alias("c")
+    has = (F.col("u") != 0) | (F.col("v") != 0) if "u" in cells.columns else F.lit(False)
+    u, v = (F.col(c) if "u" in cells.columns else F.lit(0.0) for c in ("u", "v"))
+    vectors = F.collect_list(F.when(has, F.struct(at.alias("at"), u.alias("u"), v.alias("v")))).alias("d")
+    tiles = cells.groupBy(F.floor(F.col("x") / TILE_SIDE).alias("tx"), F.floor(F.col("y") / TILE_SIDE).alias("ty")).agg(each, vectors)
+    return tiles.select("tx", "ty", F.col("c.at").alias("at"), F.col("c.flags").alias("flags"), F.col("d.at").alias("at_v"), F.col("d.u").alias("u"), F.col("d.v").alias("v"))
+
+
 def guided(requests: DataFrame, cells: DataFrame, grid: GridSpec, config: SearchConfig, lanes: DataFrame | None = None, margin: int = 50) -> DataFrame:
     """Search all legs: rows of ``RESULT``, a row for each point; a failed leg has one row with seq null.
 
     ``requests``: route_id, leg, x0, y0, x1, y1; ``cells``: x, y, flags and
     optionally u, v; ``lanes``: lane_id, x, y, lat, lon, bearing, cells. A leg
-    sees the cells of its own window, ``margin`` wider than its ends, which meet
-    it in an equi-join over square tiles.
+    sees the cells and the lanes that begin in its own window, ``margin`` wider
+    than its ends. Both meet it in equi-joins over square tiles; cells come
+    packed, a row a tile.
     """
-    side = 256
-    if "u" not in cells.columns:
-        cells = cells.withColumns({"u": F.lit(0.0), "v": F.lit(0.0)})
+    side = TILE_SIDE
     lo = lambda a, b: F.greatest(F.least(a, b) - margin, F.lit(0))
     hi = lambda a, b, n: F.least(F.greatest(a, b) + margin, F.lit(n - 1))
     req = requests.withColumns({"ax": lo("x0", "x1"), "bx": hi("x0", "x1", grid.width), "ay": lo("y0", "y1"), "by": hi("y0", "y1", grid.height)})
     tiled = req.withColumn("tx", F.explode(F.sequence(F.floor(F.col("ax") / side), F.floor(F.col("bx") / side)))).withColumn("ty", F.explode(F.sequence(F.floor(F.col("ay") / side), F.floor(F.col("by") / side))))
-    packed = cells.withColumns({"tx": F.floor(F.col("x") / side), "ty": F.floor(F.col("y") / side)})
-    met = tiled.join(packed, ["tx", "ty"], "left").where(F.col("x").isNull() | (F.col("x").between(F.col("ax"), F.col("bx")) & F.col("y").between(F.col("ay"), F.col("by"))))
-    met = met.select("route_id", "leg", "x0", "y0", "x1", "y1", "ax", "bx", "ay", "by", "x", "y", "flags", "u", "v")
-    known: list[Lane] = []
-    if lanes is not None:  # a catalogue of lanes, some thousands at most
-        known = [Lane((r["x"], r["y"]), r["lat"], r["lon"], r["bearing"], [(c["x"], c["y"]) for c in r["cells"]]) for r in lanes.orderBy("lane_id").collect()]
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+    met = tiled.join(packed_tiles(cells), ["tx", "ty"], "left").select("route_id", "leg", "x0", "y0", "x1", "y1", "ax", "bx", "ay", "by", "tx", "ty", "at", "flags", "at_v", "u", "v")
+    lane_columns = "lane_id long, x int, y int, lat double, lon double, bearing double, cells array<struct<x:int,y:int>>"
+    known = lanes if lanes is not None else requests.sparkSession.createDataFrame([], lane_columns)
+    own = known.withColumns({"tx": F.floor(F.col("x") / side), "ty": F.floor(F.col("y") / side)}).join(tiled.select("route_id", "leg", "ax", "bx", "ay", "by", "tx", "ty"), ["tx", "ty"])
+    own = own.where(F.col("x").between(F.col("ax"), F.col("bx")) & F.col("y").between(F.col("ay"), F.col("by")))
+    turn = F.row_number().over(Window.partitionBy("route_id", "leg").orderBy("lane_id"))
+    own = own.select(F.col("route_id").alias("of_route"), F.col("leg").alias("of_leg"), turn.alias("turn"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "lat", "lon", "bearing", F.col("cells.x").alias("xs"), F.col("cells.y").alias("ys"))
+
+    def search(pdf: pd.DataFrame, ways: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
         shape = (int(r["by"] - r["ay"]) + 1, int(r["bx"] - r["ax"]) + 1)
-        area = Area(grid, np.zeros(shape, dtype=np.uint8), np.zeros(shape), np.zeros(shape), int(r["ax"]), int(r["ay"]), known)
-        own = pdf[pdf["x"].notna()]
-        at = (own["y"].to_numpy(dtype=int) - area.y0, own["x"].to_numpy(dtype=int) - area.x0)
-        area.flags[at], area.u[at], area.v[at] = own["flags"].to_numpy(dtype=np.uint8), own["u"].to_numpy(dtype=float), own["v"].to_numpy(dtype=float)
+        lanes_ = [Lane((int(w.x), int(w.y)), w.lat, w.lon, w.bearing, list(zip(map(int, w.xs), map(int, w.ys), strict=True))) for w in ways.sort_values("turn").itertuples()]
+        area = Area(grid, np.zeros(shape, dtype=np.uint8), np.zeros(shape), np.zeros(shape), int(r["ax"]), int(r["ay"]), lanes_, max(config.snap_km, 1.0) / KM_PER_DEGREE)
+
+        def put(target: np.ndarray, tile, at, values) -> None:
+            y, x = np.divmod(np.asarray(at, dtype=int), side)
+            y, x = y + int(tile.ty) * side - area.y0, x + int(tile.tx) * side - area.x0
+            inside = (y >= 0) & (y < shape[0]) & (x >= 0) & (x < shape[1])
+            target[y[inside], x[inside]] = np.asarray(values)[inside]
+
+        for tile in pdf[pdf["at"].notna()].itertuples():
+            put(area.flags, tile, tile.at, tile.flags)
+            put(area.u, tile, tile.at_v, tile.u)
+            put(area.v, tile, tile.at_v, tile.v)
         path, stats = Guided(area, config).run((int(r["x0"]), int(r["y0"])), (int(r["x1"]), int(r["y1"])))
         rows = [(i, x, y) for i, (x, y) in enumerate(path)] or [(None, None, None)]
         out = pd.DataFrame(rows, columns=["seq", "x", "y"]).astype("Int32")
         return out.assign(route_id=int(r["route_id"]), leg=int(r["leg"]), **stats)[["route_id", "leg", "seq", "x", "y", *stats]]
 
-    return met.groupBy("route_id", "leg").applyInPandas(search, RESULT)
+    return met.groupBy("route_id", "leg").cogroup(own.groupBy("of_route", "of_leg")).applyInPandas(search, RESULT)
 
 
 def routes_of_legs(found: DataFrame) -> DataFrame:
@@ -330,8 +369,21 @@ def routes_of_legs(found: DataFrame) -> DataFrame:
     return found.where("seq is not null").join(good, "route_id", "left_semi")
 
 
-def _converged(requests: DataFrame, water: DataFrame, grid: GridSpec) -> DataFrame:
-    """``exact`` without an end of rounds; a route's cells meet it in an equi-join over square tiles."""
+def step_cost(base: Column, from_flags: Column, to_flags: Column, u: Column, v: Column, step: tuple[Column, Column], goal: tuple[Column, Column], factor: float = 0.95) -> Column:
+    """Cost of a step of length ``base`` by the lane mask: ``u``, ``v`` is the direction of the cell stepped on, ``goal`` the way to the goal from the cell left."""
+    length = lambda a, b: F.sqrt((a * a + b * b).cast("double"))
+    size = length(u, v)
+    agrees = lambda d: F.when(length(*d) * size > 0, (d[0] * u + d[1] * v) / (length(*d) * size)).otherwise(F.lit(0.0))
+    on_lane = lambda f: F.coalesce(f.cast("int"), F.lit(0)).bitwiseAND(LANE) != 0
+    share = lane_factor((agrees(step) + agrees(goal)) / 2, on_lane(from_flags), factor)
+    return base * F.when(on_lane(to_flags) & F.coalesce(size > 0, F.lit(False)), share).otherwise(F.lit(1.0))
+
+
+def exact(requests: DataFrame, water: DataFrame, grid: GridSpec) -> DataFrame:
+    """Least cost in steps of one cell, eight ways, until no cost changes: route_id, x, y, cost (nautical miles).
+
+    A route is one task's work; its cells meet it in an equi-join over square tiles.
+    """
     side = 256
     tiles = lambda n: F.sequence(F.lit(0), F.lit((n - 1) // side))
     tiled = requests.select("route_id", "x0", "y0").distinct().withColumn("tx", F.explode(tiles(grid.width))).withColumn("ty", F.explode(tiles(grid.height)))
@@ -371,26 +423,3 @@ def _converged(requests: DataFrame, water: DataFrame, grid: GridSpec) -> DataFra
         return pd.DataFrame({"route_id": pdf["route_id"].iloc[0], "x": x, "y": y, "cost": cost[y, x]})
 
     return met.groupBy("route_id").applyInPandas(relax, "route_id long, x int, y int, cost double")
-
-
-def exact(requests: DataFrame, water: DataFrame, grid: GridSpec, rounds: int | None = None) -> DataFrame:
-    """Least cost in steps of one cell, eight ways: route_id, x, y, cost (nautical miles).
-
-    Every one of ``rounds`` rounds joins the frontier with its neighbours' cells
-    and keeps the least cost of each cell; rounds beyond the diameter change
-    nothing. Without ``rounds``, each route relaxes in a task until no cost changes.
-    """
-    if rounds is None:
-        return _converged(requests, water, grid)
-    centre = water.select("x", "y").distinct()
-    start = requests.select("route_id", F.col("x0").alias("x"), F.col("y0").alias("y"), F.lit(0.0).alias("cost")).join(centre, ["x", "y"], "left_semi").select("route_id", "x", "y", "cost")
-    moves = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ring(1, 8)])
-    from pelorus.functions.geo import haversine_nm
-
-    best = start
-    for _ in range(rounds):
-        step = best.withColumn("m", F.explode(moves)).select("route_id", F.col("x").alias("px"), F.col("y").alias("py"), (F.col("x") + F.col("m.dx")).alias("x"), (F.col("y") + F.col("m.dy")).alias("y"), "cost")
-        nm = haversine_nm(grid.lat_at(F.col("py"), True), grid.lon_at(F.col("px"), True), grid.lat_at(F.col("y"), True), grid.lon_at(F.col("x"), True))
-        step = step.join(centre, ["x", "y"]).select("route_id", "x", "y", (F.col("cost") + nm).alias("cost"))
-        best = best.unionByName(step).groupBy("route_id", "x", "y").agg(F.min("cost").alias("cost"))
-    return best

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shared import write_lanes
+from pelorus.functions import geo
 from pelorus.grid import GridSpec
 from pelorus.operators import paths, raster, search, spatial
 from pelorus.plans import route
@@ -229,7 +230,7 @@ def test_exact_is_never_dearer_than_guided(spark):
     req, w = requests(spark, (2, 2, 9, 3), (30, 12, 36, 8)), water(spark, [(5, y) for y in range(4)])
     config = search.SearchConfig(radius=1, directions=8)
     guided = {r["route_id"]: r["goal_cost"] for r in search.guided(req, raster.flags(w), GRID, config).collect()}
-    exact = search.exact(req, w, GRID, 10)
+    exact = search.exact(req, w, GRID)
     goal = {r["route_id"]: r["cost"] for r in exact.join(req.select("route_id", F.col("x1").alias("x"), F.col("y1").alias("y")), ["route_id", "x", "y"]).collect()}
     assert set(goal) == set(guided) and all(goal[i] <= guided[i] + 1e-9 for i in goal)
 
@@ -267,12 +268,29 @@ def test_route_queries_reach_their_goals_on_all_supplier_cells(spark):
     rows = [r["s_suppkey"] for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()]
     land = {(k * 17 % 40, k * 5 % 20) for k in rows}
     cells = {(x, y) for x in range(40) for y in range(20)} - land
-    got = {(r["route_id"], r["x"], r["y"]): r["cost"] for r in queries.QUERIES["exact_route_whole"](spark, SF).collect()}
+    got = {(r["route_id"], r["x"], r["y"]): r["cost"] for r in queries.QUERIES["exact_route"](spark, SF).collect()}
     for k in range(25):
         want = dijkstra(cells, (k * 7 % 40, k * 3 % 20), queries.SMALL)
         assert {c[1:]: v for c, v in got.items() if c[0] == k} == pytest.approx(want, rel=1e-4, abs=1e-6)
     guided = queries.QUERIES["guided_route"](spark, SF).where("seq is not null").collect()
-    assert guided and not {(r["x"], r["y"]) for r in guided} & land
+    lanes = {(k * 23 % 36 + i, k * 7 % 20) for k in rows if k % 10 == 0 for i in range(5)}
+    assert guided and not {(r["x"], r["y"]) for r in guided} & (land - lanes)
+
+
+def test_a_step_onto_the_goal_counts_the_way_to_it(spark):
+    lane = [(x, 10) for x in range(10, 14)]
+    cells = raster.flags(water(spark), spark.createDataFrame(lane, "x int, y int")).withColumns({"u": F.when(F.col("flags").cast("int").bitwiseAND(2) != 0, 1.0).otherwise(0.0), "v": F.lit(0.0)})
+    got = search.guided(requests(spark, (10, 10, 12, 10)), cells, GRID, search.SearchConfig(radius=1, directions=8)).first()
+    step = search.Measure(GRID).nm((10, 10), (11, 10))
+    assert got["goal_cost"] == pytest.approx(2 * step * 0.95 * 0.6, rel=1e-6)
+    cost = search.step_cost(F.lit(step), F.lit(2), F.lit(2), F.lit(1.0), F.lit(0.0), (F.lit(1), F.lit(0)), (F.lit(1), F.lit(0)))
+    assert spark.range(1).select(cost.alias("c")).first()["c"] == pytest.approx(step * 0.95 * 0.6)
+
+
+def test_column_and_worker_agree_on_lane_factors(spark):
+    turns = [(a / 20, f) for a in range(-20, 21) for f in (True, False)]
+    df = spark.createDataFrame(turns, "a double, f boolean").withColumn("s", geo.lane_factor(F.col("a"), F.col("f"), 0.95))
+    assert all(r["s"] == pytest.approx(search.along_factor(r["a"], r["f"], 0.95)) for r in df.collect())
 
 
 def test_limits_and_lanes(spark):

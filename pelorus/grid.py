@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pelorus.functions.geo import bearing
+
 LEAST_SIDE, MOST_SIDE = 100, 50_000
 PADDING_DEG = 10.0
 
@@ -70,6 +72,11 @@ class GridSpec:
         at = y.cast("double") + (0.5 if centre else 0.0)
         return F.lit(self.lat_max) - at / F.lit(float(self.height)) * F.lit(self.lat_max - self.lat_min)
 
+    def pixel_bearing(self, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+        """Bearing from one pixel to another; null if they are one or either lies off the grid."""
+        there = self.holds(x0, y0) & self.holds(x1, y1) & ((x0 != x1) | (y0 != y1))
+        return F.when(there, bearing(self.lat_at(y0), self.lon_at(x0), self.lat_at(y1), self.lon_at(x1)))
+
     def to_latlon(self, x: Column, y: Column) -> Column:
         return F.struct(self.lat_at(y).alias("lat"), self.lon_at(x).alias("lon"))
 
@@ -103,3 +110,23 @@ def target_size_columns(lat_min: Column, lat_max: Column, lon_min: Column, lon_m
     clamp = lambda c: F.least(F.lit(MOST_SIDE), F.greatest(F.lit(LEAST_SIDE), F.rint(c).cast("int")))
     height = clamp((lat_max - lat_min) * 60 * F.lit(float(pixels_per_nm)))
     return F.struct(clamp((lon_max - lon_min) * height / (lat_max - lat_min)).alias("width"), height.alias("height"))
+
+
+def pixel_scales(lat_min: Column, lat_max: Column, lon_min: Column, lon_max: Column, width: Column, height: Column, buffer_nm: float, step_nm: float = 5.0, radius: float = 1.0, full_width: int = 21_600) -> Column:
+    """struct(buffer, step, radius) of windows in rows: what ``buffer_pixels``, ``search_radius`` and ``cropped_radius`` give for one."""
+    per_degree = width / (lon_max - lon_min)
+    degrees = F.abs((lat_max + PADDING_DEG) - (lat_min - PADDING_DEG)) / height
+    return F.struct(
+        F.rint(buffer_nm * per_degree / 60.0).cast("int").alias("buffer"),
+        (F.lit(step_nm * 1852) / (F.lit(40_075_000 / 360) * degrees)).cast("int").alias("step"),
+        (radius * per_degree / (full_width / 360.0)).alias("radius"),
+    )
+
+
+def crop_window(lat_min: Column, lat_max: Column, lon_min: Column, lon_max: Column, mosaic: GridSpec) -> Column:
+    """struct(x_min, x_max, y_min, y_max), upper ends excluded: the pixels of windows in rows, cut at the mosaic's edges; null if none is left."""
+    x = lambda lon: ((lon - mosaic.lon_min) / (mosaic.lon_max - mosaic.lon_min) * mosaic.width).cast("int")
+    y = lambda lat: ((mosaic.lat_max - lat) / (mosaic.lat_max - mosaic.lat_min) * mosaic.height).cast("int")
+    cut = lambda c, top: F.greatest(F.lit(0), F.least(F.lit(top), c))
+    x0, x1, y0, y1 = cut(x(lon_min), mosaic.width), cut(x(lon_max), mosaic.width), cut(y(lat_max), mosaic.height), cut(y(lat_min), mosaic.height)
+    return F.when((x0 < x1) & (y0 < y1), F.struct(x0.alias("x_min"), x1.alias("x_max"), y0.alias("y_min"), y1.alias("y_max")))

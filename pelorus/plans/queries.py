@@ -351,8 +351,9 @@ def leg_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_line_sql('up')} SELECT x, y, count(DISTINCT route_id) AS routes, count(*) AS visits FROM cells GROUP BY x, y")
 def raster_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = leg_lines(spark, sf_dir).select("route_id", F.explode(raster.line_cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), "up")).alias("c"))
-    return cells.groupBy("c.x", "c.y").agg(F.count_distinct("route_id").alias("routes"), F.count("*").alias("visits"))
+    cells = raster.line_cells(leg_lines(spark, sf_dir).select("route_id", "x0", "y0", "x1", "y1"), "up")
+    each = cells.groupBy("route_id", "x", "y").agg(F.count("*").alias("n"))
+    return each.groupBy("x", "y").agg(F.count("*").alias("routes"), F.sum("n").alias("visits"))
 
 
 def _clear_sql(ties: str) -> str:
@@ -420,19 +421,20 @@ def customer_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point_id"), x_of(k).alias("x"), y_of(k).alias("y"))
 
 
-@query(f"""WITH {_LAND}, {_POINTS}, c AS (SELECT point_id, x, y, x + dx AS nx, y + dy AS ny, greatest(abs(dx), abs(dy)) AS r, CASE WHEN abs(dy) = greatest(abs(dx), abs(dy)) THEN 0 ELSE 1 END AS ph, dx, dy
-    FROM p, range(-12, 13) a(dx), range(-12, 13) b(dy)),
-  o AS (SELECT *, CASE ph WHEN 0 THEN dx ELSE dy END AS major, CASE WHEN CASE ph WHEN 0 THEN dy ELSE dx END >= 0 THEN 0 ELSE 1 END AS sg FROM c WHERE nx BETWEEN 0 AND 199 AND ny BETWEEN 0 AND 99),
-  f AS (SELECT o.*, row_number() OVER (PARTITION BY point_id ORDER BY r, ph, major, sg) AS n FROM o ANTI JOIN land ON land.x = o.nx AND land.y = o.ny)
-  SELECT p.point_id, CAST(coalesce(f.nx, p.x) AS INTEGER) AS x, CAST(coalesce(f.ny, p.y) AS INTEGER) AS y FROM p LEFT JOIN f ON f.point_id = p.point_id AND f.n = 1""")
+@query(f"""WITH {_LAND}, {_POINTS}, dry AS (SELECT p.* FROM p JOIN land USING (x, y)),
+  c AS (SELECT point_id, x + dx AS nx, y + dy AS ny, greatest(abs(dx), abs(dy)) AS r, CASE WHEN abs(dy) = greatest(abs(dx), abs(dy)) THEN 0 ELSE 1 END AS ph, dx, dy
+    FROM dry, range(-200, 201) a(dx), range(-200, 201) b(dy) WHERE x + dx BETWEEN 0 AND 199 AND y + dy BETWEEN 0 AND 99),
+  o AS (SELECT *, CASE ph WHEN 0 THEN dx ELSE dy END AS major, CASE WHEN CASE ph WHEN 0 THEN dy ELSE dx END >= 0 THEN 0 ELSE 1 END AS sg FROM c),
+  f AS (SELECT point_id, arg_min(struct_pack(nx := nx, ny := ny), ((r * 2 + ph) * 1000 + major + 400) * 2 + sg) AS n FROM o ANTI JOIN land ON land.x = o.nx AND land.y = o.ny GROUP BY point_id)
+  SELECT p.point_id, CAST(coalesce(n.nx, p.x) AS INTEGER) AS x, CAST(coalesce(n.ny, p.y) AS INTEGER) AS y FROM p LEFT JOIN f USING (point_id)""")
 def nudge_water(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.to_water(customer_cells(spark, sf_dir), cells_of(spark, sf_dir, "error"), GRID, 12)
+    return spatial.to_water(customer_cells(spark, sf_dir), cells_of(spark, sf_dir, "error"), GRID)
 
 
-@query(f"""WITH {_LAND}, {_POINTS}, d AS (SELECT point_id, min(sqrt(CAST((p.x - l.x) * (p.x - l.x) + (p.y - l.y) * (p.y - l.y) AS DOUBLE))) AS d FROM p JOIN land l ON abs(p.x - l.x) <= 6 AND abs(p.y - l.y) <= 6 GROUP BY point_id)
+@query(f"""WITH {_LAND}, {_POINTS}, d AS (SELECT point_id, min(sqrt(CAST((p.x - l.x) * (p.x - l.x) + (p.y - l.y) * (p.y - l.y) AS DOUBLE))) AS d FROM p JOIN land l ON abs(p.x - l.x) <= 20 AND abs(p.y - l.y) <= 20 GROUP BY point_id)
   SELECT p.point_id, d IS NOT NULL AS close, CAST(floor(d) AS INTEGER) AS distance FROM p LEFT JOIN d USING (point_id)""")
 def nearest_land(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.nearest_cell(customer_cells(spark, sf_dir), cells_of(spark, sf_dir, "error"), 6)
+    return spatial.nearest_cell(customer_cells(spark, sf_dir), cells_of(spark, sf_dir, "error"))
 
 
 _RING_VALUES = ", ".join(f"({dx}, {dy})" for dx, dy in geo.ring(3, 30))
@@ -537,21 +539,57 @@ def lane_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.lane_gaps(flagged(spark, sf_dir)).select("route_id", "seq", "next_seq")
 
 
-@query()
+def _cells_of_lines(source: str, keys: str) -> str:
+    """``cells``: keys, x, y of the lines x, y, x2, y2 of a table; ties step."""
+    m = "floor((2 * s * i + n) / (2.0 * n))"
+    return f"""l AS (SELECT {keys}, x, y, x2 - x AS dx, y2 - y AS dy, greatest(abs(x2 - x), abs(y2 - y)) AS n, least(abs(x2 - x), abs(y2 - y)) AS s FROM {source}),
+  q AS (SELECT *, unnest(range(n + 1)) AS i FROM l), o AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE {m} END AS minor FROM q),
+  cells AS (SELECT {keys}, CAST(x + sign(dx) * CASE WHEN abs(dy) > abs(dx) THEN minor ELSE i END AS INTEGER) AS x, CAST(y + sign(dy) * CASE WHEN abs(dy) > abs(dx) THEN i ELSE minor END AS INTEGER) AS y FROM o),
+  hit AS (SELECT DISTINCT {keys} FROM cells JOIN land USING (x, y))"""
+
+
+@query(f"""WITH {_FLAGGED}, {_LAND}, gaps AS (SELECT * FROM (SELECT route_id, seq, x, y, lead(seq) OVER w AS next_seq, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM flagged WHERE in_lane WINDOW w AS (PARTITION BY route_id ORDER BY seq)) WHERE next_seq - seq > 1),
+  {_cells_of_lines('gaps', 'route_id, seq')}, d AS (SELECT route_id, unnest(range(seq + 1, next_seq)) AS seq FROM gaps ANTI JOIN hit USING (route_id, seq))
+  SELECT route_id, CAST(row_number() OVER (PARTITION BY route_id ORDER BY seq) - 1 AS INTEGER) AS seq, x, y FROM flagged ANTI JOIN d USING (route_id, seq)""")
 def cut_lane_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.cut_lane_gaps(flagged(spark, sf_dir), cells_of(spark, sf_dir, "error"), GRID).select("route_id", "seq", "x", "y")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_FLAGGED}, {_LAND}, r AS (SELECT *, sum(CAST(in_lane AS INTEGER)) OVER (PARTITION BY route_id ORDER BY seq) AS run FROM flagged),
+  f AS (SELECT * FROM (SELECT route_id, run, seq, x, y, count(*) OVER (PARTITION BY route_id, run) AS n FROM r WHERE NOT in_lane) WHERE n >= 2),
+  pairs AS (SELECT a.route_id, a.run, a.seq, b.seq AS next, a.x, a.y, b.x AS x2, b.y AS y2 FROM f a JOIN f b ON a.route_id = b.route_id AND a.run = b.run AND b.seq BETWEEN a.seq + 2 AND a.seq + 25),
+  {_cells_of_lines('pairs', 'route_id, seq, next')},
+  far AS (SELECT f.route_id, f.run, f.seq, coalesce(max(p.next), f.seq + 1) AS far FROM f LEFT JOIN (SELECT * FROM pairs ANTI JOIN hit USING (route_id, seq, next)) p USING (route_id, run, seq) GROUP BY f.route_id, f.run, f.seq),
+  stays AS (SELECT route_id, run, min(seq) AS seq FROM f GROUP BY ALL UNION SELECT far.route_id, far.run, far.far FROM stays JOIN far USING (route_id, run, seq))
+  SELECT route_id, CAST(row_number() OVER (PARTITION BY route_id ORDER BY seq) - 1 AS INTEGER) AS seq, x, y FROM flagged ANTI JOIN (SELECT route_id, seq FROM f ANTI JOIN stays USING (route_id, run, seq)) g USING (route_id, seq)""")
 def skip_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.skip_ahead(flagged(spark, sf_dir), cells_of(spark, sf_dir, "error"), GRID).select("route_id", "seq", "x", "y")
 
 
-@query()
+_OFF = """CASE WHEN xs[j + 1] = xs[i + 1] AND ys[j + 1] = ys[i + 1] THEN sqrt(CAST(pow(xs[k + 1] - xs[i + 1], 2) + pow(ys[k + 1] - ys[i + 1], 2) AS DOUBLE))
+  ELSE abs((xs[j + 1] - xs[i + 1]) * (ys[k + 1] - ys[i + 1]) - (ys[j + 1] - ys[i + 1]) * (xs[k + 1] - xs[i + 1])) / sqrt(CAST(pow(xs[j + 1] - xs[i + 1], 2) + pow(ys[j + 1] - ys[i + 1], 2) AS DOUBLE)) END"""
+
+
+@query(f"""WITH RECURSIVE {_LISTS}, line AS (SELECT route_id, xs, ys, CAST(n AS BIGINT) AS n FROM lines),
+  run AS (SELECT route_id, unnest(range(n - 2)) AS i, unnest(range(n - 2)) + 2 AS j FROM line
+    UNION ALL SELECT route_id, i, j + 1 FROM run JOIN line USING (route_id) WHERE j < n AND len(list_filter(range(i + 1, j), lambda k: {_OFF} > 2)) = 0),
+  ends AS (SELECT route_id, i, max(j) AS j FROM run GROUP BY ALL),
+  kept AS (SELECT route_id, CAST(0 AS BIGINT) AS i FROM line UNION SELECT kept.route_id, greatest(kept.i + 1, ends.j - 2) FROM kept JOIN ends USING (route_id, i)),
+  whole AS (SELECT route_id, i FROM kept UNION SELECT route_id, n - 1 FROM line JOIN (SELECT route_id, max(i) AS last FROM kept GROUP BY route_id) USING (route_id) WHERE n <= 2 OR xs[last + 1] <> xs[n] OR ys[last + 1] <> ys[n])
+  SELECT route_id, CAST(i AS INTEGER) AS seq, xs[i + 1] AS x, ys[i + 1] AS y FROM whole JOIN line USING (route_id)""")
 def collinear_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.simplify(track(spark, sf_dir))
 
 
+_SPLIT = f"{_TRACK}, legs AS (SELECT route_id, CAST(floor(seq / 10) AS INTEGER) AS leg, CAST(seq % 10 AS INTEGER) AS seq, x, y FROM track)"
+
+
+@query(f"""WITH {_SPLIT} SELECT route_id, CAST(row_number() OVER (PARTITION BY route_id ORDER BY leg, seq) - 1 AS INTEGER) AS seq, x, y FROM legs WHERE leg = 0 OR seq > 0""")
+def joined_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    legs = track(spark, sf_dir).select("route_id", F.floor(F.col("seq") / 10).cast("int").alias("leg"), (F.col("seq") % 10).alias("seq"), "x", "y")
+    return paths.concat_legs(legs)
+
+
 # ---- search ----------------------------------------------------------------
 
 SMALL = GridSpec(-20.0, 20.0, -40.0, 40.0, 40, 20)
@@ -574,31 +612,74 @@ def small_water(spark: SparkSession, land: DataFrame) -> DataFrame:
     return raster.minus(every, land)
 
 
+def supplier_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lane of five cells to the east for every tenth supplier: x0, y0 and its number."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").where(k % 10 == 0).select(k.alias("lane_id"), (k * 23 % 36).cast("int").alias("x0"), (k * 7 % 20).cast("int").alias("y0"))
+
+
 @query()
 def guided_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches between the nations' cells, with lanes that lead east and may be snapped to."""
+    ways = supplier_ways(spark, sf_dir)
+    lane = F.transform(F.sequence(F.col("x0"), F.col("x0") + 4), lambda x: F.struct(x.alias("x"), F.col("y0").alias("y")))
+    lanes = ways.select("lane_id", F.col("x0").alias("x"), F.col("y0").alias("y"), SMALL.lat_at(F.col("y0")).alias("lat"), SMALL.lon_at(F.col("x0")).alias("lon"), F.lit(90.0).alias("bearing"), lane.alias("cells"))
+    on_lane = ways.select(F.explode(lane).alias("c")).select("c.x", "c.y").distinct()
+    cells = raster.flags(small_water(spark, supplier_cells(spark, sf_dir)), on_lane).withColumns({"u": F.when(F.col("flags").cast("int").bitwiseAND(raster.LANE) != 0, 1.0).otherwise(0.0), "v": F.lit(0.0)})
+    return search.guided(search_requests(spark, sf_dir), cells, SMALL, search.SearchConfig(radius=1, directions=8, snap_km=300.0), lanes)
+
+
+_SMALL_WATER = """land AS (SELECT DISTINCT s_suppkey * 17 % 40 AS x, s_suppkey * 5 % 20 AS y FROM supplier), water AS (SELECT i % 40 AS x, i // 40 AS y FROM range(800) r(i) ANTI JOIN land ON land.x = i % 40 AND land.y = i // 40)"""
+
+
+@query(f"""WITH RECURSIVE {_SMALL_WATER}, q AS (SELECT CAST(n_nationkey AS BIGINT) AS route_id, n_nationkey * 7 % 40 AS x0, n_nationkey * 3 % 20 AS y0, n_nationkey * 11 % 40 AS x1, n_nationkey * 13 % 20 AS y1 FROM nation),
+  reach AS (SELECT route_id, x, y FROM q JOIN water ON x = x0 AND y = y0 UNION SELECT reach.route_id, water.x, water.y FROM reach, range(-1, 2) a(dx), range(-1, 2) b(dy) JOIN water ON water.x = reach.x + dx AND water.y = reach.y + dy)
+  SELECT q.route_id, CASE WHEN s.x IS NULL THEN 'invalid_start' WHEN g.x IS NULL THEN 'invalid_goal' WHEN r.x IS NULL THEN 'exhausted' ELSE 'goal' END AS reason
+  FROM q LEFT JOIN water s ON s.x = x0 AND s.y = y0 LEFT JOIN water g ON g.x = x1 AND g.y = y1 LEFT JOIN reach r ON r.route_id = q.route_id AND r.x = x1 AND r.y = y1""")
+def leg_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = raster.flags(small_water(spark, supplier_cells(spark, sf_dir)))
-    return search.guided(search_requests(spark, sf_dir), cells, SMALL, search.SearchConfig(radius=1, directions=8))
+    return search.guided(search_requests(spark, sf_dir), cells, SMALL, search.SearchConfig(radius=1, directions=8)).select("route_id", "reason").distinct()
 
 
-def _exact_sql(rounds: int) -> str:
+def _exact_sql() -> str:
     lat, lon = "(20.0 - ({0} + 0.5) / 20.0 * 40.0)", "(-40.0 + ({0} + 0.5) / 40.0 * 80.0)"
     nm = _hav(lat.format("b.y"), lon.format("b.x"), lat.format("(b.y + dy)"), lon.format("(b.x + dx)"))
-    parts = ["""WITH land AS (SELECT DISTINCT s_suppkey * 17 % 40 AS x, s_suppkey * 5 % 20 AS y FROM supplier WHERE (s_suppkey * 17 % 40 + s_suppkey * 5 % 20) % 3 = 0),
-  water AS (SELECT i % 40 AS x, i // 40 AS y FROM range(800) r(i) ANTI JOIN land ON land.x = i % 40 AND land.y = i // 40),
-  b0 AS (SELECT CAST(n_nationkey AS BIGINT) AS route_id, water.x, water.y, CAST(0 AS DOUBLE) AS cost FROM nation JOIN water ON water.x = n_nationkey * 7 % 40 AND water.y = n_nationkey * 3 % 20)"""]
-    for r in range(rounds):
-        parts.append(f"""b{r + 1} AS (SELECT route_id, x, y, min(cost) AS cost FROM (SELECT * FROM b{r} UNION ALL
-    SELECT b.route_id, water.x, water.y, b.cost + {nm} AS cost FROM b{r} b, range(-1, 2) q(dx), range(-1, 2) s(dy) JOIN water ON water.x = b.x + dx AND water.y = b.y + dy WHERE dx <> 0 OR dy <> 0) GROUP BY ALL)""")
-    return ",\n  ".join(parts) + f"\n  SELECT route_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(cost, 6) AS cost FROM b{rounds}"
+    return f"""WITH RECURSIVE {_SMALL_WATER},
+  b(route_id, x, y, cost) USING KEY (route_id, x, y) AS (SELECT CAST(n_nationkey AS BIGINT), water.x, water.y, CAST(0 AS DOUBLE) FROM nation JOIN water ON water.x = n_nationkey * 7 % 40 AND water.y = n_nationkey * 3 % 20
+    UNION SELECT n.route_id, n.x, n.y, min(n.cost) FROM (SELECT b.route_id, water.x, water.y, b.cost + {nm} AS cost FROM b, range(-1, 2) q(dx), range(-1, 2) s(dy) JOIN water ON water.x = b.x + dx AND water.y = b.y + dy WHERE dx <> 0 OR dy <> 0) n
+      LEFT JOIN recurring.b k ON k.route_id = n.route_id AND k.x = n.x AND k.y = n.y WHERE k.cost IS NULL OR n.cost < k.cost - 1e-9 GROUP BY n.route_id, n.x, n.y)
+  SELECT route_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(cost, 6) AS cost FROM b"""
 
 
-@query(_exact_sql(4))
+@query(_exact_sql())
 def exact_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first four rounds, on a third of the suppliers' cells as land, as the SQL has it; ``exact_route_whole`` is the whole search."""
-    land = supplier_cells(spark, sf_dir).where("(x + y) % 3 = 0")
-    return search.exact(search_requests(spark, sf_dir), small_water(spark, land), SMALL, 4).withColumn("cost", F.round("cost", 6))
+    return search.exact(search_requests(spark, sf_dir), small_water(spark, supplier_cells(spark, sf_dir)), SMALL).withColumn("cost", F.round("cost", 6))
 
 
-@query()
-def exact_route_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.exact(search_requests(spark, sf_dir), small_water(spark, supplier_cells(spark, sf_dir)), SMALL).withColumn("cost", F.round("cost", 6))
+def _lane_cost_sql() -> str:
+    lat, lon = "(60.0 - ({0} + 0.5) / 100.0 * 120.0)", "(-180.0 + ({0} + 0.5) / 200.0 * 360.0)"
+    nm = _hav(lat.format("y"), lon.format("x"), lat.format("y2"), lon.format("x2"))
+    agrees = "CASE WHEN sqrt(CAST({0} * {0} + {1} * {1} AS DOUBLE)) * sqrt(u * u + v * v) > 0 THEN ({0} * u + {1} * v) / (sqrt(CAST({0} * {0} + {1} * {1} AS DOUBLE)) * sqrt(u * u + v * v)) ELSE 0 END"
+    return f"""WITH {_FIELD}, {_LANES}, goal AS (SELECT route_id, arg_max(x, seq) AS gx, arg_max(y, seq) AS gy FROM track GROUP BY route_id),
+  s AS (SELECT legs.route_id, legs.seq, {nm} AS base, ({agrees.format('(x2 - legs.x)', '(y2 - legs.y)')} + {agrees.format('(gx - legs.x)', '(gy - legs.y)')}) / 2 AS a, p.x IS NOT NULL AS off_lane, q.x IS NOT NULL AND sqrt(u * u + v * v) > 0 AS to_lane
+    FROM (SELECT * FROM legs) legs JOIN goal USING (route_id) LEFT JOIN (SELECT x AS fx, y AS fy, u, v FROM field) f ON fx = x2 AND fy = y2 LEFT JOIN lanes p ON p.x = legs.x AND p.y = legs.y LEFT JOIN lanes q ON q.x = x2 AND q.y = y2)
+  SELECT route_id, seq, round(base * CASE WHEN NOT coalesce(to_lane, false) THEN 1.0 WHEN off_lane AND a > 0.9 THEN 0.95 * 0.6 WHEN off_lane AND a > 0.5 THEN 0.95 * 0.7 WHEN off_lane AND a > 0 THEN 0.95 * 0.85 WHEN off_lane AND a = 0 THEN 0.9
+    WHEN a > -0.2 THEN 1.0 WHEN a > -0.5 THEN 1.5 ELSE 10.0 END, 6) AS cost FROM s""".replace(nm, nm.replace("(y +", "(legs.y +").replace("(x +", "(legs.x +"))
+
+
+@query(_lane_cost_sql())
+def lane_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mask makes of the legs' lengths: lanes are the purchases' cells, with the tracks' directions."""
+    from pyspark.sql import Window
+
+    lines = leg_lines(spark, sf_dir).select("route_id", "seq", "x0", "y0", "x1", "y1")
+    w = Window.partitionBy("route_id")
+    lines = lines.withColumns({"gx": F.max_by("x1", "seq").over(w), "gy": F.max_by("y1", "seq").over(w)})
+    field = raster.rasterize(track_lines(spark, sf_dir), GRID).select(F.col("x").alias("x1"), F.col("y").alias("y1"), "u", "v")
+    lanes = raster.flags(raster.minus(cells_of(spark, sf_dir, "view"), cells_of(spark, sf_dir, "error")), cells_of(spark, sf_dir, "purchase"))
+    at = lambda i: lanes.select(F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"), F.col("flags").alias(f"f{i}"))
+    s = lines.join(field, ["x1", "y1"], "left").join(at(0), ["x0", "y0"], "left").join(at(1), ["x1", "y1"], "left")
+    base = geo.haversine_nm(*[f(F.col(c), True) for c, f in (("y0", GRID.lat_at), ("x0", GRID.lon_at), ("y1", GRID.lat_at), ("x1", GRID.lon_at))])
+    way = lambda x, y: (F.col(x) - F.col("x0"), F.col(y) - F.col("y0"))
+    cost = search.step_cost(base, F.col("f0"), F.col("f1"), F.col("u"), F.col("v"), way("x1", "y1"), way("gx", "gy"))
+    return s.select("route_id", "seq", F.round(cost, 6).alias("cost"))

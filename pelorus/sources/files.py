@@ -48,12 +48,15 @@ TILE_COLUMNS, TILE_ROWS, TILE_SIDE = "ABCD", "12", 21_600
 def tiles(spark: SparkSession, names: list[str] | None = None, side: int = TILE_SIDE) -> DataFrame:
     """Tiles of the world mosaic with their pixel extents, out of names that end in column and row."""
     names = names or [f"{c}{r}" for r in TILE_ROWS for c in TILE_COLUMNS]
-    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    return tile_extents(spark.createDataFrame([(n,) for n in names], "name string"), side)
+
+
+def tile_extents(names: DataFrame, side: int = TILE_SIDE) -> DataFrame:
+    """name, x0, x1, y0, y1 of the names that end in a column and a row of the mosaic; others are left out."""
     code = F.regexp_extract("name", "([A-D])([12])(?:\\.png)?$", 0)
     column = F.ascii(F.substring(code, 1, 1)) - ord("A")
     row = F.substring(code, 2, 1).try_cast("int") - 1
-    out = rows.where(code != "").select("name", (column * side).alias("x0"), ((column + 1) * side).alias("x1"), (row * side).alias("y0"), ((row + 1) * side).alias("y1"))
-    return out
+    return names.where(code != "").select("name", (column * side).alias("x0"), ((column + 1) * side).alias("x1"), (row * side).alias("y0"), ((row + 1) * side).alias("y1"))
 
 
 def read_gray(spark: SparkSession, path: str, decode) -> DataFrame:

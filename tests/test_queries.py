@@ -3,7 +3,7 @@
 import pytest
 
 from shared import SF, against_duckdb
-from pelorus.plans.queries import ORACLE_SQL, QUERIES
+from pelorus.plans.registry import ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

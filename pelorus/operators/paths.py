@@ -64,19 +64,20 @@ def blocked_lines(lines: DataFrame, blocked: DataFrame, grid: GridSpec, ties: st
     ends = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
     on_grid = grid.holds(ends[0], ends[1]) & grid.holds(ends[2], ends[3])
     bits, steps = raster.TILE_BITS, raster.line_steps(*ends)
-    pieces = raster.dealt_anew(lines.where(on_grid).select("line_id", *ends)).withColumn("lo", F.explode(F.sequence(F.lit(0), steps, F.lit(1 << bits))))
-    pieces = pieces.withColumn("hi", F.least(steps, F.col("lo") + (1 << bits) - 1))
+    starts = F.when(on_grid, F.sequence(F.lit(0), steps, F.lit(1 << bits))).otherwise(F.array(F.lit(0)))
+    pieces = raster.dealt_anew(lines.select("line_id", *ends, on_grid.alias("__on"))).withColumn("lo", F.explode(starts))
+    pieces = pieces.withColumn("hi", F.when(F.col("__on"), F.least(steps, F.col("lo") + (1 << bits) - 1)).otherwise(F.lit(0)))
     (ax, ay), (bx, by) = (raster.line_cell(F.col(c), *ends, ties) for c in ("lo", "hi"))
     touched = lambda a, b: F.explode(F.sequence(F.shiftright(F.least(a, b), bits), F.shiftright(F.greatest(a, b), bits)))
     pieces = pieces.withColumn("tx", touched(ax, bx)).withColumn("ty", touched(ay, by))
-    met = pieces.join(raster.bit_tiles(blocked.where(grid.holds(F.col("x"), F.col("y")))), ["tx", "ty"])
+    met = pieces.join(raster.bit_tiles(blocked.where(grid.holds(F.col("x"), F.col("y")))), ["tx", "ty"], "left")
     x, y = raster.line_cell(F.col("i"), *ends, ties)
-    cells = met.withColumn("i", F.explode(F.sequence("lo", "hi"))).select("line_id", "tx", "ty", "rows", x.alias("x"), y.alias("y"))
+    each = F.explode(F.when(F.col("rows").isNull(), F.array("lo")).otherwise(F.sequence("lo", "hi")))
+    cells = met.withColumn("i", each).select("line_id", "__on", "tx", "ty", "rows", x.alias("x"), y.alias("y"))
     low = F.lit((1 << bits) - 1)
     bit = F.call_function("shiftright", F.get("rows", F.col("y").bitwiseAND(low)), F.col("x").bitwiseAND(low)).bitwiseAND(F.lit(1))
-    hits = cells.where((F.shiftright("x", bits) == F.col("tx")) & (F.shiftright("y", bits) == F.col("ty")) & (bit == 1))
-    hits = hits.select("line_id").distinct().withColumn("__hit", F.lit(True))
-    return lines.select("line_id", on_grid.alias("__on")).join(hits, "line_id", "left").select("line_id", (F.col("__on") & F.col("__hit").isNull()).alias("clear"))
+    hit = (F.shiftright("x", bits) == F.col("tx")) & (F.shiftright("y", bits) == F.col("ty")) & (bit == 1)
+    return cells.groupBy("line_id").agg((F.bool_and("__on") & ~F.bool_or(F.coalesce(hit, F.lit(False)))).alias("clear"))
 
 
 def off_line(x1: Column, y1: Column, x2: Column, y2: Column, x3: Column, y3: Column) -> Column:

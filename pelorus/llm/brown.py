@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import drop, portions, stage
+from pelorus.llm.common import drop, in_arrow, portions, stage
 
 #: Words with counts in every worker; of these, words that are clustered; classes of them; sweeps.
 HEAD, CORE, CLASSES, SWEEPS = 65_536, 1500, 80, 3
@@ -66,7 +66,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 seen.clear()
         yield out()
 
-    return docs.select("text").mapInArrow(count, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return in_arrow(docs.select("text"), count, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
 def _plogp(x: np.ndarray) -> np.ndarray:
@@ -298,7 +298,7 @@ def train(docs: DataFrame, head: int = HEAD, core: int = CORE, classes: int = CL
             code, times = np.unique(s[:-1] * width + s[1:], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(times)], names=["code", "n"])
 
-    pairs = stage(docs.select("text").mapInArrow(bigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "word-pairs")
+    pairs = stage(in_arrow(docs.select("text"), bigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "word-pairs")
     # symbols: the core's words, END, rare words, the head's other words
     core = min(core, len(words) - 1)
     symbol = np.concatenate([[core], np.arange(core), np.full(len(words) - 1 - core, core + 2), [core + 1]]).astype(np.int64)
@@ -362,7 +362,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: tuple[str, ...
 
     base = docs.select(*cols, F.col("text").alias("__text"), F.monotonically_increasing_id().alias("uid"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[: len(cols)])
-    rows = stage(base.mapInArrow(parts, fields + ", uid long, n_tokens long, head_known long, base double, part double, rare array<struct<w:binary,n:int>>"), "lm-parts")
+    rows = stage(in_arrow(base, parts, fields + ", uid long, n_tokens long, head_known long, base double, part double, rare array<struct<w:binary,n:int>>"), "lm-parts")
     asked = rows.select("uid", F.explode("rare").alias("r")).select("uid", "r.w", "r.n")
     met = asked.hint("merge").join(counts, "w").groupBy("uid").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("plus"), F.sum("n").alias("seen"))
     n_rare = F.aggregate("rare", F.lit(0).cast("long"), lambda a, x: a + x["n"])

@@ -2,39 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import shutil
-import tempfile
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Bytes of text that a Python worker handles at once inside an Arrow batch.
-BLOCK_BYTES = 3_000_000
+from pelorus.session import shared_folder
 
-_own_folder: str | None = None
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` when the session has it; otherwise (tests on one
-    machine) a temporary folder that goes away with the driver.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    global _own_folder
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="pelorus-stages-")
-        atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
-    return _own_folder
+#: Bytes of text that a Python worker handles at once, and of an Arrow batch.
+BLOCK_BYTES, BATCH_BYTES = 3_000_000, 4 << 20
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -45,23 +28,35 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     reads can prune columns. The files stay until the folder is cleaned.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/pelorus-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/pelorus-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out
 
 
-@contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Rows of an Arrow batch while a job with large rows runs."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` over batches of ``BATCH_BYTES`` at most (one row at least); gives freed memory back when a task ends.
+
+    The bound on batches is a setting of the session, put there unless it has
+    its own, and left there, as the frame may be run at any later time.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system; workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def drop(*stages: DataFrame) -> None:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import blocks, portions
+from pelorus.llm.common import blocks, in_arrow, portions
 
 PROFILE_SIZE = 300
 #: Letters handled at once.
@@ -163,7 +163,7 @@ def train(docs: DataFrame, per_language: int = 3000, size: int = PROFILE_SIZE) -
                     total = np.bincount(at, weights=n[which == k].astype(float)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([str(langs[k])] * len(c)), pa.array(c), pa.array(total)], names=["lang", "code", "n"])
 
-    total = taken.select("text", "lang").mapInArrow(counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    total = in_arrow(taken.select("text", "lang"), counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     by = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     rows = total.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= size).select("lang", "rank", "code").collect()
     profiles: dict[str, list[int]] = {}
@@ -230,7 +230,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], size: int = PROFIL
 
     base = docs.select(*cols, F.col("text").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
-    return base.mapInArrow(predict, fields + ", lang_pred string, score double, distance double")
+    return in_arrow(base, predict, fields + ", lang_pred string, score double, distance double")
 
 
 def keep_known(docs: DataFrame, profiles: dict[str, list[int]], farthest: float = 0.9, size: int = PROFILE_SIZE) -> DataFrame:
@@ -254,4 +254,4 @@ def keep_known(docs: DataFrame, profiles: dict[str, list[int]], farthest: float
                 keep = np.array([bool(t) and bool((table[_points(t)] != 0).any()) for t in texts], dtype=bool)
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
-    return docs.mapInArrow(sift, docs.schema)
+    return in_arrow(docs, sift, docs.schema)

@@ -3,10 +3,13 @@
 Sets fall into bands by size; sets that may be similar lie in one band or in
 neighbouring ones. Similar sets differ in few elements: at similarity t, sets
 of a and b elements differ in (a + b)(1 - t)/(1 + t) at most. A band's hash
-space is cut into one range more than that, so two similar sets agree on all
-elements of at least one range. A tile is the sets of a band that agree on a
-range. No pair outside the tiles can be similar, and most sets are alone in
-all of theirs.
+space is cut into more ranges than that by a slack, so two similar sets agree
+on all elements of more ranges than the slack. A tile is the sets of a band
+that agree on a range which holds elements: a set with no more empty ranges
+than the slack agrees with any similar one on such a range. The slack is so
+chosen that hardly a set has more; one that has names its empty ranges too,
+which finds the similar sets that also have more. No pair outside the tiles can
+be similar, and most sets are alone in all of theirs.
 
 Within tiles, every set carries a hashed bitmap. Elements of one set whose
 bits the other lacks are certainly not shared, so bit counts bound the overlap
@@ -14,13 +17,17 @@ from above, and only pairs whose bound reaches the threshold are verified by
 intersecting the sorted hash arrays.
 
 Copies are one set. Large tiles are mostly copies with small changes, all like
-each other. They are not paired out: every set is verified against one pivot of
-its tiles first, which joins most; only pairs that lie in different components
-after that are compared, in square blocks of tiles, and verified.
+each other. They are not paired out: tiles are cut into blocks, and every set is
+verified against the pivot of its block first, which joins most. After that one
+set of each component is verified against a pivot. Only sets that lie in different
+components then are compared, in pairs of blocks: first a set's best pair with each
+other component is verified, which joins nearly all that can be, then all that
+may be similar and lie in different components still.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,25 +38,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import KeyFilter, WordHashes, array_column, arrow_rows, drop, mixed, portions, release, stage
+from pelorus.llm.common import KeyFilter, WordHashes, array_column, drop, in_arrow, mixed, portions, release, stage
 from pelorus.llm.graph import components
 
-#: Rounds of pivots before the rest is compared in blocks.
-PIVOT_ROUNDS = 2
-#: Sets in a side of a block.
-BLOCK_SETS = 1024
-#: Rows of a bin of blocks, on average.
-BIN_ROWS = 6_000
+#: Rounds of pivots before the rest is compared in blocks; sets that share a pivot in a tile, about.
+PIVOT_ROUNDS, PIVOT_SETS = 2, 1024
+#: Sets in a side of a block and their bytes, at most about.
+BLOCK_SETS, BLOCK_BYTES = 1024, 4_000_000
+#: Bytes of a bin of blocks, on average.
+BIN_BYTES = 8_000_000
 #: Bits of an element in the bitmaps that screen all tiles, and in those of the sets that are left.
 FEW_BITS, MANY_BITS = 1, 8
-#: Rows of an Arrow batch, as a row may hold two sets.
-BATCH_ROWS = 500
+#: Standard deviations by which a band's slack exceeds the expected number of empty ranges of its smallest sets; where few are expected, the chance that it is exceeded.
+SLACK_SIGMAS, SLACK_CHANCE = 4.5, 1e-6
 
 SIGNATURES = "doc_id long, t long, n_shingles long, cls binary, keys array<long>, hashes binary"
 
 
 class Bands:
-    """Size bands and the number of hash ranges for a similarity of ``num / den`` or more."""
+    """Size bands and their hash ranges for a similarity of ``num / den`` or more."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
@@ -58,10 +65,37 @@ class Bands:
             e = self.edges[-1]
             self.edges.append(max(e + 1, -(-e * den * den // (num * num))))
 
-    def ranges(self, band: int) -> int:
-        """One more than the most elements by which similar sets of the band differ."""
+    def apart(self, band: int) -> int:
+        """The most elements by which similar sets of the band differ."""
         top = self.edges[band + 1] - 1
-        return (self.den - self.num) * (top + top * self.den // self.num) // (self.den + self.num) + 1
+        return (self.den - self.num) * (top + top * self.den // self.num) // (self.den + self.num)
+
+    @lru_cache(maxsize=256)  # noqa: B019
+    def slack(self, band: int) -> int:
+        """Empty ranges that next to no set of the band exceeds, when it has ``apart + 1 + slack`` ranges."""
+        n, least = self.edges[band], self.apart(band) + 1
+
+        def enough(s: int) -> bool:
+            m = least + s
+            one, two = (1 - 1 / m) ** n, (1 - 2 / m) ** n if m > 1 else 0.0
+            mean, spread = m * one, m * (m - 1) * two + m * one - (m * one) ** 2
+            if mean > 20:
+                return mean + SLACK_SIGMAS * max(0.0, spread) ** 0.5 < s + 1
+            # few empty ranges are spread as rare events are, at most
+            return mean == 0 or (mean < s + 1 and s + 1 - mean + (s + 1) * math.log(mean / (s + 1)) < math.log(SLACK_CHANCE))
+
+        if enough(0):
+            return 0
+        low, high = 0, 1
+        while not enough(high) and high < 64 * n:
+            low, high = high, 2 * high
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (low, mid) if enough(mid) else (mid, high)
+        return high
+
+    def ranges(self, band: int) -> int:
+        return self.apart(band) + 1 + self.slack(band)
 
     @lru_cache(maxsize=100_000)  # noqa: B019
     def of(self, n: int) -> tuple[tuple[int, int], ...]:
@@ -98,14 +132,18 @@ def shingle_sets(texts: list[bytes], width: int, hashes: WordHashes) -> Iterator
 
 
 def tile_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """A key for each hash range of each band of the set: equal ranges have equal keys."""
+    """A key for each hash range of each band of the set: equal ranges have equal keys. Empty ranges have none unless they exceed the slack."""
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed(s))])
     out = []
     for band, m in bands.of(len(s)):
         cuts = np.append(np.searchsorted(s, (np.arange(m, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // m))), len(s))
-        part = sums[cuts[1:]] - sums[cuts[:-1]]
-        tag = np.arange(m, dtype=np.uint64) + np.uint64(band << 40)
-        out.append(mixed(part ^ mixed(tag * np.uint64(0x9E3779B97F4A7C15) + np.diff(cuts).astype(np.uint64))))
+        sizes = np.diff(cuts)
+        named = np.flatnonzero(sizes)
+        if m - len(named) > bands.slack(band):
+            named = np.arange(m)
+        part = sums[cuts[named + 1]] - sums[cuts[named]]
+        tag = named.astype(np.uint64) + np.uint64(band << 40)
+        out.append(mixed(part ^ mixed(tag * np.uint64(0x9E3779B97F4A7C15) + sizes[named].astype(np.uint64))))
     return np.concatenate(out).view(np.int64)
 
 
@@ -206,7 +244,7 @@ def signatures(docs: DataFrame, width: int, bands: Bands, known: KeyFilter | Non
             )
 
     base = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
-    return base.mapInArrow(keys_only, "key long") if known is None else base.mapInArrow(full, SIGNATURES)
+    return in_arrow(base, keys_only, "key long") if known is None else in_arrow(base, full, SIGNATURES)
 
 
 def sets_of(rows: DataFrame, classes: DataFrame, bands: Bands, whole: bool) -> DataFrame:
@@ -229,10 +267,17 @@ def sets_of(rows: DataFrame, classes: DataFrame, bands: Bands, whole: bool) -> D
             columns = [pa.array([names[i] for i in hit], type=pa.binary()), pa.array([bitmap(unpacked(d), bands, MANY_BITS if whole else FEW_BITS) for d in own], type=pa.binary())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(own, type=pa.binary())] * whole, names=["cls", "bits", "hashes"][: 2 + whole])
 
-    found = rows.where("hashes is not null").select("cls", "hashes").mapInArrow(pick, "cls binary, bits binary" + ", hashes binary" * whole)
+    found = in_arrow(rows.where("hashes is not null").select("cls", "hashes"), pick, "cls binary, bits binary" + ", hashes binary" * whole)
     return found.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("bits", "hashes")[: 1 + whole]])
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted arrays share."""
+    z = np.concatenate([a, b])
+    z.sort(kind="stable")
+    return int((z[1:] == z[:-1]).sum())
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: bit counts first, then the sorted arrays."""
     left = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha"), F.col("bits").alias("ba"))
@@ -247,64 +292,133 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 p, q = folded(*(np.frombuffer(c[i].as_buffer(), dtype=np.uint8) for c in (ba, bb)))
                 m, n = len(ha[i].as_buffer()) // 6, len(hb[i].as_buffer()) // 6
                 most = min(m - int(np.bitwise_count(p & ~q).sum()), n - int(np.bitwise_count(q & ~p).sum()))
-                if similar(most, m, n, num, den):
-                    z = np.concatenate([unpacked(ha[i].as_buffer()), unpacked(hb[i].as_buffer())])
-                    z.sort(kind="stable")
-                    if similar(int((z[1:] == z[:-1]).sum()), m, n, num, den):
-                        keep.append(i)
+                if similar(most, m, n, num, den) and similar(overlap(unpacked(ha[i].as_buffer()), unpacked(hb[i].as_buffer())), m, n, num, den):
+                    keep.append(i)
             at = pa.array(keep, type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(names.index(c)).take(at) for c in ("a", "b")], names=["a", "b"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "ba", "hb", "bb")
-    return joined.mapInArrow(test, "a binary, b binary")
+    return in_arrow(joined, test, "a binary, b binary")
+
+
+def placed(members: DataFrame, per: float) -> DataFrame:
+    """Rows of ``members`` (key, cls, n, root) for each pair of blocks they are in: bin, key, lo, hi, part, cls, n, root.
+
+    A tile is cut into blocks of about ``BLOCK_BYTES`` (``per``: bytes of a set
+    over its elements) by a hash of the set, the sets of its most frequent root
+    apart from the others, as they need not meet each other: their blocks meet
+    only those of the others. Every two blocks that have to meet do so once;
+    many small pairs share a bin.
+    """
+    by_root = members.groupBy("key", "root").agg(F.count("*").alias("c"), F.max("n").alias("wide"))
+    sizes = by_root.groupBy("key").agg(F.sum("c").alias("size"), F.max("wide").alias("wide"), F.max(F.struct("c", "root")).alias("main"))
+    set_bytes = F.col("wide") * per + 100
+    block = F.greatest(F.lit(2), F.least(F.lit(BLOCK_SETS), F.floor(F.lit(BLOCK_BYTES) / set_bytes)))
+    same = F.when(F.col("main.c") > 1, F.col("main.c")).otherwise(F.lit(0))
+    sizes = sizes.select("key", F.col("main.root").alias("main"), same.alias("same"), (F.col("size") - same).alias("rest"), F.ceil(same / block).cast("int").alias("mains"), F.ceil((F.col("size") - same) / block).cast("int").alias("others"), set_bytes.alias("bytes"))
+    held = sizes.agg(F.sum((F.col("same") * F.col("others") + F.col("rest") * (F.col("mains") + F.col("others"))) * F.col("bytes"))).first()[0] or 0
+    bins = max(1, -(-int(held) // BIN_BYTES))
+    # parts 0..mains-1 hold the main root's sets, the rest the others'
+    is_main = (F.col("root") == F.col("main")) & (F.col("mains") > 0)
+    own = F.xxhash64("cls")
+    part = F.when(is_main, F.pmod(own, F.greatest("mains", F.lit(1)))).otherwise(F.col("mains") + F.pmod(own, F.greatest("others", F.lit(1)))).cast("int")
+    every = F.sequence(F.when(is_main, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)
+    rows = members.join(sizes.select("key", "main", "mains", "others"), "key").where("others > 0").withColumn("part", part).withColumn("other", F.explode(every))
+    rows = rows.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "cls", "n", "root")
+    return rows.withColumn("bin", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(bins)))
+
+
+def partners(n: np.ndarray, part: np.ndarray, i: int, num: int, den: int) -> np.ndarray:
+    """Sets after ``i``, in rising size, whose size may go with it; of the other block alone if there are two."""
+    j = np.arange(i + 1, int(np.searchsorted(n, n[i] * den // num, side="right")))
+    return j if part[0] == part[-1] and (part == part[0]).all() else j[part[j] != part[i]]
+
+
+def bounded(maps: np.ndarray, n: np.ndarray, i: int, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the sets ``j`` which, by bit counts, may be similar to set ``i``, and by how much their bound exceeds what they need."""
+    most = np.minimum(n[i] - np.bitwise_count(maps[i] & ~maps[j]).sum(axis=1), n[j] - np.bitwise_count(maps[j] & ~maps[i]).sum(axis=1))
+    lead = den * most - num * (n[i] + n[j] - most)
+    return j[lead >= 0], lead[lead >= 0]
+
+
+def bitmaps(column: pd.Series) -> np.ndarray:
+    """Bitmaps of one length, a row each."""
+    least = min(len(b) for b in column)
+    maps = np.stack([folded(np.frombuffer(b, dtype=np.uint8), np.zeros(least, dtype=np.uint8))[0] for b in column])
+    return np.pad(maps, ((0, 0), (0, -maps.shape[1] % 8))).view(np.uint64)
+
+
+def screened(members: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """cls of the sets that may be similar to another of a tile, by bit counts. members: key, cls, n, root; bits: cls, bits."""
+
+    def screen(pdf: pd.DataFrame) -> pd.DataFrame:
+        found: set[bytes] = set()
+        for _, g in pdf.groupby(["key", "lo", "hi"], sort=False):
+            if len(g) < 2:
+                continue
+            g = g.sort_values("n", kind="stable")
+            n, part, cls, maps = g["n"].to_numpy(), g["part"].to_numpy(), g["cls"].to_numpy(), bitmaps(g["bits"])
+            hit = np.array([c in found for c in cls])
+            for i in range(len(g) - 1):
+                j = partners(n, part, i, num, den)
+                if hit[i]:  # it would tell nothing about those that are known
+                    j = j[~hit[j]]
+                if len(j):
+                    fit, _ = bounded(maps, n, i, j, num, den)
+                    hit[fit] = True
+                    hit[i] |= bool(len(fit))
+            found.update(cls[hit])
+        return pd.DataFrame({"cls": list(found)})
 
+    rows = placed(members, FEW_BITS / 8).select("bin", "key", "lo", "hi", "part", "cls", "n")
+    return rows.join(bits, "cls").groupBy("bin").applyInPandas(screen, "cls binary").distinct()
 
-def block_pairs(members: DataFrame, bits: DataFrame, num: int, den: int, sets_only: bool = False) -> DataFrame:
-    """Candidate pairs across components within tiles: (a, b), a < b; with ``sets_only`` the sets in any of them: cls.
 
-    ``members``: key, cls, n, root; ``bits``: cls, bits, which join last so that they move once. A tile is cut into blocks by a hash of
-    the set and every two blocks meet once; many small blocks share a bin, so
-    that a bin holds ``BIN_ROWS`` rows or one pair of blocks.
+def block_pairs(members: DataFrame, bits: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of sets of a tile in different components that may be similar, by bit counts.
+
+    members: key, cls, n, root; bits: cls, bits. Of a set and another component
+    in a block only the pair with the best bound, unless ``every`` is set.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / BLOCK_SETS).cast("int"))
-    rows = sizes.agg(F.sum(F.col("size") * F.col("parts"))).first()[0] or 0
-    bins = max(1, -(-rows // BIN_ROWS))
-    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
-    placed = members.join(sizes.select("key", "parts"), "key").withColumn("part", part)
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    placed = placed.withColumn("other", other).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
-    placed = placed.withColumn("bin", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(bins)))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: set[tuple[bytes, bytes]] = set()
-        alone: set[bytes] = set()
+        out = set()
         for _, g in pdf.groupby(["key", "lo", "hi"], sort=False):
             if len(g) < 2 or g["root"].nunique() < 2:
                 continue
             g = g.sort_values("n", kind="stable")
-            n, cls, root, part = (g[c].to_numpy() for c in ("n", "cls", "root", "part"))
-            split = g["lo"].iloc[0] != g["hi"].iloc[0]
-            least = min(len(b) for b in g["bits"])
-            maps = np.stack([folded(np.frombuffer(b, dtype=np.uint8), np.zeros(least, dtype=np.uint8))[0] for b in g["bits"]])
-            maps = np.pad(maps, ((0, 0), (0, -maps.shape[1] % 8))).view(np.uint64)
-            hit = np.zeros(len(g), dtype=bool)
+            n, part, cls, maps = g["n"].to_numpy(), g["part"].to_numpy(), g["cls"].to_numpy(), bitmaps(g["bits"])
+            root = np.unique(g["root"].to_numpy(), return_inverse=True)[1]
             for i in range(len(g) - 1):
-                stop = int(np.searchsorted(n, n[i] * den // num, side="right"))
-                j = np.arange(i + 1, stop)
-                j = j[(root[j] != root[i]) & ((part[j] != part[i]) | (not split))]
+                j = partners(n, part, i, num, den)
+                j = j[root[j] != root[i]]
                 if len(j):
-                    most = np.minimum(n[i] - np.bitwise_count(maps[i] & ~maps[j]).sum(axis=1), n[j] - np.bitwise_count(maps[j] & ~maps[i]).sum(axis=1))
-                    fit = j[den * most >= num * (n[i] + n[j] - most)]
-                    if sets_only:
-                        hit[fit] = True
-                        hit[i] |= bool(len(fit))
-                    else:
-                        found.update((min(cls[i], cls[k]), max(cls[i], cls[k])) for k in fit)
-            alone.update(cls[hit])
-        return pd.DataFrame({"cls": list(alone)}) if sets_only else pd.DataFrame(list(found), columns=["a", "b"])
+                    j, lead = bounded(maps, n, i, j, num, den)
+                    if not every:
+                        order = np.lexsort((j, -lead, root[j]))
+                        of = root[j][order]
+                        j = j[order[np.concatenate([np.ones(min(1, len(of)), dtype=bool), of[1:] != of[:-1]])]]
+                    out.update((min(cls[i], cls[k]), max(cls[i], cls[k])) for k in j)
+        return pd.DataFrame(list(out), columns=["a", "b"])
+
+    rows = placed(members, MANY_BITS / 8)
+    return rows.join(bits, "cls").groupBy("bin").applyInPandas(compare, "a binary, b binary").distinct()
 
-    placed = placed.select("bin", "key", "lo", "hi", "part", "cls", "n", "root").join(bits, "cls")
-    return placed.groupBy("bin").applyInPandas(compare, "cls binary" if sets_only else "a binary, b binary").distinct()
+
+def pivot_pairs(tiles: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """(a, b): one set of each component of a tile and the pivot of its block there, each a once. tiles: key, cls, n, root.
+
+    In the first turn every set is a component. A pivot is the least of its
+    block by a hash; of its pivots a set takes the least.
+    """
+    rank = F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("root").alias("pr"))
+    if turn:
+        tiles = tiles.groupBy("key", "root").agg(F.min(rank).alias("r")).select("key", "root", F.col("r.p").alias("cls"), F.col("r.pn").alias("n"))
+    sizes = tiles.groupBy("key").agg(F.ceil(F.count("*") / PIVOT_SETS).cast("int").alias("parts"))
+    rows = tiles.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(turn), F.lit(1)), F.col("parts")))
+    pivots = rows.groupBy("key", "block").agg(F.min(rank).alias("pivot")).select("key", "block", "pivot.*")
+    to = rows.join(pivots, ["key", "block"]).where((F.col("root") != F.col("pr")) & (F.greatest("n", "pn") * num <= F.least("n", "pn") * den))
+    return to.groupBy("cls").agg(F.min(F.struct("h", "p")).alias("to")).select(F.col("cls").alias("a"), F.col("to.p").alias("b"))
 
 
 def rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -323,12 +437,10 @@ def open_tiles(tiles: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Stored (doc_id, t, n_shingles, root) of every document; root names its component, null if it links with nothing."""
     bands = Bands(num, den)
-    shared = signatures(docs, width, bands, None).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        shared = stage(shared, "tile-keys")
-        known = KeyFilter.build(shared)
-        drop(shared)
-        rows = stage(signatures(docs, width, bands, known), "signatures")
+    shared = stage(signatures(docs, width, bands, None).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "tile-keys")
+    known = KeyFilter.build(shared)
+    drop(shared)
+    rows = stage(signatures(docs, width, bands, known), "signatures")
     classes = stage(
         rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.max(F.when(F.size("keys") > 0, F.col("keys"))).alias("keys")).withColumn("cid", F.monotonically_increasing_id()), "classes"
     )
@@ -337,30 +449,23 @@ def grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     numbered = one_of_equal_tiles(classes.select("cid", F.explode("keys").alias("key")), "cid")
     tiles = stage(numbered.join(classes.select("cid", "cls", "n"), "cid").select("cls", "n", "key"), "tiles")
     drop(numbered)
-    with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        live = stage(tiles.select("cls").distinct(), "live")
-        bits = stage(sets_of(rows, live, bands, False), "bits")
-        release(docs.sparkSession)
-        near = stage(block_pairs(tiles.withColumn("root", F.col("cls")), bits, num, den, sets_only=True), "near")
-        release(docs.sparkSession)
-        sets = stage(sets_of(rows, near, bands, True), "sets")
+    live = stage(tiles.select("cls").distinct(), "live")
+    bits = stage(sets_of(rows, live, bands, False), "bits")
+    release(docs.sparkSession)
+    near = stage(screened(tiles.withColumn("root", F.col("cls")), bits, num, den), "near")
+    release(docs.sparkSession)
+    sets = stage(sets_of(rows, near, bands, True), "sets")
     drop(live, bits)
     every, tiles = tiles, one_of_equal_tiles(tiles.join(near, "cls", "left_semi"), "cls")
     drop(every)
-    edges, roots = None, None
-    for turn in range(PIVOT_ROUNDS + 1):
+    edges, roots, many = None, None, sets.select("cls", "bits")
+    # two turns of pivots, one of the best pairs between components, one of all pairs that are left
+    for turn in range(PIVOT_ROUNDS + 2):
         left = stage(open_tiles(rooted(tiles, roots)), "open-tiles")
         if left.isEmpty():
             break
-        if turn < PIVOT_ROUNDS:
-            rank = F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("root").alias("pr"))
-            pivots = left.groupBy("key").agg(F.min(rank).alias("pivot")).select("key", "pivot.*")
-            to = left.join(pivots, "key").where((F.col("root") != F.col("pr")) & (F.greatest("n", "pn") * num <= F.least("n", "pn") * den))
-            pairs = to.groupBy("cls").agg(F.min(F.struct("h", "p")).alias("to")).select(F.col("cls").alias("a"), F.col("to.p").alias("b"))
-        else:
-            pairs = block_pairs(left, sets.select("cls", "bits"), num, den)
-        with arrow_rows(docs.sparkSession, BATCH_ROWS):
-            new = stage(verified(pairs, sets, num, den), "links")
+        pairs = pivot_pairs(left, turn, num, den) if turn < PIVOT_ROUNDS else block_pairs(left, many, num, den, turn > PIVOT_ROUNDS)
+        new = stage(verified(pairs, sets, num, den), "links")
         edges = new if edges is None else edges.unionByName(new)
         roots = components(edges)
     named = rooted(classes.select("cls"), roots)
@@ -393,8 +498,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     but ASCII white space, A-Z lower-cased); component_id is the smallest
     doc_id reachable over links, the document's own included. Null, empty and
     blank texts have an empty set and link with nothing. Repeated rows are
-    copies of each other. An empty table gives no rows; columns other than
-    doc_id and text are not read.
+    copies of each other. A row without doc_id links like any other but names no
+    component; alone, its component_id is null. Texts of any length are
+    compared whole: blocks and bins of long ones hold fewer sets. An empty
+    table gives no rows; columns other than doc_id and text are not read.
     """
     rows = grouped(docs, width, num, den)
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shared import SF, against_duckdb
 from llm.helpers import edge_docs, empty_docs, words
-from pelorus.llm import ngram_join
+from pelorus.llm import graph, ngram_join
 from pelorus.llm.graph import components
 from pelorus.llm.queries import ORACLE_SQL, QUERIES
 
@@ -17,8 +18,9 @@ def find(parent, x):
     return x
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_components(spark, seed):
+@pytest.mark.parametrize(("seed", "one_task"), [(0, 500_000), (1, 0), (0, 0)])
+def test_components(spark, monkeypatch, seed, one_task):
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     rng = random.Random(seed)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
     parent = list(range(400))
@@ -28,6 +30,7 @@ def test_components(spark, seed):
     want = {x: find(parent, x) for a, b in edges for x in (a, b) if a != b}
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
 def shingle_set(text, width):
@@ -103,6 +106,43 @@ def test_bands_never_part_similar_sizes():
                     assert any(m > (a + b) * (100 - num) // (100 + num) for _, m in shared), (a, b)
 
 
+def unlike(rng, n, size):
+    """Documents of which no two share a shingle of five words."""
+    return [" ".join(f"w{rng.randrange(10**9)}" for _ in range(size)) for _ in range(n)]
+
+
+def test_sets_unlike_each_other_meet_in_no_tile():
+    rng, bands = random.Random(4), ngram_join.Bands(80, 100)
+    for n in (100, 1000):
+        sets = list(ngram_join.shingle_sets([t.encode() for t in unlike(rng, n, 60)], 5, ngram_join.WordHashes()))
+        keys = [k for s in sets for k in ngram_join.tile_keys(s, bands).tolist()]
+        assert len(set(keys)) == len(keys)
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_similar_sets_share_a_tile(num):
+    rng, bands = np.random.default_rng(num), ngram_join.Bands(num, 100)
+    for n in [*range(1, 40), 64, 100, 333, 1000]:
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            cut = rng.integers(0, n - -(-n * num // 100) + 1)  # elements left out
+            b = rng.permutation(a)[cut:]
+            more = int((len(b) * 100 // num - len(a)) * rng.random()) if len(b) * 100 // num > len(a) else 0
+            b = np.unique(np.concatenate([b, rng.integers(0, 2**64, more, dtype=np.uint64)]))
+            if 100 * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)):
+                assert np.intersect1d(ngram_join.tile_keys(a, bands), ngram_join.tile_keys(b, bands)).size, (n, cut, more)
+
+
+def test_few_sets_exceed_the_slack():
+    rng = np.random.default_rng(5)
+    for num in (80, 90):
+        bands = ngram_join.Bands(num, 100)
+        for n in (3, 8, 20, 60, 200, 800):
+            band, m = bands.of(n)[0]
+            over = sum(m - len(np.unique(rng.integers(0, m, n))) > bands.slack(band) for _ in range(2000))
+            assert over <= 2, (num, n, over)
+
+
 def test_same_rows_as_duckdb(spark):
     ours, theirs = against_duckdb(spark, QUERIES["op5_ngram_jaccard"], ORACLE_SQL["op5_ngram_jaccard"], SF)
     assert ours == theirs

@@ -344,14 +344,34 @@ def stitch(tiles: list[tuple[DataFrame, int, int]]) -> DataFrame:
 def resample(gray: DataFrame, source: GridSpec, target: GridSpec) -> DataFrame:
     """Mean gray of the source cells whose centre falls into each target cell: x, y, gray.
 
-    A mean rather than a windowed sinc or a triangle filter; ``gray`` must hold
-    every source cell that counts.
+    A mean rather than a windowed sinc; ``gray`` must hold every source cell
+    that counts.
     """
     x = F.floor((F.col("x") + 0.5) * target.width / source.width).cast("int").alias("x")
     y = F.floor((F.col("y") + 0.5) * target.height / source.height).cast("int").alias("y")
     return gray.groupBy(x, y).agg(F.avg("gray").alias("gray"))
 
 
+def _triangle(gray: DataFrame, along: str, other: str, source: int, target: int) -> DataFrame:
+    """One axis of ``resample_bilinear``: weights fall linearly from a target pixel's centre, over one target pixel or one source pixel, whichever is wider."""
+    scale = source / target
+    reach = max(scale, 1.0)
+    centre = F.col(along) + 0.5
+    first = F.greatest(F.floor((centre - reach) / scale - 0.5) + 1, F.lit(0))
+    last = F.least(F.ceil((centre + reach) / scale - 0.5) - 1, F.lit(target - 1))
+    met = gray.where(first <= last).select(F.col(other), "gray", centre.alias("__c"), F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias(along))
+    weight = F.greatest(F.lit(0.0), 1 - F.abs(F.col("__c") - (F.col(along) + 0.5) * scale) / reach)
+    return met.groupBy(along, other).agg(F.floor(F.sum(weight * F.col("gray")) / F.sum(weight) + 0.5).cast("int").alias("gray"))
+
+
+def resample_bilinear(gray: DataFrame, source: GridSpec, target: GridSpec) -> DataFrame:
+    """x, y, gray by a triangle filter along the rows, then along the columns, each rounded to whole grays.
+
+    ``gray`` must hold every source cell that counts.
+    """
+    return _triangle(_triangle(gray, "x", "y", source.width, target.width), "y", "x", source.height, target.height)
+
+
 def water_of_gray(gray: DataFrame, below: int = 20) -> DataFrame:
     """Cells darker than ``below``."""
     return gray.where(F.col("gray") < below).select("x", "y")

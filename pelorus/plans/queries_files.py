@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelorus.grid import GridSpec
+from pelorus.operators import paths, raster
 from pelorus.plans import rasters
-from pelorus.plans.queries import _LAND, _TRACK, GRID, _bearing, _COMPASS, _lat, _lon, _x, _y, cells_of, lat_of, lon_of, query, table, track, x_of, y_of
+from pelorus.plans.queries import _nm, _LAND, _TRACK, GRID, _bearing, _COMPASS, _lat, _lon, _x, _y, cells_of, lat_of, lon_of, query, table, track, x_of, y_of
 from pelorus.plans.queries_masks import _shape_sql, supplier_features
 from pelorus.session import shared_folder
-from pelorus.sources import files, geojson
+from pelorus.sources import files, geojson, settings
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -103,8 +104,49 @@ def feature_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("geometry.type").alias("shape"), "part").agg(F.count("*").alias("lines"), F.sum(F.size("points")).alias("points"), F.round(F.sum(lat), 6).alias("lat"))
 
 
+# ---- settings ----------------------------------------------------------------
+
+_SEGMENTS = ", ".join(f"('{n}', {i}, {lat}::DOUBLE, {lon}::DOUBLE)" for n, points in settings.SEGMENTS.items() for i, (lat, lon) in enumerate(points))
+
+
+@query(f"""WITH p AS (SELECT * FROM (VALUES {_SEGMENTS}) AS v(route_id, seq, lat, lon)), l AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM p WINDOW w AS (PARTITION BY route_id ORDER BY seq))
+  SELECT route_id, round(sum({_nm('lat', 'lon', 'lat2', 'lon2')}), 4) AS nm, count(*) AS legs FROM l WHERE lat2 IS NOT NULL GROUP BY route_id""")
+def segment_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paths.totals(settings.segments(spark)).select("route_id", F.round("nm", 4).alias("nm"), "legs")
+
+
+_EDGES = ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(settings.SEGMENT_AREA, [*settings.SEGMENT_AREA[1:], settings.SEGMENT_AREA[0]], strict=True))
+
+
+@query(f"""WITH e AS (SELECT * FROM (VALUES {_EDGES}) AS v(x0, y0, x1, y1)), p AS (SELECT c_custkey, 48.0::DOUBLE + c_custkey % 41 * 0.11::DOUBLE AS lat, -6.0::DOUBLE + c_custkey % 97 * 0.1::DOUBLE AS lon FROM customer)
+  SELECT c_custkey FROM (SELECT c_custkey, count(*) AS n FROM p, e WHERE (y0 > lat) <> (y1 > lat) AND lon < (x1 - x0) * (lat - y0) / (y1 - y0) + x0 GROUP BY c_custkey) WHERE n % 2 = 1""")
+def points_in_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    p = table(spark, sf_dir, "customer").select(k, (F.lit(48.0) + k % 41 * 0.11).alias("lat"), (F.lit(-6.0) + k % 97 * 0.1).alias("lon"))
+    return settings.in_area(spark, p).select("c_custkey")
+
+
 # ---- rasters and stored results ---------------------------------------------
 
+def _triangle_sql(name: str, table_: str, a: str, b: str, source: int, target: int) -> str:
+    """One axis of a triangle filter: ``a`` goes from ``source`` to ``target`` pixels."""
+    scale = source / target
+    reach = max(scale, 1.0)
+    weight = f"greatest(0.0, 1 - abs({a}s + 0.5 - (i + 0.5) * {scale!r}) / {reach!r})"
+    return f"""{name}_w AS (SELECT i, {b}, gray, {weight} AS w FROM (SELECT {a} AS {a}s, {b}, gray FROM {table_}), range({target}) t(i) WHERE abs({a}s + 0.5 - (i + 0.5) * {scale!r}) < {reach!r}),
+  {name} AS (SELECT CAST(i AS INTEGER) AS {a}, {b}, CAST(floor(sum(w * gray) / sum(w) + 0.5) AS INTEGER) AS gray FROM {name}_w GROUP BY ALL)"""
+
+
+@query(f"""WITH g AS (SELECT {_x('event_id')} AS x, {_y('event_id')} AS y, min(event_id % 64) AS gray FROM events GROUP BY ALL), {_triangle_sql('h', 'g', 'x', 'y', 200, 64)}, {_triangle_sql('v', 'h', 'y', 'x', 100, 160)}
+  SELECT x, y, gray, gray < 20 AS water FROM v""")
+def bilinear_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grays brought to fewer columns and more rows by a triangle filter."""
+    k = F.col("event_id")
+    g = table(spark, sf_dir, "events").groupBy(x_of(k).alias("x"), y_of(k).alias("y")).agg(F.min(k % 64).alias("gray"))
+    r = raster.resample_bilinear(g, GRID, GridSpec(-60.0, 60.0, -180.0, 180.0, 64, 160))
+    return r.select("x", "y", "gray", (F.col("gray") < 20).alias("water"))
+
+
 _MOSAIC = GridSpec(-60.0, 60.0, -180.0, 180.0, 200, 100)
 
 

@@ -37,6 +37,15 @@ def window_land(spark: SparkSession, stored: str, grid: GridSpec, mosaic: GridSp
     return local.groupBy(x, y).agg((F.sum("gray") / F.lit(per_cell)).alias("gray")).where(F.col("gray") >= below).select("x", "y")
 
 
+def image_water(spark: SparkSession, image: str, decode, whole: GridSpec, lat_min: float, lat_max: float, lon_min: float, lon_max: float, width: int, height: int, below: int = 20) -> tuple[DataFrame, GridSpec]:
+    """Water cells, and their grid, of a window of one image of the world, brought to a size by a triangle filter."""
+    cut = GridSpec(max(lat_min, whole.lat_min), min(lat_max, whole.lat_max), max(lon_min, whole.lon_min), min(lon_max, whole.lon_max), width, height)
+    x0, x1, y0, y1 = files.window_of(cut, whole)
+    part = raster.crop(files.read_gray(spark, image, decode).select("x", "y", "gray"), x0, y0, x1 - x0, y1 - y0)
+    source = GridSpec(cut.lat_min, cut.lat_max, cut.lon_min, cut.lon_max, x1 - x0, y1 - y0)
+    return raster.water_of_gray(raster.resample_bilinear(part, source, cut), below), cut
+
+
 def route_land(spark: SparkSession, stored: str, points: list[tuple[float, float]], pixels_per_nm: float = 2.0, padding: float = 10.0, mosaic: GridSpec = MOSAIC) -> tuple[DataFrame, GridSpec]:
     """Land and grid for a request's (lat, lon) points."""
     grid = GridSpec.around(points, pixels_per_nm, padding)

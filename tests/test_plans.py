@@ -24,6 +24,19 @@ def test_land_of_a_window(spark, tmp_path, monkeypatch):
     assert land.count() > 0 and own.width >= 100
 
 
+def test_water_of_one_image(spark, tmp_path):
+    image = np.zeros((40, 80), dtype=np.uint8)
+    image[10:20, 40:60] = 255
+    (tmp_path / "world.raw").write_bytes(image.tobytes())
+    decode = lambda b: np.frombuffer(b, dtype=np.uint8).reshape(40, 80)
+    water, grid = rasters.image_water(spark, str(tmp_path), decode, GridSpec.globe(80, 40), 0.0, 95.0, -90.0, 90.0, 40, 20)
+    assert (grid.lat_max, grid.width, grid.height) == (90.0, 40, 20)
+    land = {(x, y) for x in range(20, 40) for y in range(10, 20)}
+    assert {(r["x"], r["y"]) for r in water.collect()} == {(x, y) for x in range(40) for y in range(20)} - land
+    half, _ = rasters.image_water(spark, str(tmp_path), decode, GridSpec.globe(80, 40), 0.0, 90.0, -90.0, 90.0, 20, 10)
+    assert half.count() == 200 - 10 * 5 - 15  # the cells around land are gray too
+
+
 def test_layers(spark):
     f = spark.createDataFrame(
         [(1, "Feature", {"seamark:type": "separation_lane"}, ("LineString", "[[0,1],[2,3],[4,5],[6,7]]")), (2, "Feature", {"seamark:type": "separation_line"}, ("MultiLineString", "[[[0,1],[2,3]],[[9,9]]]")), (3, "Feature", {}, ("Point", "[0,0]"))],

@@ -20,9 +20,10 @@ Copies are one set. Large tiles are mostly copies with small changes, all like
 each other. They are not paired out: tiles are cut into blocks, and every set is
 verified against the pivot of its block first, which joins most. After that one
 set of each component is verified against a pivot. Only sets that lie in different
-components then are compared, in pairs of blocks: first a set's best pair with each
-other component is verified, which joins nearly all that can be, then all that
-may be similar and lie in different components still.
+components then are compared, in pairs of blocks: first the best pair of each set is
+verified, twice, which joins nearly all that can be; the sets that may be similar to
+one of another component still are then verified where they meet. No step gives
+more pairs than it has sets.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ from pyspark.sql import functions as F
 from pelorus.llm.common import KeyFilter, WordHashes, array_column, drop, in_arrow, mixed, portions, release, stage
 from pelorus.llm.graph import components
 
-#: Rounds of pivots before the rest is compared in blocks; sets that share a pivot in a tile, about.
-PIVOT_ROUNDS, PIVOT_SETS = 2, 1024
+#: Rounds of pivots and of best pairs before the rest is compared in blocks; sets that share a pivot in a tile, about.
+PIVOT_ROUNDS, BEST_ROUNDS, PIVOT_SETS = 2, 2, 1024
 #: Sets in a side of a block and their bytes, at most about.
 BLOCK_SETS, BLOCK_BYTES = 1024, 4_000_000
 #: Bytes of a bin of blocks, on average.
@@ -374,37 +375,80 @@ def screened(members: DataFrame, bits: DataFrame, num: int, den: int) -> DataFra
     return rows.join(bits, "cls").groupBy("bin").applyInPandas(screen, "cls binary").distinct()
 
 
-def block_pairs(members: DataFrame, bits: DataFrame, num: int, den: int, every: bool) -> DataFrame:
-    """Pairs (a, b) of sets of a tile in different components that may be similar, by bit counts.
+def best_pairs(members: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets of a tile in different components that may be similar, by bit counts: of a set the one with the best bound.
 
-    members: key, cls, n, root; bits: cls, bits. Of a set and another component
-    in a block only the pair with the best bound, unless ``every`` is set.
+    members: key, cls, n, root; bits: cls, bits. A task gives a pair for each
+    set at most. Sets that are in none have no such partner left.
     """
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = set()
+        best: dict[bytes, tuple[float, bytes]] = {}
         for _, g in pdf.groupby(["key", "lo", "hi"], sort=False):
             if len(g) < 2 or g["root"].nunique() < 2:
                 continue
             g = g.sort_values("n", kind="stable")
             n, part, cls, maps = g["n"].to_numpy(), g["part"].to_numpy(), g["cls"].to_numpy(), bitmaps(g["bits"])
             root = np.unique(g["root"].to_numpy(), return_inverse=True)[1]
+            lead, to = np.full(len(g), -1.0), np.zeros(len(g), dtype=np.int64)
             for i in range(len(g) - 1):
                 j = partners(n, part, i, num, den)
-                j = j[root[j] != root[i]]
+                j, by = bounded(maps, n, i, j[root[j] != root[i]], num, den)
                 if len(j):
-                    j, lead = bounded(maps, n, i, j, num, den)
-                    if not every:
-                        order = np.lexsort((j, -lead, root[j]))
-                        of = root[j][order]
-                        j = j[order[np.concatenate([np.ones(min(1, len(of)), dtype=bool), of[1:] != of[:-1]])]]
-                    out.update((min(cls[i], cls[k]), max(cls[i], cls[k])) for k in j)
-        return pd.DataFrame(list(out), columns=["a", "b"])
+                    by = by / (n[i] + n[j])
+                    k = int(by.argmax())
+                    if by[k] > lead[i]:
+                        lead[i], to[i] = by[k], j[k]
+                    more = by > lead[j]
+                    lead[j[more]], to[j[more]] = by[more], i
+            for i in np.flatnonzero(lead >= 0):
+                best[cls[i]] = max(best.get(cls[i], (-1.0, b"")), (float(lead[i]), cls[to[i]]))
+        return pd.DataFrame([(min(a, b), max(a, b)) for a, (_, b) in best.items()], columns=["a", "b"])
 
     rows = placed(members, MANY_BITS / 8)
     return rows.join(bits, "cls").groupBy("bin").applyInPandas(compare, "a binary, b binary").distinct()
 
 
+def block_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join all similar sets of a tile which lie in different components.
+
+    members: key, cls, n, root; sets: cls, bits, hashes. Pairs are screened by
+    bit counts and then verified where they meet; sets that a task has joined
+    already are not compared again, so that it hands on fewer links than sets.
+    """
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        joined: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while joined.get(x, x) != x:
+                joined[x] = joined.get(joined[x], joined[x])
+                x = joined[x]
+            return x
+
+        for _, g in pdf.groupby(["key", "lo", "hi"], sort=False):
+            if len(g) < 2 or g["root"].nunique() < 2:
+                continue
+            g = g.sort_values("n", kind="stable")
+            n, part, cls, data, maps = g["n"].to_numpy(), g["part"].to_numpy(), g["cls"].to_numpy(), g["hashes"].to_numpy(), bitmaps(g["bits"])
+            names = g["root"].to_numpy()
+            root = np.unique(np.array([top(r) for r in names], dtype=object), return_inverse=True)[1]
+            for i in range(len(g) - 1):
+                j = partners(n, part, i, num, den)
+                j, _ = bounded(maps, n, i, j[root[j] != root[i]], num, den)
+                mine = unpacked(data[i]) if len(j) else None
+                for k in j:
+                    if root[k] != root[i] and similar(overlap(mine, unpacked(data[k])), int(n[i]), int(n[k]), num, den):
+                        out.append((cls[i], cls[k]))
+                        joined[top(names[k])] = top(names[i])
+                        root[root == root[k]] = root[i]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    rows = placed(members, MANY_BITS / 8 + 6)
+    return rows.join(sets, "cls").groupBy("bin").applyInPandas(link, "a binary, b binary")
+
+
 def pivot_pairs(tiles: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """(a, b): one set of each component of a tile and the pivot of its block there, each a once. tiles: key, cls, n, root.
 
@@ -459,13 +503,23 @@ def grouped(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     every, tiles = tiles, one_of_equal_tiles(tiles.join(near, "cls", "left_semi"), "cls")
     drop(every)
     edges, roots, many = None, None, sets.select("cls", "bits")
-    # two turns of pivots, one of the best pairs between components, one of all pairs that are left
-    for turn in range(PIVOT_ROUNDS + 2):
+    for turn in range(PIVOT_ROUNDS + BEST_ROUNDS + 1):
         left = stage(open_tiles(rooted(tiles, roots)), "open-tiles")
         if left.isEmpty():
             break
-        pairs = pivot_pairs(left, turn, num, den) if turn < PIVOT_ROUNDS else block_pairs(left, many, num, den, turn > PIVOT_ROUNDS)
-        new = stage(verified(pairs, sets, num, den), "links")
+        if turn < PIVOT_ROUNDS:
+            new = verified(pivot_pairs(left, turn, num, den), sets, num, den)
+        else:
+            pairs = stage(best_pairs(left, many, num, den), "best-pairs")
+            if pairs.isEmpty():  # no set may be similar to one of another component
+                break
+            if turn < PIVOT_ROUNDS + BEST_ROUNDS:
+                new = verified(pairs, sets, num, den)
+            else:
+                # the sets that still may be, and no others, are verified where they meet
+                some = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+                new = block_links(open_tiles(left.join(some, "cls", "left_semi")), sets.join(some, "cls", "left_semi"), num, den)
+        new = stage(new, "links")
         edges = new if edges is None else edges.unionByName(new)
         roots = components(edges)
     named = rooted(classes.select("cls"), roots)

@@ -64,9 +64,10 @@ def family(rng, n, size, edits):
     return out
 
 
-@pytest.mark.parametrize(("width", "num", "block"), [(3, 90, 1024), (5, 80, 1024), (5, 80, 4)])
-def test_equals_brute_force(spark, monkeypatch, width, num, block):
-    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+@pytest.mark.parametrize(("width", "num", "block", "pivots", "best"), [(3, 90, 1024, 2, 2), (5, 80, 4, 2, 2), (5, 80, 4, 0, 0), (5, 80, 1024, 1, 0)])
+def test_equals_brute_force(spark, monkeypatch, width, num, block, pivots, best):
+    for name, value in (("BLOCK_SETS", block), ("PIVOT_ROUNDS", pivots), ("BEST_ROUNDS", best)):
+        monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(num + width)
     texts = [t for size, edits in ((12, 1), (40, 2), (150, 6), (400, 12)) for t in family(rng, 14, size, edits)]
     texts += [words(rng, rng.randint(1, 80), 70) for _ in range(20)] + texts[:4] + [t.upper() for t in texts[20:23]] + ["", None, "  ", "one", "one", "ONE", "one two"]

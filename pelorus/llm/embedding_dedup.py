@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pelorus.llm.common import stage
-from pelorus.llm.graph import components
+from pelorus.llm.graph import components, least_reachable
 from pelorus.llm.graphsearch import Layers, valid_vector
 
 #: Nodes of a shard and of a block of queries, about.
@@ -48,17 +48,7 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Edges (node, least node of its component) of the graph with edges a-b, for nodes other than the least."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
+    root = least_reachable(at[: len(a)], at[len(a) :], len(nodes))
     rest = np.flatnonzero(root != np.arange(len(nodes)))
     return np.stack([nodes[rest], nodes[root[rest]]], axis=1)
 
@@ -108,13 +98,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     Two rows link when their labels are equal and not null and the cosine of
     their vectors is ``threshold`` or more. n_links counts the other rows linked
     directly; component_id is the smallest vec_id reachable, the row's own
-    included; kept tells whether that is the row itself. Rows whose label is
-    null or whose vector is null, empty, zero or not finite link with nothing;
-    vectors of different lengths do not link; repeated rows link with each
-    other. An empty table gives no rows; other columns are not read.
+    included; kept tells whether that is the row itself. Rows whose vec_id or label is
+    null or whose vector is null, empty, zero or not finite link with nothing (without vec_id, component_id and kept
+    are null); vectors of different lengths do not link; repeated rows link with each
+    other. Labels may be of any type that can be compared. An empty table gives no rows; other columns are not read.
     """
     rows = vectors.select("vec_id", "embedding", "label")
-    takes_part = valid_vector("embedding") & F.col("label").isNotNull()
+    kind = rows.schema["label"].dataType.simpleString()
+    takes_part = valid_vector("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     nodes = rows.where(takes_part).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
     nodes = stage(nodes.withColumn("dim", F.size("embedding")), "nodes")
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
@@ -129,7 +120,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         blob = pickle.dumps((index, v, pdf["node"].to_numpy(), pdf["weight"].to_numpy()), protocol=5)
         return pd.DataFrame({c: [pdf[c].iloc[0]] for c in ("label", "dim", "shard", "blocks")} | {"index": [blob]})
 
-    indexes = stage(dealt.select("label", "dim", "shard", "blocks", "node", "weight", "embedding").groupBy("label", "dim", "shard").applyInPandas(build, "label int, dim int, shard int, blocks int, index binary"), "indexes")
+    indexes = stage(dealt.select("label", "dim", "shard", "blocks", "node", "weight", "embedding").groupBy("label", "dim", "shard").applyInPandas(build, f"label {kind}, dim int, shard int, blocks int, index binary"), "indexes")
     asked = dealt.select("label", "dim", "block", "node", "embedding", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
     copies = indexes.select("label", "dim", "shard", "index", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
@@ -155,6 +146,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     links = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     named = nodes.select("label", "embedding", "node", "weight").join(links, "node", "left").join(roots.withColumnRenamed("root", "component_id"), "node", "left")
     named = named.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
-    out = rows.join(named, ["label", "embedding"], "left")
+    named = named.withColumnsRenamed({"label": "__label", "embedding": "__embedding"})
+    out = rows.join(named, F.col("vec_id").isNotNull() & (F.col("label") == F.col("__label")) & (F.col("embedding") == F.col("__embedding")), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

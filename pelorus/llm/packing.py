@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import portions
+from pelorus.llm.common import in_arrow, portions, stage
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Word encodings a worker remembers; beyond it the memory starts anew.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 150_000
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -148,7 +148,7 @@ def tokenize(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int =
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(pieces, PIECES)
+    return in_arrow(docs.select("doc_id", "text"), pieces, PIECES)
 
 
 class OpenWindows:
@@ -208,12 +208,17 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return places, offsets
 
 
+#: Sequences that are one full window are numbered from here on.
+FULL_FROM = 1 << 62
+
+
 def pack_pieces(pieces: DataFrame, shards: int, window: int = 2048) -> DataFrame:
-    """Deal pieces to shards and pack each; adds sequence_id and offset.
+    """Add sequence_id and offset to stored pieces.
 
-    Sequence ids are unique over all shards. Repeated rows are packed as
-    often as they occur; ties are broken by id, start and checksum, so that a
-    rerun gives the same sequences.
+    A full window is a sequence of its own. The others are dealt to shards and
+    each shard is packed. Sequence ids are unique over all. Repeated rows are
+    packed as often as they occur, and dealt to different shards; ties are
+    broken by id, start and checksum.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -222,8 +227,10 @@ def pack_pieces(pieces: DataFrame, shards: int, window: int = 2048) -> DataFrame
         places, offsets = best_fit_decreasing(pdf["length"].to_numpy(), window)
         return pdf.drop(columns="shard").assign(sequence_id=places * shards + shard, offset=offsets)
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(fit, PIECES + ", sequence_id long, offset long")
+    numbered = pieces.withColumn("uid", F.monotonically_increasing_id())
+    dealt = numbered.where(F.col("length") < window).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "uid"), F.lit(shards)).cast("int")).drop("uid")
+    full = numbered.where(F.col("length") >= window).withColumn("sequence_id", F.lit(FULL_FROM) + F.col("uid")).withColumn("offset", F.lit(0).cast("long")).drop("uid")
+    return dealt.groupBy("shard").applyInPandas(fit, PIECES + ", sequence_id long, offset long").unionByName(full)
 
 
 def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, shard_docs: int = 20_000) -> DataFrame:
@@ -234,5 +241,6 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
     doc_id stays null. Only doc_id and text are read, so that other columns
     may have any name.
     """
-    shards = max(1, -(-docs.select("doc_id").count() // shard_docs))
-    return pack_pieces(tokenize(docs, vocabulary, window, end_id), shards, window)
+    pieces = stage(tokenize(docs, vocabulary, window, end_id), "pieces")
+    rests = pieces.where(F.col("length") < window).count()
+    return pack_pieces(pieces, max(1, -(-rests // shard_docs)), window)

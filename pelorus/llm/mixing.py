@@ -2,9 +2,9 @@
 
 The words of a source are laid end to end, documents in a pseudorandom order,
 and cut into blocks of fixed length. Every output shard draws how many blocks
-it takes from each source: a multinomial draw, conditioned on the totals that
-the targets ask for (the multivariate hypergeometric law), so that sampling
-noise moves blocks between shards but never a source's share. A shard's slots
+it takes from each source: a multinomial draw with the shares of what is left of
+the totals that the targets ask for, so that sampling noise moves blocks between
+shards but never a source's share. A shard's slots
 continue the source's slot numbers, and a slot is mapped to a block by the
 source's own pseudorandom permutation of block numbers, one permutation for
 each time the source is gone through. Within a shard, the slots of all sources
@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import portions, ranges, stage
+from pelorus.llm.common import in_arrow, portions, ranges, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words in a block.
 BLOCK_WORDS = 64
-#: Output shards among which the draws are made.
-SHARDS = 64
+#: Output shards at least, and words of a shard at most, about.
+LEAST_SHARDS, SHARD_WORDS = 64, 50_000_000
+#: Sources at most: a row of each is collected.
+MOST_SOURCES = 100_000
 #: Documents in a bucket, on average.
 BUCKET_DOCS = 2000
 WEIGHTS = (3, 1, 2)
@@ -68,30 +70,26 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
 
 
 def draws(totals: list[int], shards: int, seed: int) -> np.ndarray:
-    """Blocks that each shard (row) draws from each source (column); columns sum to ``totals``."""
+    """Blocks that each shard (row) draws from each source (column); columns sum to ``totals``.
+
+    A shard's counts are a multinomial draw with the shares of what the shards
+    before it have left; what a source lacks is drawn again from the others.
+    """
     rng = np.random.default_rng(seed)
     left = np.array(totals, dtype=np.int64)
     out = np.zeros((shards, len(totals)), dtype=np.int64)
     for k in range(shards):
         n = int(left.sum()) // (shards - k)
-        if n and len(left):
-            method = "marginals" if left.sum() < 10**9 else None
-            out[k] = rng.multivariate_hypergeometric(left, n, method=method) if method else _split(rng, left, n)
-        left -= out[k]
-    return out
-
-
-def _split(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
-    """Draw for totals beyond the library's bound: expected counts, the remainders by chance."""
-    mean = left * (n / left.sum())
-    out = np.floor(mean).astype(np.int64)
-    for i in rng.permutation(len(left))[: n - int(out.sum())]:
-        out[i] += out[i] < left[i]
+        while n:
+            drawn = np.minimum(rng.multinomial(n, left / left.sum()), left)
+            out[k] += drawn
+            left -= drawn
+            n -= int(drawn.sum())
     return out
 
 
-#: Slots of one source that a task maps to blocks at once.
-SLOT_CHUNK = 1_000_000
+#: Slots of one source that are mapped to blocks at once, and slots of a task.
+SLOT_CHUNK, TASK_SLOTS = 1_000_000, 100_000
 
 
 def permute(slots: np.ndarray, n: int, key: str) -> np.ndarray:
@@ -156,11 +154,11 @@ def drawn_blocks(spark, plan: list[tuple[int, int, int]], seed: int, shards: int
                 slot = permute(ranges(np.array([place]), np.array([hi - lo])), total, f"{seed}/shard/{shard}")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, src), type=pa.int64()), pa.array(block), pa.array(np.full(hi - lo, shard), type=pa.int64()), pa.array(slot)], names=["src", "block", "shard", "slot"])
 
-    table = spark.createDataFrame(chunks, "src long, n long, lo long, hi long, shard long, place long, total long").repartition(max(1, min(len(chunks), 200)))
+    table = spark.createDataFrame(chunks, "src long, n long, lo long, hi long, shard long, place long, total long").repartition(max(1, min(len(chunks), -(-sum(t for _, _, t in plan) // TASK_SLOTS))))
     return table.mapInArrow(expand, "src long, block long, shard long, slot long")
 
 
-def block_uses(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = MOST_REPEATS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def block_uses(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards: int | None = None, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = MOST_REPEATS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix of ``docs`` (uid, doc_id, t, source, size): sized rows, pieces of documents in blocks, slots of the shards.
 
     Sized rows gain src, source_size, target. Pieces: uid, src, block, off
@@ -168,7 +166,10 @@ def block_uses(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards
     piece's first word), words. Slots: src, block, shard, slot.
     """
     spark = docs.sparkSession
-    sizes = {r["source"]: (r["words"] or 0) for r in docs.groupBy("source").agg(F.sum("size").alias("words")).collect()}
+    found = docs.groupBy("source").agg(F.sum("size").alias("words")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: they are collected to share out the words")
+    sizes = {r["source"]: (r["words"] or 0) for r in found}
     goals = targets(sizes, weights, share, repeats)
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     number = {s: i for i, s in enumerate(names)}
@@ -179,7 +180,7 @@ def block_uses(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards
         if sizes[s]:
             n = -(-sizes[s] // block)
             plan.append((i, n, round(goals[s] * n / sizes[s])))
-    uses = drawn_blocks(spark, plan, seed, shards)
+    uses = drawn_blocks(spark, plan, seed, shards or max(LEAST_SHARDS, round(sum(goals.values()) / SHARD_WORDS)))
     placed = lay_out(sized, seed).where("size > 0")
     last = F.floor((F.col("off") + F.col("size") - 1) / block).cast("long")
     pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("off") / block).cast("long"), last)))
@@ -192,7 +193,7 @@ def sized_rows(docs: DataFrame) -> DataFrame:
     return stage(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("t"), "source", n_words(F.col("text")).alias("size")), "sized")
 
 
-def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards: int = SHARDS, **shares) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards: int | None = None, **shares) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target (its source's), taken (words, repeats counted).
 
     Null and empty texts have size 0 and are taken 0 times; a null source is a
@@ -206,7 +207,7 @@ def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards: int =
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_blocks(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards: int = SHARDS, **shares) -> DataFrame:
+def mixed_blocks(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards: int | None = None, **shares) -> DataFrame:
     """The mix in its order: shard, slot, source, text of each block taken, a shard's rows together and by slot.
 
     A block's text is its documents' stretches, joined by a line break. Slots
@@ -228,14 +229,14 @@ def mixed_blocks(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shar
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, type=pa.int64()) for c in columns[:3]), pa.array(columns[3], type=pa.string())], names=["src", "block", "off", "text"])
 
-    cuts = wanted.hint("merge").join(rows.select("uid", "text"), "uid").select("src", "parts", "text").mapInArrow(cut, "src long, block long, off long, text string")
+    cuts = in_arrow(wanted.hint("merge").join(rows.select("uid", "text"), "uid").select("src", "parts", "text"), cut, "src long, block long, off long, text string")
     texts = cuts.groupBy("src", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("off", "text"))), lambda x: x["text"]), "\n").alias("text"))
     names = F.broadcast(sized.select("src", "source").distinct())
     out = uses.hint("merge").join(texts, ["src", "block"]).join(names, "src").select("shard", "slot", "source", "text")
-    return out.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    return out.repartition("shard").sortWithinPartitions("shard", "slot")
 
 
-def mixed_texts(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards: int = SHARDS, **shares) -> DataFrame:
+def mixed_texts(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shards: int | None = None, **shares) -> DataFrame:
     """The mix as documents: a row for each pass over a document that takes words of it.
 
     A pass that takes all words gives the text as it is; any other gives the
@@ -282,4 +283,4 @@ def mixed_texts(docs: DataFrame, seed: int = 17, block: int = BLOCK_WORDS, shard
                 columns[names.index("n_chars")] = pa.array([len(t) for t in out], type=pa.int64()).cast(columns[names.index("n_chars")].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*[F.col(f"`{c}`") for c in names], "__runs").mapInArrow(cut, docs.schema)
+    return in_arrow(joined.select(*[F.col(f"`{c}`") for c in names], "__runs"), cut, docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import portions
+from pelorus.llm.common import in_arrow, portions
 
 #: Hashed features.
 DIM = 1 << 18
@@ -131,8 +131,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     """Fit on about ``positives`` texts labelled toxic and ``unlabelled`` texts of any kind.
 
     ``docs``: doc_id, text; ``labels``: doc_id, toxic (1 or 0). Both samples
-    are taken by a hash of the id and are all that reaches the driver, as
-    feature numbers. The prior is the share of toxic labels unless it is given.
+    are taken by a hash of the id, with one text of each id, and are all that
+    reaches the driver, as feature numbers (``DIM`` at most of a text, however
+    long). The prior is the share of toxic labels unless it is given; an id with
+    several labels is toxic if one says so. Empty tables teach nothing.
     """
     marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = docs.select("doc_id").join(marks, "doc_id")
@@ -153,7 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
             rows = [of(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, type=pa.binary())], names=["doc_id", "kind", "features"])
 
-    rows = pos.unionByName(any_).mapInArrow(features, "doc_id long, kind int, features binary").collect()
+    sample = pos.unionByName(any_).groupBy("doc_id", "kind").agg(F.min("text").alias("text")).select("doc_id", "text", "kind")
+    rows = in_arrow(sample, features, "doc_id long, kind int, features binary").collect()
     rows.sort(key=lambda r: (r["kind"], r["doc_id"] if r["doc_id"] is not None else -1, bytes(r["features"])))
     of_kind = {k: [np.frombuffer(r["features"], dtype=np.int32) for r in rows if r["kind"] == k] for k in (0, 1)}
     return fit(of_kind[1], of_kind[0], prior)
@@ -179,4 +182,4 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
     base = docs.select(*cols, F.col("text").alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
-    return base.mapInArrow(judge, fields + ", score double, predicted int")
+    return in_arrow(base, judge, fields + ", score double, predicted int")

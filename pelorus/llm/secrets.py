@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelorus.llm.common import shared_folder, stage
+from pelorus.session import shared_folder
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,9 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+#: Matches of a text whose places are summed up together.
+BLOCK = 256
+
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int,base:boolean>>"
 
 
@@ -62,7 +65,11 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     gaps = F.split(text, rule.pattern, -1)
     zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"), matches.alias("all"), parts.alias("part"))
     empty = F.array().cast(SPANS)
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    # places are summed up in blocks, so that the copies that an array's growth costs stay short
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int")), lambda b: F.slice(zipped, b * BLOCK + 1, F.lit(BLOCK)))
+    lengths = F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["all"])))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    places = F.aggregate(lengths, begin, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))["all"]
 
     def step(state: Column, x: Column) -> Column:
         begin = state["at"] + F.length(x["gap"])
@@ -71,7 +78,8 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
         long_enough = F.length(x["part"]) >= rule.least
         return F.struct(end.alias("at"), F.when(long_enough, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(zipped, start, step)["found"]).otherwise(empty)
+    found = F.zip_with(blocks, places, lambda xs, at: F.aggregate(xs, F.struct(at.alias("at"), empty.alias("found")), step)["found"])
+    return F.when(text.rlike(rule.pattern), F.flatten(found)).otherwise(empty)
 
 
 def find_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -102,7 +110,7 @@ def new_ledger(spark: SparkSession) -> Ledger:
     """An empty ledger in the shared folder."""
     import uuid
 
-    return Ledger(spark, f"{shared_folder(spark).rstrip('/')}/pelorus-ledger-{uuid.uuid4().hex}")
+    return Ledger(spark, f"{shared_folder(spark)}/pelorus-ledger-{uuid.uuid4().hex}")
 
 
 def scan(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, content: str = "text", into: str = "spans") -> DataFrame:
@@ -111,7 +119,8 @@ def scan(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, c
     Blobs are told apart by hash, and one text for each is gathered with
     partial aggregation, so that copies are dropped before anything moves.
     Null content counts as empty; an empty table gives no rows and leaves the
-    ledger as it is; repeated rows share a blob.
+    ledger as it is; repeated rows share a blob. A blob that two scans at once
+    have added counts once.
     """
     version = rules_version(rules)
     text = F.coalesce(F.col(content), F.lit(""))
@@ -120,7 +129,7 @@ def scan(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, c
     blobs = addressed.select(F.col("__blob").alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
     unseen = blobs.join(done, "blob", "left_anti")
     ledger.add(unseen.select("blob", F.lit(version).alias("rules_version"), find_spans(F.col("text"), rules).alias("spans")))
-    found = ledger.table().where((F.col("rules_version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    found = ledger.table().where((F.col("rules_version") == version) & (F.size("spans") > 0)).groupBy(F.col("blob").alias("__blob")).agg(F.first("spans").alias("__spans"))
     out = addressed.join(found, "__blob", "left")
     return out.withColumn(into, F.coalesce("__spans", F.array().cast(SPANS))).select(*versions.columns, into)
 

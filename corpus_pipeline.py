@@ -1,6 +1,12 @@
 """From raw documents to packed training windows, in five stages.
 
 Every stage reads all that the stage before it kept. Part of ``pelorus.llm``.
+
+In all stages an empty table gives none, null and empty texts do no harm (the
+first stage drops them, as they hold no letter, the others but the mix keep
+them), rows that repeat are documents of their own until the second stage keeps
+one of them, other columns may have any name and pass through, and texts are
+taken whole. Ties go to the smaller doc_id; rows without doc_id stay without.
 """
 
 from __future__ import annotations

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +12,10 @@ from pelorus.llm.common import crc_bucket, read
 
 
 def vocabulary_file() -> str:
-    """The public word vocabulary; PELORUS_VOCABULARY names another file."""
+    """The public word vocabulary."""
     import public_tokenizers
 
-    return os.environ.get("PELORUS_VOCABULARY") or public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +76,35 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# What SQL can tell of operators whose whole result it can't express.
+
+
+def lm_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op3's counts and base score."""
+    out = op3_brown_classes(spark, sf_dir)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op4's sizes and targets, whether its source's words came within a block of the target, and no document above twice its size."""
+    from pyspark.sql import Window
+
+    out = op4_mix_sources(spark, sf_dir).withColumn("all", F.sum("taken").over(Window.partitionBy("source")))
+    near = (F.abs(F.col("all") - F.col("target")) <= mixing.BLOCK_WORDS + 1) & (F.col("taken") <= 2 * F.col("size"))
+    return out.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), near.alias("near"))
+
+
+def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents op9 holds out, and to which it gives no language."""
+    return op9_language_rank_order(spark, sf_dir).select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("und"))
+
+
+def packed_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op1's sequences: how many hold more than a window, have a gap, or share a place."""
+    out = op1_pack_best_fit(spark, sf_dir).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("offset").alias("first"))
+    return out.agg(F.count_if((F.col("n") > 2048) | (F.col("n") != F.col("end")) | (F.col("first") != 0)).alias("wrong"), (F.count("*") > 0).alias("some"))
+
+
 def _secret_sql() -> str:
     def spans(rank: int, rule: secrets.Rule) -> str:
         pattern = rule.pattern.replace("'", "''")
@@ -97,7 +125,7 @@ def _secret_sql() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pack_best_fit, op2_substring_suffix_tree, op3_brown_classes, op4_mix_sources, op5_ngram_jaccard, op6_ann_nn_descent, op7_toxicity_pu, op8_embedding_hnsw, op9_language_rank_order, op10_secret_ledger)
+    f.__name__: f for f in (op1_pack_best_fit, op2_substring_suffix_tree, op3_brown_classes, op4_mix_sources, op5_ngram_jaccard, op6_ann_nn_descent, op7_toxicity_pu, op8_embedding_hnsw, op9_language_rank_order, op10_secret_ledger, lm_token_counts, mix_targets, language_folds, packed_lengths)
 }
 
 _WORDS_LOWER = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
@@ -122,6 +150,26 @@ _SUBSTRING_SQL = r"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, rege
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
   FROM w LEFT JOIN s USING (rid)"""
 
+# crc32 of an id as text: the table of its bytes, then a fold over them
+_CRC = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t)"""
+_CRC_OF_ID = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS INTEGER) + 1])), 4294967295)"""
+
+_COUNTS_SQL = f"""WITH {_CRC}, d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_CRC_OF_ID} % 7 = 2, false) AS held_out, list_append({_WORDS_LOWER}, '') AS w FROM documents, crc),
+  e AS (SELECT rid, held_out, unnest(w) AS w FROM d), c AS (SELECT w, count(*) AS c FROM e WHERE NOT held_out GROUP BY w), n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c),
+  s AS (SELECT rid, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1) / CAST(n + v + 1 AS DOUBLE))) AS base FROM e LEFT JOIN c USING (w), n GROUP BY rid)
+  SELECT doc_id, held_out, n_tokens, n_known, CAST(n AS BIGINT) AS train_tokens, round(base, 4) AS base_score FROM d JOIN s USING (rid), n"""
+
+_TARGETS_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+  s AS (SELECT source, sum(size) AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+  w AS (SELECT *, CASE i % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS w FROM s), a AS (SELECT 1.5::DOUBLE * sum(size) AS words FROM w),
+  r(turn, i, w, size, left_, target) AS (SELECT 0, i, w, size, words, CAST(NULL AS DOUBLE) FROM w, a
+    UNION ALL SELECT turn + 1, i, w, size, left_ - sum(CASE WHEN target IS NULL AND share > 2 * size THEN 2.0 * size ELSE 0 END) OVER (), CASE WHEN target IS NULL AND share > 2 * size THEN 2.0 * size ELSE target END
+      FROM (SELECT *, left_ * w / sum(CASE WHEN target IS NULL THEN w END) OVER () AS share FROM r) WHERE turn < (SELECT count(*) FROM w)),
+  f AS (SELECT i, coalesce(target, left_ * w / sum(CASE WHEN target IS NULL THEN w END) OVER ()) AS target FROM r WHERE turn = (SELECT count(*) FROM w))
+  SELECT d.doc_id, d.size, CAST(s.size AS BIGINT) AS source_size, round(f.target, 4) AS target, true AS near FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source JOIN f USING (i)"""
+
+_FOLDS_SQL = rf"""WITH {_CRC} SELECT doc_id, coalesce({_CRC_OF_ID} % 5 = 0, false) AS held_out, NOT regexp_matches(coalesce(text, ''), '\p{{L}}') AS und FROM documents, crc"""
+
 _VECTORS = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
   g AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0)"""
 
@@ -140,4 +188,4 @@ _COSINE_SQL = f"""WITH RECURSIVE {_VECTORS},
   k AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
   SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN k USING (vec_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op2_substring_suffix_tree": _SUBSTRING_SQL, "op5_ngram_jaccard": _JACCARD_SQL, "op6_ann_nn_descent": _NEAREST_SQL, "op8_embedding_hnsw": _COSINE_SQL, "op10_secret_ledger": _secret_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_substring_suffix_tree": _SUBSTRING_SQL, "op5_ngram_jaccard": _JACCARD_SQL, "op6_ann_nn_descent": _NEAREST_SQL, "op8_embedding_hnsw": _COSINE_SQL, "op10_secret_ledger": _secret_sql(), "lm_token_counts": _COUNTS_SQL, "mix_targets": _TARGETS_SQL, "language_folds": _FOLDS_SQL, "packed_lengths": "SELECT 0 AS wrong, true AS some"}

@@ -65,6 +65,36 @@ def test_head_words_beyond_the_core_join_the_class_of_their_contexts(spark):
     assert [len({of[w.encode()] for w in kind}) for kind in kinds] == [1, 1, 1] and len(set(of.values())) == 4
 
 
+def test_score_equals_the_formula(spark):
+    rng = random.Random(8)
+    texts = [words(rng, rng.randint(0, 40), 60) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model, counts = brown.train(df, head=25, core=12, classes=4)
+    of = lambda w: int(model.klass[model.head[w]]) if w in model.head else model.rare
+    tokens = lambda t: [w.encode() for w in t.split()] + [b""]
+    seen, m = Counter(), np.zeros((model.rare + 1,) * 2)
+    for t in texts:
+        seen.update(tokens(t))
+        for a, b in zip([b"", *tokens(t)], tokens(t), strict=False):
+            m[of(a), of(b)] += 1
+    rare = {w: n for w, n in seen.items() if w not in model.head}
+    size = Counter()
+    for w in model.head:
+        size[of(w)] += seen[w]
+
+    def p(before, w):
+        a, b = of(before), of(w)
+        share = (m[:, b].sum() + 1) / (m.sum() + len(m))
+        kinds, whole = (m[a] > 0).sum(), m[a].sum()
+        step = (m[a, b] + kinds * share) / (whole + kinds) if whole else share
+        return step * (seen[w] / size[b] if w in model.head else (rare.get(w, 0) + 1) / (sum(rare.values()) + len(rare) + 1))
+
+    asked = [*texts[:20], "", "unseen " + texts[0], texts[1] + " more unseen words"]
+    got = brown.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model, counts).collect()
+    want = {i: sum(math.log10(p(a, b)) for a, b in zip([b"", *tokens(t)], tokens(t), strict=False)) for i, t in enumerate(asked)}
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, abs=1e-9)
+
+
 def test_edges_and_base(spark):
     docs = edge_docs(spark)
     train = docs.where("doc_id < 6")

@@ -1,5 +1,3 @@
-import pytest
-
 import corpus_pipeline
 from shared import SF
 from llm.helpers import edge_docs, empty_docs
@@ -38,9 +36,19 @@ def test_run_gives_the_same_rows_again(spark):
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_jaccard", "secret_scan", "mixing", "packing"]
 
 
-@pytest.mark.parametrize("make", [edge_docs, empty_docs])
-def test_edges(spark, make):
-    for _, step in corpus_pipeline.STAGES:
-        docs = stage(make(spark), "edge")
-        out = step(spark, docs, SF)
-        assert out.count() >= 0 and (step is corpus_pipeline.STAGES[-1][1] or out.columns == docs.columns)
+def test_edges(spark):
+    docs, at = edge_docs(spark), {}
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, stage(docs, "edge"), SF)
+        at[name] = out.collect()
+        assert name == "packing" or out.columns == docs.columns
+        assert step(spark, stage(empty_docs(spark), "edge"), SF).count() == 0
+    ids = lambda name: sorted(r["doc_id"] or -1 for r in at[name])
+    assert ids("language_id") == [-1, 4, 4, 5, 6, 8]  # with a letter
+    assert ids("ngram_jaccard") == [-1, 1, 2, 3, 4, 5, 6, 7, 8]  # one of the two equal rows
+    texts = lambda rows: sorted((str(r["doc_id"]), str(r["text"])) for r in rows)
+    assert texts(at["secret_scan"]) == texts(docs.collect())  # no secret in them
+    whole = {r["doc_id"]: (r["text"] or "").split() for r in docs.collect()}
+    assert set(ids("mixing")) <= {-1, 4, 5, 6, 7, 8} and all(r["text"] and set(r["text"].split()) <= set(whole[r["doc_id"]]) for r in at["mixing"])
+    assert ids("packing") == sorted([-1, 1, 2, 3, 4, 4, 6, 7, 8] + [5] * sum(r["doc_id"] == 5 for r in at["packing"]))
+    assert sum(r["length"] for r in at["packing"]) == sum(r["doc_tokens"] for r in at["packing"] if r["start"] == 0)

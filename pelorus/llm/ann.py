@@ -6,12 +6,15 @@ They are dealt to shards of bounded size by a hash. Each shard's graph starts
 from leaves of random hyperplanes and is bettered by rounds of NN-descent over
 all shards at once, as Spark joins: nodes' neighbours, both ways, are joined
 with their vectors, neighbours of one node are scored against each other, and
-each node keeps its best.
-
-A query goes to every shard, with a best-first search of the graph that keeps a
-beam of the best nodes seen. Each block of queries is audited against all
-vectors of the shard, and its beam doubles until the recall is high enough.
-Scores are inner products of the given vectors in double precision.
+each node keeps its best. Rounds end when few edges change.
+
+A query goes to every shard, with a greedy search of the graph that keeps a
+beam of the best nodes seen and starts, where the query is a node, from itself.
+A sample of each block of queries is audited against all vectors of the shard:
+its beam grows until the recall is high enough, all queries of the block are
+searched with that beam, and those of the sample that miss a node with wider
+ones. Scores are inner products of the given vectors in
+double precision.
 """
 
 from __future__ import annotations
@@ -27,15 +30,18 @@ from pyspark.sql import functions as F
 from pelorus.llm.common import drop, stage
 from pelorus.llm.graphsearch import beam_search, reverse_capped, valid_vector
 
-SHARD_NODES, BLOCK_QUERIES, BIN_NODES = 16_000, 1024, 1500
-#: Neighbours kept, reverse neighbours used, rounds of descent, trees and leaf size of the start.
-NEIGHBOURS, REVERSE, ROUNDS, TREES, LEAF_NODES = 20, 12, 2, 2, 128
+SHARD_NODES, BLOCK_QUERIES, BIN_NODES = 16_000, 4096, 1500
+#: Neighbours kept, reverse neighbours used, trees and leaf size of the start.
+NEIGHBOURS, REVERSE, TREES, LEAF_NODES = 20, 12, 2, 128
+#: Rounds of descent end when fewer of the edges are new than this share, or after so many.
+CHANGED, ROUNDS = 0.1, 12
 #: Random links of each node, which join parts that the neighbour graph leaves apart.
 FAR_LINKS = 3
-FIRST_BEAM, ENTRIES = 128, 64
-AUDITED, LEAST_RECALL = 48, 0.97
+FIRST_BEAM, ENTRIES = 64, 64
+#: Queries of a block that are audited, the recall they must reach, and by what the beam grows until then.
+AUDITED, LEAST_RECALL, WIDEN = 64, 0.97, 1.4
 
-EDGES = "shard int, node long, nbr long, score float"
+EDGES = "shard int, node long, nbr long, score float, new boolean"
 
 
 def _halves(vectors: np.ndarray) -> list[bytes]:
@@ -46,9 +52,9 @@ def _whole(data: pd.Series) -> np.ndarray:
     return np.stack([np.frombuffer(b, dtype=np.float16) for b in data]).astype(np.float32)
 
 
-def _best(node: np.ndarray, nbr: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Rows of each node's ``k`` best neighbours, each neighbour once."""
-    order = np.lexsort((-score, nbr, node))
+def _best(node: np.ndarray, nbr: np.ndarray, score: np.ndarray, k: int, new: np.ndarray | None = None) -> np.ndarray:
+    """Rows of each node's ``k`` best neighbours, each neighbour once, as a known one if it is known."""
+    order = np.lexsort((-score, nbr, node) if new is None else (new, nbr, node))
     once = np.ones(len(order), dtype=bool)
     once[1:] = (node[order][1:] != node[order][:-1]) | (nbr[order][1:] != nbr[order][:-1])
     order = order[once]
@@ -60,7 +66,7 @@ def _best(node: np.ndarray, nbr: np.ndarray, score: np.ndarray, k: int) -> np.nd
 
 
 def _edges(shard: int, node: np.ndarray, nbr: np.ndarray, score: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"shard": np.full(len(node), shard, dtype=np.int32), "node": node, "nbr": nbr, "score": score.astype(np.float32)})
+    return pd.DataFrame({"shard": np.full(len(node), shard, dtype=np.int32), "node": node, "nbr": nbr, "score": score.astype(np.float32), "new": True})
 
 
 def start(nodes: DataFrame, bits: int, seed: int = 1) -> DataFrame:
@@ -97,7 +103,7 @@ def keep_best(edges: DataFrame, bins: int) -> DataFrame:
     """Each node's ``NEIGHBOURS`` best edges."""
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[_best(pdf["node"].to_numpy(), pdf["nbr"].to_numpy(), pdf["score"].to_numpy(), NEIGHBOURS)].drop(columns="bin")
+        return pdf.iloc[_best(*(pdf[c].to_numpy() for c in ("node", "nbr", "score")), NEIGHBOURS, pdf["new"].to_numpy())].drop(columns="bin")
 
     return edges.withColumn("bin", _bin(F.col("node"), bins)).groupBy("bin").applyInPandas(best, EDGES)
 
@@ -129,10 +135,10 @@ def descend(nodes: DataFrame, graph: DataFrame, bins: int) -> DataFrame:
             out.append((shard[lo + a], nbr[lo + a], nbr[lo + b], s[a, b]))
         sh, a, b, s = (np.concatenate(c) for c in zip(*out, strict=True))
         best = _best(a, b, s, NEIGHBOURS)
-        return pd.DataFrame({"shard": sh[best], "node": a[best], "nbr": b[best], "score": s[best].astype(np.float32)})
+        return pd.DataFrame({"shard": sh[best], "node": a[best], "nbr": b[best], "score": s[best].astype(np.float32), "new": True})
 
-    new = met.groupBy("bin").applyInPandas(pairs, EDGES)
-    return keep_best(graph.unionByName(new), bins)
+    found = met.groupBy("bin").applyInPandas(pairs, EDGES)
+    return keep_best(graph.withColumn("new", F.lit(False)).unionByName(found), bins)
 
 
 class Index:
@@ -151,26 +157,37 @@ class Index:
         far = np.random.default_rng(n).integers(0, max(n, 1), (n, FAR_LINKS))
         self.graph = np.concatenate([own, reverse_capped(own, NEIGHBOURS), far], axis=1).astype(np.int32)
 
+    def found(self, scaled: np.ndarray, enter: np.ndarray, k: int) -> np.ndarray:
+        """Best nodes found for each query, best first, ``k + 1`` at least (-1 where there are fewer).
+
+        The beam is one with which a sample of the queries finds ``LEAST_RECALL``
+        of what a look at all vectors finds. Those of the sample that still
+        miss a node are searched with wider beams until they miss none.
+        """
+        n = len(self.ids)
+        sample = np.unique(np.linspace(0, len(scaled) - 1, min(AUDITED, len(scaled))).astype(int))
+        truth = np.argsort(-(scaled[sample] @ self.scaled.T), axis=1, kind="stable")[:, : k + 1]
+        beam, out, todo = min(n, max(FIRST_BEAM, 2 * k)), None, np.arange(len(sample))
+        while True:
+            own, _ = beam_search(self.scaled, self.graph, scaled[sample[todo]], enter[sample[todo]], beam)
+            hits = np.array([len(np.intersect1d(a, b)) for a, b in zip(own, truth[todo], strict=True)])
+            if out is None and (hits.sum() >= LEAST_RECALL * truth.size or beam == n):
+                out, _ = beam_search(self.scaled, self.graph, scaled, enter, beam)
+                out = out[:, : min(beam, 4 * k + 8)]
+            if out is not None:
+                out[sample[todo]] = own[:, : out.shape[1]]
+                todo = todo[hits < truth.shape[1]]
+                if beam == n or not len(todo):
+                    return out
+            beam = min(n, int(WIDEN * beam))
+
     def nearest(self, queries: np.ndarray, scaled: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the ``k`` best found for each query, itself left out, with double-precision scores."""
         n = len(self.ids)
         spread = np.unique(np.linspace(0, n - 1, min(n, ENTRIES)).astype(np.int64))
         at = np.minimum(np.searchsorted(self.ids, own), n - 1)
         enter = np.concatenate([np.broadcast_to(spread, (len(queries), len(spread))), np.where(self.ids[at] == own, at, -1)[:, None]], axis=1)
-        sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
-        exact = scaled[sample] @ self.scaled.T
-        truth = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
-        beam = min(n, max(FIRST_BEAM, 2 * k))
-        while True:
-            if beam >= n // 4:
-                found = np.argsort(-(scaled @ self.scaled.T), axis=1, kind="stable")[:, : max(beam, k + 1)]
-                break
-            found, _ = beam_search(self.scaled, self.graph, scaled, enter, beam)
-            hits = sum(len(np.intersect1d(a, b)) for a, b in zip(found[sample], truth, strict=True))
-            if hits >= LEAST_RECALL * truth.size:
-                break
-            beam = min(n, 2 * beam)
-        found = found[:, : 4 * k + 8]
+        found = self.found(scaled, enter, k)
         safe = np.maximum(found, 0)
         scores = np.zeros(found.shape)
         for d in range(queries.shape[1]):  # one component after the other, as a plain sum would
@@ -222,6 +239,8 @@ def search(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20
     for _ in range(ROUNDS):
         before, graph = graph, stage(descend(halves, graph, bins), "ann-graph")
         drop(before)
+        if (graph.agg(F.avg(F.col("new").cast("int"))).first()[0] or 0) < CHANGED:
+            break
 
     def build(key: tuple, own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         if not len(own):

@@ -38,10 +38,9 @@ def _search(vectors: np.ndarray, graph: np.ndarray, queries: np.ndarray, entries
         node = fresh.ravel()
         good = node >= 0
         at, node = at[good], node[good]
-        key = np.unique(at * n + node)
-        at, node = key // n, key % n
         new = ~seen[at, node]
-        at, node = at[new], node[new]
+        key = np.unique(at[new] * n + node[new])
+        at, node = key // n, key % n
         seen[at, node] = True
         score = np.einsum("ij,ij->i", vectors[node], queries[at])
         # lay them out in a matrix beside the beam and keep the best

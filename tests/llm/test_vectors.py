@@ -84,6 +84,15 @@ def test_audit_sees_small_groups_beside_a_hot_one(hot):
     assert len(want) > 1900 and got >= {(a, b) for a, b in want}
 
 
+def test_labels_of_any_type_and_rows_without_id(spark):
+    v = [1.0, 2.0, 0.5]
+    rows = [(1, v, "a"), (2, [x * 2 for x in v], "a"), (None, v, "a"), (3, v, "b"), (2**40, v, "b")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(df).collect() if r["vec_id"] is not None)
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (2**40, 1, 3, False)]
+    assert [tuple(r) for r in embedding_dedup.near_duplicates(df).where("vec_id is null").collect()] == [(None, 0, None, None)]
+
+
 def test_no_vectors(spark):
     assert embedding_dedup.near_duplicates(table(spark, [])).count() == 0 and ann.search(table(spark, []), lambda v: v % 2 == 0).count() == 0
     assert ann.search(table(spark, BAD[:6]), lambda v: v % 2 == 0).count() == 0
@@ -131,6 +140,47 @@ def test_search_in_graphs_reaches_the_recall(spark, monkeypatch):
     assert hits / 2000 >= 0.9
 
 
+def test_search_needs_the_graph():
+    rng = np.random.default_rng(12)
+    v = rng.standard_normal((6000, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    scaled, n = np.concatenate([v, np.zeros((6000, 1))], axis=1), 6000
+    near = np.argsort(-(v @ v.T), axis=1)[:, 1:21]
+    far = rng.integers(0, n, near.shape)
+
+    def looked_at(nbr):
+        """Share of the queries' nearest found with a narrow beam."""
+        node = np.repeat(np.arange(n), 20)
+        index = ann.Index(np.arange(n), v, scaled, node, nbr.ravel(), (v[node] * v[nbr.ravel()]).sum(axis=1))
+        enter = np.broadcast_to(np.arange(0, n, 100), (100, 60))
+        ids, _ = graphsearch.beam_search(index.scaled, index.graph, index.scaled[:100], enter, 32)
+        return np.mean([len(set(a) & set(b)) / 20 for a, b in zip(ids, near, strict=False)])
+
+    assert looked_at(near) > 0.95 and looked_at(far) < 0.4
+
+
+def test_descent_betters_the_graph(spark):
+    rng = np.random.default_rng(13)
+    v = rng.standard_normal((2000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(0, i, h) for i, h in enumerate(ann._halves(v))], "shard int, node long, half binary").cache()
+    near = np.argsort(-(v @ v.T), axis=1)[:, 1:21]
+    recall = lambda g: np.mean([len({r["nbr"] for r in rows} & set(near[i])) / 20 for i, rows in enumerate(lists(g))])
+
+    def lists(graph):
+        out = [[] for _ in range(2000)]
+        for r in graph.collect():
+            out[r["node"]].append(r)
+        return out
+
+    first = ann.keep_best(ann.start(nodes, 4), 3).cache()
+    second = ann.descend(nodes, first, 3).cache()
+    third = ann.descend(nodes, second, 3)
+    a, b, c = recall(first), recall(second), recall(third)
+    assert b > a + 0.1 and c > b and 0 < second.where("new").count() < second.count()
+    nodes.unpersist()
+
+
 def test_layers_find_neighbours():
     rng = np.random.default_rng(8)
     v = rng.standard_normal((3000, 24)).astype(np.float32)

@@ -177,7 +177,7 @@ def skip_ahead(path: DataFrame, blocked: DataFrame, grid: GridSpec, look: int =
     """Outside lanes, go on from each point kept to the farthest of the next ``look`` in sight; seq is numbered anew.
 
     All lines of sight are tested in one join; the farthest ones are followed
-    from point to point, each run by itself.
+    from point to point, route by route.
     """
     runs = free_runs(path)
     ahead = runs.select("route_id", "run", F.col("seq").alias("to"), F.col("x").alias("x1"), F.col("y").alias("y1"))
@@ -185,7 +185,7 @@ def skip_ahead(path: DataFrame, blocked: DataFrame, grid: GridSpec, look: int =
     lines = here.join(ahead, ["route_id", "run", "to"]).withColumn("line_id", F.struct("route_id", "run", "seq", "to"))
     clear = blocked_lines(lines, blocked, grid, "up").where("clear").select("line_id.*")
     far = clear.groupBy("route_id", "run", "seq").agg(F.max("to").alias("far"))
-    steps = runs.select("route_id", "run", "seq").join(far, ["route_id", "run", "seq"], "left").select("route_id", "run", "seq", F.coalesce("far", F.col("seq") + 1).alias("far"))
+    steps = runs.select("route_id", "run", "seq").join(far, ["route_id", "run", "seq"], "left").select("route_id", "seq", F.coalesce("far", F.col("seq") + 1).alias("far"))
 
     def passed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
@@ -197,7 +197,8 @@ def skip_ahead(path: DataFrame, blocked: DataFrame, grid: GridSpec, look: int =
                 drop.append(seq)
         return pd.DataFrame({"route_id": pdf["route_id"].iloc[0], "seq": drop})
 
-    gone = steps.groupBy("route_id", "run").applyInPandas(passed, path.select("route_id", "seq").schema)
+    # a route at once: no step leads out of its run
+    gone = steps.groupBy("route_id").applyInPandas(passed, path.select("route_id", "seq").schema)
     return ranked(path.join(gone, ["route_id", "seq"], "left_anti"))
 
 

@@ -40,8 +40,14 @@ def flat_degrees(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Initial bearing, 0 to 360."""
-    a, b, d = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
-    y, x = F.sin(d) * F.cos(b), F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(d)
+    a, b = F.radians(lat1), F.radians(lat2)
+    return bearing_of((F.sin(a), F.cos(a)), (F.sin(b), F.cos(b)), lon2 - lon1)
+
+
+def bearing_of(a: tuple[Column, Column], b: tuple[Column, Column], degrees: Column) -> Column:
+    """Initial bearing between places of which the sine and cosine of the latitude are known, so many degrees of longitude apart."""
+    d = F.radians(degrees)
+    y, x = F.sin(d) * b[1], a[1] * b[0] - a[0] * b[1] * F.cos(d)
     return F.pmod(F.degrees(F.atan2(y, x)) + 360, F.lit(360.0))
 
 

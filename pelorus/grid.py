@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pelorus.functions.geo import bearing
+from pelorus.functions.geo import bearing, bearing_of
 
 LEAST_SIDE, MOST_SIDE = 100, 50_000
 PADDING_DEG = 10.0
@@ -73,9 +74,20 @@ class GridSpec:
         return F.lit(self.lat_max) - at / F.lit(float(self.height)) * F.lit(self.lat_max - self.lat_min)
 
     def pixel_bearing(self, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-        """Bearing from one pixel to another; null if they are one or either lies off the grid."""
+        """Bearing from one pixel to another; null if they are one or either lies off the grid.
+
+        Between antipodes the last bits of sines and cosines decide. Where the
+        window holds such, those of its rows come from the C library, as they
+        do in SQL, and not from the JVM's own.
+        """
         there = self.holds(x0, y0) & self.holds(x1, y1) & ((x0 != x1) | (y0 != y1))
-        return F.when(there, bearing(self.lat_at(y0), self.lon_at(x0), self.lat_at(y1), self.lon_at(x1)))
+        if self.lon_max - self.lon_min < 180:
+            return F.when(there, bearing(self.lat_at(y0), self.lon_at(x0), self.lat_at(y1), self.lon_at(x1)))
+        at = [math.radians(self.lat_max - y / float(self.height) * (self.lat_max - self.lat_min)) for y in range(self.height)]
+        # one literal that is folded into an array, whatever the height
+        sines, cosines = (F.split(F.lit(",".join(repr(f(a)) for a in at)), ",").cast("array<double>") for f in (math.sin, math.cos))
+        row = lambda y: (F.get(sines, y), F.get(cosines, y))
+        return F.when(there, bearing_of(row(y0), row(y1), self.lon_at(x1) - self.lon_at(x0)))
 
     def to_latlon(self, x: Column, y: Column) -> Column:
         return F.struct(self.lat_at(y).alias("lat"), self.lon_at(x).alias("lon"))

@@ -83,34 +83,70 @@ def overlapping_tiles(tiles: DataFrame, x_min: int, x_max: int, y_min: int, y_ma
     return tiles.withColumns(part).where("from_x < to_x and from_y < to_y")
 
 
+def _rows_between(low: Column, high: Column) -> Column:
+    """The rows from ``low`` to ``high`` away, above and below; none if ``low`` exceeds ``high``."""
+    below = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.concat(F.transform(below, lambda r: -r), below))
+
+
+def _bands(reach: int) -> list[tuple[int, int]]:
+    """0..3, 4..15, 16..63 and so on up to ``reach``."""
+    out, low = [], 0
+    while low <= reach:
+        out.append((low, min(reach, max(3, 4 * low - 1))))
+        low = out[-1][1] + 1
+    return out
+
+
 def to_water(points: DataFrame, land: DataFrame, grid: GridSpec, reach: int = 200) -> DataFrame:
     """Move points (point_id, x, y) that lie on land or off the grid to the nearest water cell.
 
-    Cells are tried on growing squares: first the rows above and below, by
-    column, then the columns, by row, the positive side first. The rings are
-    tried in bands of growing width, and a point that has found water stands
-    for one row in the later bands. Points without water in reach stay.
+    Cells count on growing squares: first the rows above and below, by column,
+    then the columns, by row, the positive side first. Points without water in
+    reach stay. Equal points are looked up once. A land cell knows the ends of
+    its row's run of land, so a point meets one cell of each row, not all cells
+    around it; rows are met in bands of growing distance, and none that
+    is farther than the best so far. A point that needs no more rows stands for
+    one row in the later bands.
     """
-    blocked = land.select(F.col("x").alias("cx"), F.col("y").alias("cy")).distinct().withColumn("__land", F.lit(True))
-    dry = ~grid.holds(F.col("cx"), F.col("cy")) | F.col("__land").isNotNull()
-    state = points.select("point_id", "x", "y", F.col("x").alias("cx"), F.col("y").alias("cy")).join(blocked, ["cx", "cy"], "left")
-    state = state.select("point_id", "x", "y", *[F.when(~dry, F.col(c)).alias(n) for c, n in (("x", "nx"), ("y", "ny"))])
-    low = 1
-    while low <= reach:
-        high = min(reach, 4 * low - 1)
-        todo = F.col("nx").isNull()
-        tried = state.withColumn("r", F.explode(F.when(todo, F.sequence(F.lit(low), F.lit(high))).otherwise(F.array(F.lit(0)))))
-        # a ring's rows, then its columns; ring 0 is the point itself, once
-        tried = tried.withColumn("phase", F.explode(F.when(todo, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-        tried = tried.withColumn("major", F.explode(F.expr("sequence(-r + phase, r - phase)")))
-        tried = tried.withColumn("sign", F.explode(F.when(todo, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-        away = F.when(F.col("sign") == 0, F.col("r")).otherwise(-F.col("r"))
-        cx, cy = F.col("x") + F.when(F.col("phase") == 0, F.col("major")).otherwise(away), F.col("y") + F.when(F.col("phase") == 0, away).otherwise(F.col("major"))
-        tried = tried.select("*", F.coalesce("nx", cx).alias("cx"), F.coalesce("ny", cy).alias("cy")).join(blocked, ["cx", "cy"], "left")
-        turn = F.when(~dry, ((F.col("r").cast("long") * 2 + F.col("phase")) * (4 * reach + 4) + F.col("major") + F.col("r")) * 2 + F.col("sign"))
-        state = tried.groupBy("point_id", "x", "y").agg(F.min_by("cx", turn).alias("nx"), F.min_by("cy", turn).alias("ny"))
-        low = high + 1
-    return state.select("point_id", F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y"))
+    w = Window.partitionBy("y").orderBy("x")
+    runs = land.where(grid.holds(F.col("x"), F.col("y"))).select("x", "y").distinct().withColumn("__run", F.col("x") - F.row_number().over(w))
+    runs = runs.groupBy("y", "__run").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    dry = runs.select(F.explode(F.sequence("lo", "hi")).alias("cx"), F.col("y").alias("cy"), "lo", "hi")
+    last, base = grid.width - 1, 4 * reach + 4
+    onto = F.least(F.lit(last), F.greatest(F.lit(0), F.col("x")))
+
+    # of a point: the least (ring, rows or columns, place on it, side), as one number
+    code = lambda ring, phase, major, sign: ((ring.cast("long") * 2 + phase) * base + major + ring) * 2 + sign
+    ring_of = lambda t: F.floor(F.col(t) / F.lit(4 * base))
+    state = points.select("x", "y").where("x is not null and y is not null").distinct().withColumn("turn", F.lit(None).cast("long"))
+    for low, high in _bands(reach):
+        # rows at the distance of a place on a column still count, as rows go first
+        top = F.least(F.lit(high), F.coalesce(ring_of("turn").cast("int"), F.lit(high)))
+        rows = _rows_between(F.lit(low), top)
+        tried = state.withColumn("dy", F.explode_outer(F.filter(rows, lambda r: (F.col("y") + r).between(0, grid.height - 1))))
+        tried = tried.withColumns({"cx": onto, "cy": F.col("y") + F.col("dy")}).join(dry, ["cx", "cy"], "left")
+        wet = F.col("lo").isNull()
+        right = F.when(wet & (F.col("cx") >= F.col("x")), F.col("cx")).when(~wet & (F.col("hi") < last), F.col("hi") + 1) - F.col("x")
+        left = F.col("x") - F.when(wet & (F.col("cx") <= F.col("x")), F.col("cx")).when(~wet & (F.col("lo") > 0), F.col("lo") - 1)
+        across, away = F.least(right, left), F.abs("dy")
+        side = F.when(right <= across, F.lit(0)).otherwise(F.lit(1))
+        turn = F.when(F.col("dy").isNotNull() & (F.greatest(across, away) <= reach), F.when(across <= away, code(away, 0, F.lit(0), F.lit(0))).when(across > away, code(across, 1, F.col("dy"), side)))
+        state = tried.groupBy("x", "y").agg(F.least(F.min("turn"), F.min(turn)).alias("turn"))
+
+    # on a square's rows the first water from the left end is taken, on its columns the place is known
+    ring, in_row = ring_of("turn").cast("int"), F.floor(F.col("turn") / (2 * base)) % 2 == 0
+    major, sign = (F.floor(F.col("turn") / 2) % base).cast("int") - F.col("ring"), (F.col("turn") % 2).cast("int")
+    ends = state.where("turn is not null").withColumn("ring", ring).withColumns({"major": major, "sign": sign, "in_row": in_row})
+    ends = ends.withColumn("dy", F.explode(F.when(~F.col("in_row"), F.array("major")).otherwise(F.array_distinct(F.array(F.col("ring"), -F.col("ring"))))))
+    start = F.greatest(F.lit(0), F.col("x") - F.col("ring"))
+    ends = ends.withColumns({"cx": F.when(F.col("in_row"), start).otherwise(F.col("x") + F.when(F.col("sign") == 0, F.col("ring")).otherwise(-F.col("ring"))), "cy": F.col("y") + F.col("dy")})
+    ends = ends.join(dry, ["cx", "cy"], "left").withColumn("nx", F.coalesce(F.col("hi") + 1, F.col("cx")))
+    ends = ends.where((F.col("nx") <= F.least(F.lit(last), F.col("x") + F.col("ring"))) & F.col("cy").between(0, grid.height - 1))
+    found = ends.groupBy("x", "y").agg(F.min(F.struct("nx", (-F.col("dy")).alias("up"))).alias("at"))
+    found = found.select(F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("at.nx").alias("nx"), (F.col("y") - F.col("at.up")).alias("ny"))
+    moved = points.select("point_id", "x", "y").distinct().join(found, (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y")), "left")
+    return moved.select("point_id", F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y"))
 
 
 def nearest_cell(points: DataFrame, cells: DataFrame, radius: int = 20) -> DataFrame:

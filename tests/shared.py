@@ -53,3 +53,19 @@ def write_lanes(folder, name="TSS_Lanes_ESE.geojson"):
     (folder / name).write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
     (folder / "other.geojson").write_text(json.dumps(features[3:]))
     return folder
+
+
+def most_rows(df):
+    """Run the frame; the most rows that any node of its plan gave."""
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        own = plan.metrics().get("numOutputRows")
+        return max([own.get().value() if own.isDefined() else 0, *[walk(plan.children().apply(i)) for i in range(plan.children().size())]])
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())

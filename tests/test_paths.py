@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shared import write_lanes
+from shared import most_rows, write_lanes
 from pelorus.functions import geo
 from pelorus.grid import GridSpec
 from pelorus.operators import paths, raster, search, spatial
@@ -330,3 +330,30 @@ def test_streaming_lookups(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert spark.table("near").count() == 1 and spark.table("win").first()["positions"] == 2
+
+
+@pytest.mark.parametrize(("reach", "share"), [(2, 0.5), (20, 0.97), (70, 0.999), (70, 1.0)])
+def test_nudging_over_deep_land_and_off_the_grid(spark, reach, share):
+    rng = random.Random(reach)
+    land = {(x, y) for x in range(40) for y in range(20) if rng.random() < share} | {(-1, 3), (45, 3)}
+    points = [(i, rng.randrange(-6, 46), rng.randrange(-6, 26)) for i in range(200)] + [(900, None, 3), (901, 2, None)]
+
+    def scan(x0, y0):
+        wet = lambda x, y: 0 <= x < 40 and 0 <= y < 20 and (x, y) not in land
+        if x0 is None or y0 is None or wet(x0, y0):
+            return x0, y0
+        for r in range(1, reach + 1):
+            ring = [(x0 + d, y0 + s) for d in range(-r, r + 1) for s in (r, -r)] + [(x0 + s, y0 + d) for d in range(-r + 1, r) for s in (r, -r)]
+            for c in ring:
+                if wet(*c):
+                    return c
+        return x0, y0
+
+    got = spatial.to_water(spark.createDataFrame(points, "point_id int, x int, y int"), spark.createDataFrame(list(land), "x int, y int"), GRID, reach)
+    assert {r["point_id"]: (r["x"], r["y"]) for r in got.collect()} == {i: scan(x, y) for i, x, y in points}
+
+
+def test_nudging_meets_a_cell_of_each_row_once(spark):
+    land = spark.range(800).selectExpr("cast(id % 40 as int) as x", "cast(id div 40 as int) as y")
+    points = spark.range(3000).selectExpr("cast(id as int) as point_id", "cast(id % 3 as int) + 10 as x", "10 as y")
+    assert most_rows(spatial.to_water(points, land, GRID, 30)) <= 3000

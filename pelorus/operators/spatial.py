@@ -150,9 +150,23 @@ def to_water(points: DataFrame, land: DataFrame, grid: GridSpec, reach: int = 20
 
 
 def nearest_cell(points: DataFrame, cells: DataFrame, radius: int = 20) -> DataFrame:
-    """Whether a cell lies in the square around each point, and the whole part of the least distance: point_id, close, distance."""
-    other = cells.select(F.col("x").alias("cx"), F.col("y").alias("cy")).distinct()
-    met = near_pairs(points.select("point_id", "x", "y"), other, radius + 1, ("x", "y"), ("cx", "cy"))
-    met = met.where((F.abs(F.col("x") - F.col("cx")) <= radius) & (F.abs(F.col("y") - F.col("cy")) <= radius))
-    least = met.groupBy("point_id").agg(F.min(F.hypot((F.col("x") - F.col("cx")).cast("double"), (F.col("y") - F.col("cy")).cast("double"))).alias("d"))
-    return points.select("point_id").join(least, "point_id", "left").select("point_id", F.col("d").isNotNull().alias("close"), F.floor("d").cast("int").alias("distance"))
+    """Whether a cell lies in the square around each point, and the whole part of the least distance: point_id, close, distance.
+
+    Equal points are looked up once. A cell tells the places of its row that
+    are nearer to it than to its neighbours there, so a point meets one place
+    of each row; rows are met in bands, and only those nearer than the best so far.
+    """
+    w = Window.partitionBy("y").orderBy("x")
+    half = lambda gap: F.least(F.lit(radius), F.coalesce(F.floor(gap / 2).cast("int"), F.lit(radius)))
+    row = cells.select("x", "y").distinct().withColumns({"lo": -half(F.col("x") - F.lag("x").over(w)), "hi": half(F.lead("x").over(w) - F.col("x"))})
+    row = row.withColumn("dx", F.explode(F.sequence("lo", "hi")))
+    row = row.groupBy((F.col("x") + F.col("dx")).alias("cx"), F.col("y").alias("cy")).agg(F.min(F.abs("dx")).cast("long").alias("dx"))
+    state = points.select("x", "y").where("x is not null and y is not null").distinct().withColumn("d", F.lit(None).cast("long"))
+    for low, high in _bands(radius):
+        top = F.least(F.lit(high), F.coalesce(F.ceil(F.sqrt("d")).cast("int") - 1, F.lit(high)))
+        tried = state.withColumn("dy", F.explode_outer(_rows_between(F.lit(low), top)))
+        tried = tried.withColumns({"cx": F.col("x"), "cy": F.col("y") + F.col("dy")}).join(row, ["cx", "cy"], "left")
+        state = tried.groupBy("x", "y").agg(F.least(F.min("d"), F.min(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).alias("d"))
+    state = state.select(F.col("x").alias("__x"), F.col("y").alias("__y"), F.sqrt(F.col("d").cast("double")).alias("d"))
+    met = points.select("point_id", "x", "y").join(state, (F.col("x") == F.col("__x")) & (F.col("y") == F.col("__y")), "left")
+    return met.select("point_id", F.col("d").isNotNull().alias("close"), F.floor("d").cast("int").alias("distance"))

@@ -357,3 +357,23 @@ def test_nudging_meets_a_cell_of_each_row_once(spark):
     land = spark.range(800).selectExpr("cast(id % 40 as int) as x", "cast(id div 40 as int) as y")
     points = spark.range(3000).selectExpr("cast(id as int) as point_id", "cast(id % 3 as int) + 10 as x", "10 as y")
     assert most_rows(spatial.to_water(points, land, GRID, 30)) <= 3000
+
+
+@pytest.mark.parametrize(("radius", "share"), [(1, 0.1), (7, 0.01), (20, 0.9)])
+def test_nearest_cell_against_all_cells(spark, radius, share):
+    rng = random.Random(radius)
+    cells = [(x, y) for x in range(40) for y in range(20) if rng.random() < share] + [(-3, -2), (-3, -2)]
+    points = [(i, rng.randrange(-6, 46), rng.randrange(-6, 26)) for i in range(200)] + [(900, None, 3)]
+
+    def least(x0, y0):
+        d = [(x - x0) ** 2 + (y - y0) ** 2 for x, y in cells if x0 is not None and abs(x - x0) <= radius and abs(y - y0) <= radius]
+        return bool(d), math.isqrt(min(d)) if d else None
+
+    got = spatial.nearest_cell(spark.createDataFrame(points, "point_id int, x int, y int"), spark.createDataFrame(cells, "x int, y int"), radius)
+    assert {r["point_id"]: (r["close"], r["distance"]) for r in got.collect()} == {i: least(x, y) for i, x, y in points}
+
+
+def test_nearest_cell_meets_a_place_of_each_row_once(spark):
+    cells = spark.range(800).selectExpr("cast(id % 40 as int) as x", "cast(id div 40 as int) as y").where("x <> 11")
+    points = spark.range(3000).selectExpr("cast(id as int) as point_id", "cast(id % 3 as int) + 10 as x", "10 as y")
+    assert most_rows(spatial.nearest_cell(points, cells)) <= 3000

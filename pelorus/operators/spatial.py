@@ -2,17 +2,25 @@
 
 Both sides are put into square buckets as wide as the radius; a point meets the
 nine buckets around it in an equi-join, and the exact test follows. Rows per
-bucket, not rows in all, decide the cost.
+bucket, not rows in all, decide the cost. Nearest places are looked for in bands or
+rounds of growing reach, so that a point meets what is near it and not all in reach.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelorus.functions import geo
 from pelorus.grid import GridSpec
 
+#: Rounds in which the nearest lane is looked for, each with four times the radius of the one before.
+LANE_ROUNDS = 4
+#: Nautical miles that distances by cosines are less exact than, by far.
+LEAST_NM = 0.01
+
 
 def _bucket(c: Column, size: float) -> Column:
     return F.floor(c / F.lit(float(size))).cast("long")
@@ -48,6 +56,12 @@ def nearest(pairs: DataFrame, by: list[str], order: list[Column | str]) -> DataF
     return pairs.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+def _cube(lat: str, lon: str, side: float) -> list[Column]:
+    """The cube in space, of this side, in which a place of the unit sphere lies."""
+    a, b = F.radians(lat), F.radians(lon)
+    return [_bucket(c, side) for c in (F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a))]
+
+
 def nearest_lane_start(points: DataFrame, lanes: DataFrame, max_metres: float = 50_000.0) -> DataFrame:
     """The nearest lane start on the point's heading: all point columns, the lane's, distance_nm and distance_m.
 
@@ -55,16 +69,39 @@ def nearest_lane_start(points: DataFrame, lanes: DataFrame, max_metres: float =
     name), start_lat, start_lon. Lanes of the heading's sector and its two
     neighbours count; ties go to the sector in that order, then to lane_id.
     Invalid points (null, off the globe, heading outside 0..360) find nothing.
+    Equal places are looked up once, in rounds of a radius that grows four times
+    until it is the whole: a place that has found a lane within the radius is done.
     """
     max_nm = max_metres / geo.METRES_PER_NM
     valid = points.where(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & F.col("heading").between(0, 360))
-    # a nautical mile is a minute of latitude; longitude shrinks, so rows of buckets in latitude alone are safe
-    size = max(max_nm / 60 * 1.001, 1e-6)
-    flows = valid.withColumn("__f", F.explode(geo.sectors_around(F.col("heading")))).withColumn("__o", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    flows = flows.select("*", F.col("__f.name").alias("flow"), F.col("__f.rank").alias("__rank"), (_bucket(F.col("lat"), size) + F.col("__o")).alias("__b")).drop("__f", "__o")
-    met = flows.join(lanes.withColumn("__b", _bucket(F.col("start_lat"), size)), ["flow", "__b"]).drop("__b")
-    met = met.withColumn("distance_nm", geo.nm_distance(F.col("lat"), F.col("lon"), F.col("start_lat"), F.col("start_lon"))).where(F.col("distance_nm") <= max_nm)
-    return nearest(met, ["point_id"], ["distance_nm", "__rank", "lane_id"]).withColumn("distance_m", F.col("distance_nm") * geo.METRES_PER_NM).drop("__rank")
+    valid = valid.withColumn("__s", F.array_position(F.array(*map(F.lit, geo.COMPASS)), geo.compass(F.col("heading"))).cast("int") - 1)
+    # of lanes that begin at one place and go one way only the first can be chosen
+    lanes = nearest(lanes.where("start_lat is not null and start_lon is not null"), ["flow", "start_lat", "start_lon"], ["lane_id"])
+    f = F.array_position(F.array(*map(F.lit, geo.COMPASS)), F.col("flow")).cast("int") - 1
+    ways = F.array(*[F.struct(F.pmod(f + k, F.lit(16)).cast("int").alias("s"), F.lit(r).alias("rank")) for r, k in enumerate((0, 1, -1))])
+    starts = lanes.where(f >= 0).select("lane_id", "flow", "start_lat", "start_lon", F.explode(ways).alias("w"))
+    starts = starts.select("lane_id", "flow", "start_lat", "start_lon", F.col("w.s").alias("__k"), F.col("w.rank").alias("__rank"))
+    state = valid.select("lat", "lon", "__s").distinct()
+    kinds = {c: starts.schema[c].dataType.simpleString() for c in ("lane_id", "flow", "start_lat", "start_lon")}
+    state = state.withColumn("at", F.lit(None).cast("struct<nm:double,rank:int," + ",".join(f"{c}:{t}" for c, t in kinds.items()) + ">"))
+    for k in range(LANE_ROUNDS - 1, -1, -1):
+        reach = max_nm / 4**k
+        # places so many miles apart lie in the same or in neighbouring cubes of this side, at the poles as elsewhere
+        side = 2 * math.sin(min(math.pi, (reach + 2 * LEAST_NM) / geo.EARTH_NM) / 2) * (1 + 1e-9)
+        todo = F.col("at").isNull()
+        here = state.withColumns({"__k": F.when(todo, F.col("__s")).otherwise(F.lit(-1)), **{f"__{i}": F.when(todo, c).otherwise(F.xxhash64("lat", "lon")) for i, c in enumerate(_cube("lat", "lon", side))}})
+        there = starts.withColumns({f"__{i}": c for i, c in enumerate(_cube("start_lat", "start_lon", side))})
+        for i in range(3):
+            there = there.withColumn(f"__{i}", F.explode(F.array(*[F.col(f"__{i}") + d for d in (-1, 0, 1)])))
+        met = here.join(there, ["__k", "__0", "__1", "__2"], "left")
+        nm = geo.nm_distance(F.col("lat"), F.col("lon"), F.col("start_lat"), F.col("start_lon"))
+        # what is farther may have been left out by the cubes, so the next round looks again
+        found = F.when(F.col("start_lat").isNotNull() & (nm <= (reach - LEAST_NM if k else max_nm)), F.struct(nm.alias("nm"), F.col("__rank").alias("rank"), *kinds))
+        state = met.groupBy("lat", "lon", "__s", "__k", "__0", "__1", "__2").agg(F.min(F.coalesce("at", found)).alias("at")).select("lat", "lon", "__s", "at")
+    chosen = state.where("at is not null").select("lat", "lon", "__s", F.col("at.nm").alias("distance_nm"), F.col("at.rank").alias("__rank"), "at.flow", "at.start_lat", "at.start_lon")
+    out = valid.join(chosen, ["lat", "lon", "__s"]).join(lanes, ["flow", "start_lat", "start_lon"])
+    out = nearest(out, ["point_id"], ["distance_nm", "__rank", "lane_id"]).withColumn("distance_m", F.col("distance_nm") * geo.METRES_PER_NM)
+    return out.select("flow", *points.columns, *[c for c in lanes.columns if c != "flow"], "distance_nm", "distance_m")
 
 
 def invalid_points(points: DataFrame) -> DataFrame:

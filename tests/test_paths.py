@@ -377,3 +377,32 @@ def test_nearest_cell_meets_a_place_of_each_row_once(spark):
     cells = spark.range(800).selectExpr("cast(id % 40 as int) as x", "cast(id div 40 as int) as y").where("x <> 11")
     points = spark.range(3000).selectExpr("cast(id as int) as point_id", "cast(id % 3 as int) + 10 as x", "10 as y")
     assert most_rows(spatial.nearest_cell(points, cells)) <= 3000
+
+
+def test_lane_lookup_against_all_lanes(spark):
+    """At the poles and the date line, over equal places and lanes, near and far."""
+    rng = random.Random(4)
+    place = lambda: rng.choice([(rng.uniform(-90, 90), rng.uniform(-180, 180)), (rng.choice([-1, 1]) * rng.uniform(88, 90), rng.uniform(-180, 180)), (rng.uniform(-5, 5), rng.choice([-1, 1]) * rng.uniform(178, 180)), (30.0, 40.0)])
+    lanes = [(i, rng.choice(geo.COMPASS), *place()) for i in range(150)] + [(500, "N", None, 3.0), (501, None, 1.0, 3.0), (502, "north", 1.0, 3.0)]
+    points = [(i, *place(), float(rng.randrange(0, 361))) for i in range(150)]
+
+    def best(lat, lon, heading, most):
+        own, out = int((heading + 11.25) // 22.5) % 16, []
+        for i, flow, a, b in lanes:
+            rank = next((r for r, k in enumerate((0, -1, 1)) if a is not None and flow == geo.COMPASS[(own + k) % 16]), None)
+            nm = search.haversine(lat, lon, a, b) if rank is not None else math.inf
+            if nm <= most:
+                out.append((round(nm, 3), rank, i))
+        return min(out, default=(None, None, None))[2]
+
+    p, starts = spark.createDataFrame(points, "point_id int, lat double, lon double, heading double"), spark.createDataFrame(lanes, "lane_id int, flow string, start_lat double, start_lon double")
+    for metres in (50_000.0, 2_000_000.0, 20_000_000.0):
+        got = {r["point_id"]: r["lane_id"] for r in spatial.nearest_lane_start(p, starts, metres).collect()}
+        expected = {i: best(lat, lon, heading, metres / 1852) for i, lat, lon, heading in points}
+        assert got == {i: lane for i, lane in expected.items() if lane is not None}
+
+
+def test_lane_lookup_meets_near_lanes_only(spark):
+    lanes = spark.range(3000).selectExpr("cast(id as int) as lane_id", "'N' as flow", "(id % 60) * 2.0D - 60 as start_lat", "(id div 60) * 7.0D - 175 as start_lon")
+    points = spark.range(2000).selectExpr("cast(id as int) as point_id", "(id % 40) * 3.0D - 59 as lat", "(id div 40) * 7.0D - 174 as lon", "0.0D as heading")
+    assert most_rows(spatial.nearest_lane_start(points, lanes, 20_000_000.0)) < 500_000  # 81 rows a lane; 6,000,000 pairs are in reach

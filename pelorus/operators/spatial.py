@@ -56,10 +56,10 @@ def nearest(pairs: DataFrame, by: list[str], order: list[Column | str]) -> DataF
     return pairs.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def _cube(lat: str, lon: str, side: float) -> list[Column]:
-    """The cube in space, of this side, in which a place of the unit sphere lies."""
+def _cube(lat: str, lon: str, side: float, off: float = 0.0) -> list[Column]:
+    """The cube in space, of this side, in which a place of the unit sphere lies when ``off`` is added to its coordinates."""
     a, b = F.radians(lat), F.radians(lon)
-    return [_bucket(c, side) for c in (F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a))]
+    return [_bucket(c + F.lit(off), side) for c in (F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a))]
 
 
 def nearest_lane_start(points: DataFrame, lanes: DataFrame, max_metres: float = 50_000.0) -> DataFrame:
@@ -84,22 +84,26 @@ def nearest_lane_start(points: DataFrame, lanes: DataFrame, max_metres: float =
     state = valid.select("lat", "lon", "__s").distinct()
     kinds = {c: starts.schema[c].dataType.simpleString() for c in ("lane_id", "flow", "start_lat", "start_lon")}
     state = state.withColumn("at", F.lit(None).cast("struct<nm:double,rank:int," + ",".join(f"{c}:{t}" for c, t in kinds.items()) + ">"))
+    keys = ["__k", "__0", "__1", "__2"]
     for k in range(LANE_ROUNDS - 1, -1, -1):
         reach = max_nm / 4**k
-        # places so many miles apart lie in the same or in neighbouring cubes of this side, at the poles as elsewhere
-        side = 2 * math.sin(min(math.pi, (reach + 2 * LEAST_NM) / geo.EARTH_NM) / 2) * (1 + 1e-9)
+        # coordinates of places so many miles apart differ by this much at most, at the poles as elsewhere, so a lane is met in two cubes in each direction
+        apart = 2 * math.sin(min(math.pi, (reach + 2 * LEAST_NM) / geo.EARTH_NM) / 2) * (1 + 1e-9)
+        side = 2 * apart
         todo = F.col("at").isNull()
         here = state.withColumns({"__k": F.when(todo, F.col("__s")).otherwise(F.lit(-1)), **{f"__{i}": F.when(todo, c).otherwise(F.xxhash64("lat", "lon")) for i, c in enumerate(_cube("lat", "lon", side))}})
-        there = starts.withColumns({f"__{i}": c for i, c in enumerate(_cube("start_lat", "start_lon", side))})
-        for i in range(3):
-            there = there.withColumn(f"__{i}", F.explode(F.array(*[F.col(f"__{i}") + d for d in (-1, 0, 1)])))
-        met = here.join(there, ["__k", "__0", "__1", "__2"], "left")
+        there = starts
+        for i, ends in enumerate(zip(*(_cube("start_lat", "start_lon", side, off) for off in (-apart, apart)))):
+            there = there.withColumn(f"__{i}", F.explode(F.sequence(*ends)))
         nm = geo.nm_distance(F.col("lat"), F.col("lon"), F.col("start_lat"), F.col("start_lon"))
         # what is farther may have been left out by the cubes, so the next round looks again
-        found = F.when(F.col("start_lat").isNotNull() & (nm <= (reach - LEAST_NM if k else max_nm)), F.struct(nm.alias("nm"), F.col("__rank").alias("rank"), *kinds))
-        state = met.groupBy("lat", "lon", "__s", "__k", "__0", "__1", "__2").agg(F.min(F.coalesce("at", found)).alias("at")).select("lat", "lon", "__s", "at")
+        near = [F.col(c) == F.col(f"{c}_") for c in keys] + [nm <= (reach - LEAST_NM if k else max_nm)]
+        # the planner takes what is exploded for as small as it was before, and would broadcast it through the driver
+        met = here.join(there.withColumnsRenamed({c: f"{c}_" for c in keys}).hint("merge"), near, "left")
+        found = F.when(F.col("start_lat").isNotNull(), F.struct(nm.alias("nm"), F.col("__rank").alias("rank"), *kinds))
+        state = met.groupBy("lat", "lon", "__s", *keys).agg(F.min(F.coalesce("at", found)).alias("at")).select("lat", "lon", "__s", "at")
     chosen = state.where("at is not null").select("lat", "lon", "__s", F.col("at.nm").alias("distance_nm"), F.col("at.rank").alias("__rank"), "at.flow", "at.start_lat", "at.start_lon")
-    out = valid.join(chosen, ["lat", "lon", "__s"]).join(lanes, ["flow", "start_lat", "start_lon"])
+    out = valid.join(chosen.hint("merge"), ["lat", "lon", "__s"]).join(lanes.hint("merge"), ["flow", "start_lat", "start_lon"])
     out = nearest(out, ["point_id"], ["distance_nm", "__rank", "lane_id"]).withColumn("distance_m", F.col("distance_nm") * geo.METRES_PER_NM)
     return out.select("flow", *points.columns, *[c for c in lanes.columns if c != "flow"], "distance_nm", "distance_m")
 

@@ -22,6 +22,14 @@ def test_range_joins_have_no_nested_loops(spark, name):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_lane_lookup_sends_nothing_through_the_driver(spark):
+    """Points and lanes are small files here, but each lane is in many cubes, and a broadcast of them grows with the table."""
+    df = QUERIES["nearest_lane"](spark, SF)
+    assert "Broadcast" not in plan_of(df)
+    df.collect()
+    assert "Broadcast" not in plan_of(df)
+
+
 def test_scans_read_only_what_they_need(spark):
     plan = plan_of(QUERIES["land_cells"](spark, SF))
     assert "ReadSchema: struct<event_id:bigint,event_type:string>" in plan and "EqualTo(event_type,error)" in plan
